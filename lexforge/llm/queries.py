@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import frequencies
+from lexforge.llm import frequencies, near_duplicates
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,8 +28,17 @@ def p4_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return frequencies.ngram_frequencies(_table(spark, folder, "metadata_sram"), "chunk_id", "text", max_n=3)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    half = Fraction(1, 2)
+    chunks = near_duplicates.similar_keys(_table(spark, folder, "metadata_sram"), "chunk_id", "text", 3, half)
+    contexts = near_duplicates.similar_elements(_table(spark, folder, "retrieval_results"), "retrieval_id", "mmr_contexts", 3, half)
+    a, b = (F.concat_ws(":", F.col("key").cast("string"), F.col(i).cast("string")) for i in "ij")
+    contexts = contexts.select(F.lit("mmr_contexts").alias("field"), F.least(a, b).alias("key_a"), F.greatest(a, b).alias("key_b"))
+    return chunks.select(F.lit("metadata_sram.text").alias("field"), "key_a", "key_b").unionByName(contexts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_word_frequencies, p4_ngrams)}
+    return {f.__name__: f for f in (p4_found, p4_word_frequencies, p4_ngrams, p5_found)}
 
 
 _P4_WORDS = r"""
@@ -39,10 +49,23 @@ m AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records * 3 > (SELECT co
 """
 
 
+_P5_FOUND = r"""
+WITH t AS (SELECT 'metadata_sram.text' AS field, '' AS block, chunk_id AS k, max(text) AS text FROM metadata_sram GROUP BY chunk_id
+  UNION ALL
+  SELECT DISTINCT 'mmr_contexts', CAST(retrieval_id AS VARCHAR), retrieval_id || ':' || (i - 1), mmr_contexts[i]
+  FROM retrieval_results, unnest(range(1, len(mmr_contexts) + 1)) AS u(i)),
+w AS (SELECT field, block, k, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM t),
+g AS (SELECT DISTINCT field, block, k, unnest(list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS s FROM w),
+n AS (SELECT field, k, count(*) AS n FROM g GROUP BY field, k),
+p AS (SELECT a.field, a.k AS key_a, b.k AS key_b, count(*) AS o FROM g a JOIN g b ON a.s = b.s AND a.field = b.field AND a.block = b.block AND a.k < b.k GROUP BY ALL)
+SELECT p.field, key_a, key_b FROM p JOIN n na ON na.field = p.field AND na.k = key_a JOIN n nb ON nb.field = p.field AND nb.k = key_b WHERE 2 * o >= na.n + nb.n - o"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _P4_WORDS + "SELECT word, mark FROM m WHERE mark IS NOT NULL",
         "p4_word_frequencies": _P4_WORDS + "SELECT word, occurrences, records, mark FROM m",
+        "p5_found": _P5_FOUND,
         "p4_ngrams": r"""
 WITH r AS (SELECT chunk_id, max(text) AS text FROM metadata_sram GROUP BY chunk_id),
 w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM r),
