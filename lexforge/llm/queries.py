@@ -8,13 +8,33 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import frequencies, near_duplicates
+from lexforge.llm import frequencies, leaks, look_alikes, near_duplicates, nearest_vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_vectors.nearest_vectors(_table(spark, folder, "postings"), _table(spark, folder, "codebook"), k=5)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = p1_neighbours(spark, folder)
+    return near.select(F.least("vector_id", "other_id").alias("vector_id_a"), F.greatest("vector_id", "other_id").alias("vector_id_b")).distinct()
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = look_alikes.look_alikes(_table(spark, folder, "cuad_corpus"), "doc_id", "text")
+    categories = look_alikes.look_alikes(_table(spark, folder, "cuad_category_map"), "row_id", "description")
+    return corpus.select(F.lit("cuad_corpus.text").alias("field"), "id_a", "id_b").unionByName(categories.select(F.lit("cuad_category_map.description").alias("field"), "id_a", "id_b"))
+
+
+def p3_canonical_texts(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = look_alikes.canonicalize(_table(spark, folder, "cuad_corpus").select("doc_id", "text").distinct(), "text", "form")
+    return corpus.select("doc_id", F.md5("text").alias("text_md5"), F.md5("form").alias("form_md5"), (F.col("text") != F.col("form")).alias("changed"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     marked = frequencies.mark_words(_table(spark, folder, "metadata_sram"), "chunk_id", "text")
     return marked.where(F.col("mark").isNotNull()).select("word", "mark")
@@ -37,8 +57,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select(F.lit("metadata_sram.text").alias("field"), "key_a", "key_b").unionByName(contexts)
 
 
+def _leaks(spark: SparkSession, folder: str, **how) -> DataFrame:
+    return leaks.leaked_items(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "eval_items"), "item_id", "text", **how)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder, exact=True).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_similar_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = _leaks(spark, folder)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows", F.round("similarity", 6).alias("similarity"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_word_frequencies, p4_ngrams, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p7_found, p7_similar_passages)}
 
 
 _P4_WORDS = r"""
@@ -61,11 +94,37 @@ p AS (SELECT a.field, a.k AS key_a, b.k AS key_b, count(*) AS o FROM g a JOIN g
 SELECT p.field, key_a, key_b FROM p JOIN n na ON na.field = p.field AND na.k = key_a JOIN n nb ON nb.field = p.field AND nb.k = key_b WHERE 2 * o >= na.n + nb.n - o"""
 
 
+_P7_FOUND = r"""
+WITH t AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM eval_items),
+w AS (SELECT side, id, regexp_extract_all(lower(regexp_replace(text, '[\x{AD}\x{34F}\x{61C}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]', '', 'g')), '[\p{L}\p{N}]+') AS ws FROM t),
+g AS (SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(ws) - 11, 1)), lambda i: array_to_string(ws[i:i + 12], ' '))) AS s FROM w)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s WHERE d.side = 'd' AND i.side = 'i'"""
+
+
+def _p3_sql() -> str:
+    """The same rules as nested translations; good for the characters of these tables."""
+    one = {a: b for a, b in look_alikes._BECOMES.items() if len(b) == 1}
+    many = {a: b for a, b in look_alikes._BECOMES.items() if len(b) > 1 and a >= "\ufb00" and a <= "\ufb06"}
+    gone = "".join(a for a, b in look_alikes._BECOMES.items() if not b)
+    to = "".join(one.values()).replace("'", "''")
+    form = f"translate(text, '{''.join(one)}{gone}', '{to}')"
+    for a, b in many.items():
+        form = f"replace({form}, '{a}', '{b}')"
+    return f"""
+WITH t AS (SELECT DISTINCT 'cuad_corpus.text' AS field, doc_id AS id, text FROM cuad_corpus WHERE text IS NOT NULL
+  UNION ALL SELECT DISTINCT 'cuad_category_map.description', row_id, description FROM cuad_category_map WHERE description IS NOT NULL),
+f AS (SELECT field, id, text, nfc_normalize({form}) AS form FROM t)
+SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form AND a.id < b.id AND a.text <> b.text
+WHERE trim(a.form, ' ' || chr(10)) <> ''"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _p3_sql(),
         "p4_found": _P4_WORDS + "SELECT word, mark FROM m WHERE mark IS NOT NULL",
         "p4_word_frequencies": _P4_WORDS + "SELECT word, occurrences, records, mark FROM m",
         "p5_found": _P5_FOUND,
+        "p7_found": _P7_FOUND,
         "p4_ngrams": r"""
 WITH r AS (SELECT chunk_id, max(text) AS text FROM metadata_sram GROUP BY chunk_id),
 w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM r),
