@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import frequencies, leaks, look_alikes, near_duplicates, nearest_vectors
+from lexforge.llm import frequencies, leaks, look_alikes, near_duplicates, nearest_vectors, residue
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,8 +70,12 @@ def p7_similar_passages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows", F.round("similarity", 6).alias("similarity"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.find_residue(_table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "kind")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p7_found, p7_similar_passages)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p7_found, p7_similar_passages, p8_found)}
 
 
 _P4_WORDS = r"""
