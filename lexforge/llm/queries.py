@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import frequencies, leaks, look_alikes, near_duplicates, nearest_vectors, residue
+from lexforge.llm import answer_defects, frequencies, leaks, look_alikes, near_duplicates, nearest_vectors, residue
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("vector_id", "other_id").alias("vector_id_a"), F.greatest("vector_id", "other_id").alias("vector_id_b")).distinct()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    answers = {"answer_b1": "generation.answer_b1", "answer_mmr": "generation.answer_mmr", "ground_truth": "ground_truth"}
+    return answer_defects.find_defects(_table(spark, folder, "llm_detail"), "detail_id", "query", answers).withColumnRenamed("key", "detail_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     corpus = look_alikes.look_alikes(_table(spark, folder, "cuad_corpus"), "doc_id", "text")
     categories = look_alikes.look_alikes(_table(spark, folder, "cuad_category_map"), "row_id", "description")
@@ -75,7 +80,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p7_found, p7_similar_passages, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p7_found, p7_similar_passages, p8_found)}
 
 
 _P4_WORDS = r"""
