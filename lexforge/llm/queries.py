@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import answer_defects, frequencies, leaks, look_alikes, near_duplicates, nearest_vectors, residue
+from lexforge.llm import answer_defects, frequencies, leaks, look_alikes, near_duplicates, nearest_vectors, packing, residue
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select(F.lit("metadata_sram.text").alias("field"), "key_a", "key_b").unionByName(contexts)
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = packing.token_counts(_table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack(sizes, _table(spark, folder, "pack_limits")).withColumnRenamed("key", "doc_id")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, folder), _table(spark, folder, "pack_limits"))
+
+
 def _leaks(spark: SparkSession, folder: str, **how) -> DataFrame:
     return leaks.leaked_items(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "eval_items"), "item_id", "text", **how)
 
@@ -80,7 +89,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p7_found, p7_similar_passages, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p6_containers, p6_fill, p7_found, p7_similar_passages, p8_found)}
 
 
 _P4_WORDS = r"""
