@@ -16,7 +16,7 @@ def grid(spark: SparkSession, lam=(0.3, 0.5, 0.7), tau=(0.3, 0.5, 0.7), gamma=(0
 
 def rollup_report(rows: DataFrame, levels: list[str], values: list[str]) -> DataFrame:
     """Counts and means of the values for every level and its subtotals; `level` says how many columns are grouped by."""
-    means = [F.round(F.avg(F.when(~F.isnan(v), F.col(v))), 6).alias(f"avg_{v.split('.')[-1]}") for v in values]
+    means = [F.round(F.avg(F.when(~F.isnan(v), F.col(v))), 10).alias(f"avg_{v.split('.')[-1]}") for v in values]
     depth = sum((1 - F.grouping(c)).cast("int") for c in levels)
     return rows.rollup(*levels).agg(depth.alias("level"), F.count("*").alias("n"), *means)
 

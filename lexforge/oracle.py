@@ -151,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
     own, other = ("'--- [Source: ' || {} || ' | Section: ' || coalesce(section_heading, '') || '] ---' || chr(10) || text".format(x) for x in ("'TARGET CONTRACT'", "'REFERENCE CONTRACT ' || doc_id"))
     keyword = _strip("regexp_extract(description, '\"([^\"]*)\"', 1)")
     det = rf"CASE WHEN regexp_matches(description, '(?is)Details:') THEN {_strip(r'''regexp_extract(description, '(?is)Details:[\s\x0b]*(.*)$', 1)''')} ELSE {_strip('description')} END"
-    avgs = ", ".join(f"round(avg(CASE WHEN NOT isnan((metrics).{m}) THEN (metrics).{m} END), 6) AS avg_{m}" for m in _METRICS)
+    avgs = ", ".join(f"round(avg((metrics).{m}) FILTER (WHERE CAST((metrics).{m} AS VARCHAR) NOT ILIKE '%nan%'), 10) AS avg_{m}" for m in _METRICS)
     return {
         "clean_text": f"SELECT doc_id, md5({_clean('''coalesce(text, '')''')}) AS text_md5 FROM documents",
         "minimal_clean": f"SELECT doc_id, md5({_minimal('text')}) AS text_md5 FROM documents",
@@ -175,13 +175,13 @@ SELECT centroid_id, word, n, CAST(row_number() OVER (PARTITION BY centroid_id OR
         "sep_pieces": f"WITH {_RESULTS}, p AS (SELECT retrieval_id, {_ALL_PIECES} AS l FROM r) SELECT retrieval_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS place, unnest(l) AS piece FROM p",
         "generation_prompt": _prompt(),
         "chunk_context": f"WITH {_CHUNKS} SELECT chunk_id, md5({own}) AS own_md5, md5({other}) AS other_md5, true AS untagged FROM c",
-        "unique_token_ratio": "WITH " + _DETAILS + ", w AS (SELECT detail_id, " + ", ".join(f"{_words(f'(generation).answer_{n}')} AS {n}" for n in ("b1", "mmr")) + ") SELECT detail_id, " + ", ".join(f"round(CASE WHEN len({n}) = 0 THEN 0.0 ELSE len(list_distinct({n})) / len({n}) END, 6) AS {n}" for n in ("b1", "mmr")) + " FROM w",
+        "unique_token_ratio": "WITH " + _DETAILS + ", w AS (SELECT detail_id, " + ", ".join(f"{_words(f'(generation).answer_{n}')} AS {n}" for n in ("b1", "mmr")) + " FROM d) SELECT detail_id, " + ", ".join(f"round(CASE WHEN len({n}) = 0 THEN 0.0 ELSE len(list_distinct({n})) / len({n}) END, 6) AS {n}" for n in ("b1", "mmr")) + " FROM w",
         "answer_coverage": f"WITH {_DETAILS} SELECT detail_id, " + ", ".join(f"round({_recall(f'(generation).answer_{n}')}, 6) AS {n}" for n in ("b1", "b2", "mmr")) + " FROM d",
         "strict_coverage": f"WITH {_RESULTS} SELECT retrieval_id, {_strict('b1_contexts')} AS b1, {_strict('mmr_contexts')} AS mmr FROM r",
         "recall_mrr_at_k": rf"""WITH {_RESULTS}, a AS (SELECT retrieval_id, lower(trim(regexp_replace(coalesce(ground_truth, ''), '{_WS}+', ' ', 'g'))) AS want,
 list_transform(coalesce(mmr_contexts, [])[1:5], lambda x: lower(trim(regexp_replace(regexp_replace(x, '^--- \[Source: .*\] ---\n', ''), '{_WS}+', ' ', 'g')))) AS l FROM r),
 b AS (SELECT retrieval_id, coalesce(list_position(list_transform(l, lambda x: x <> '' AND contains(want, x)), true), 0) AS first FROM a)
-SELECT retrieval_id, CASE WHEN first > 0 THEN 1.0 ELSE 0.0 END AS recall, CASE WHEN first > 0 THEN round(1.0 / first, 6) ELSE 0.0 END AS mrr FROM b""",
+SELECT retrieval_id, CAST(CASE WHEN first > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS recall, CASE WHEN first > 0 THEN round(1.0 / first, 6) ELSE 0.0 END AS mrr FROM b""",
         "judge_statistics": _judge(),
         "metric_rollup": f"WITH {_DETAILS} SELECT config, sweep_idx, CAST(2 - grouping(config) - grouping(sweep_idx) AS INTEGER) AS level, count(*) AS n, {avgs} FROM d GROUP BY ROLLUP (config, sweep_idx)",
         "latest_exports": "SELECT retrieval_id, run_id, sweep_idx, query_idx, exported_at FROM retrieval_results QUALIFY row_number() OVER (PARTITION BY retrieval_id ORDER BY exported_at DESC, run_id) = 1",
