@@ -21,14 +21,14 @@ def coarse_probe(queries: DataFrame, centroids: DataFrame, nprobe: int = 8) -> D
     return I.nearest_rows(queries, "query_id", "embedding", *I.matrix(centroids, "centroid_id", "vec"), nprobe, "centroid_id")
 
 
-def candidates(queries: DataFrame, postings: DataFrame, centroids: DataFrame, nprobe: int = 8, top_r: int = 128) -> DataFrame:
+def candidates(queries: DataFrame, postings: DataFrame, centroids: DataFrame, nprobe: int = 8, top_r: int = 128, parts: int = 8) -> DataFrame:
     """(query_id, pos, chunk_id, vector_id, centroid_id, pq_code): what the probed lists offer, each chunk once, in the order of
     (rank of the list, chunk_id).
 
     Lists are cut to top_r before the join, so a query has at most nprobe x top_r candidates, however long a hot list is.
     """
     probes = coarse_probe(queries, centroids, nprobe)
-    offered = probes.join(I.posting_lists(postings, top_r), "centroid_id")
+    offered = probes.join(I.posting_lists(postings, top_r, parts), "centroid_id")
     first = offered.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "place", "centroid_id", "vector_id", "pq_code")).alias("c")).select("query_id", "chunk_id", "c.*")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")) - 1
     return first.select("query_id", pos.alias("pos"), "chunk_id", "vector_id", "centroid_id", "pq_code")

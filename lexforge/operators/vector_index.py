@@ -151,12 +151,12 @@ def decode(df: DataFrame, key: str, code: str, codebook: DataFrame, into: str =
     return rows.mapInArrow(apply, f"{key} {kind}, {into} array<double>")
 
 
-def posting_lists(postings: DataFrame, top_r: int | None = None) -> DataFrame:
+def posting_lists(postings: DataFrame, top_r: int | None = None, parts: int = 8) -> DataFrame:
     """Valid postings, each chunk once per centroid, with `place` in its list (by chunk_id as text); the first top_r of each list.
 
     With row_number, Spark drops what is beyond top_r before the shuffle, which bounds what a hot list sends.
     """
-    rows = postings.where(valid_code(F.col("pq_code"))).select("centroid_id", "chunk_id", "vector_id", "pq_code").dropDuplicates(["centroid_id", "chunk_id"])
+    rows = postings.where(valid_code(F.col("pq_code"), parts)).select("centroid_id", "chunk_id", "vector_id", "pq_code").dropDuplicates(["centroid_id", "chunk_id"])
     if top_r is None:
         return rows
     place = F.row_number().over(Window.partitionBy("centroid_id").orderBy("chunk_id"))

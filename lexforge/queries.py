@@ -14,6 +14,7 @@ from lexforge.operators import retrieval as R
 from lexforge.operators import sweep as S
 from lexforge.operators import text_tables as X
 from lexforge.operators import vector_index as I
+from lexforge.plans import adapters, pipeline
 from lexforge.streaming import windows as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +195,21 @@ def judge_statistics(spark, folder):
     return M.judge_statistics(_details(spark, folder).where("judge_result is not null"), "judge_result", ["config"])
 
 
+@_query
+def answer_and_judge(spark, folder):
+    """Answers drawn from each list of contexts, their scores and the winner."""
+    out = pipeline.answer_and_judge(_results(spark, folder).select("retrieval_id", "query", "ground_truth", "b1_contexts", "b2_contexts", "mmr_contexts"))
+    return out.select("retrieval_id", *(c for c in out.columns if c.startswith("answer_") or c.endswith(("_coverage", "_unique_ratio"))), "winner")
+
+
+@_query
+def index_corpus(spark, folder):
+    """An index over the whole corpus, built anew: the sizes of its lists."""
+    corpus = _t(spark, folder, "cuad_corpus").select("doc_id", "text").distinct()
+    index = pipeline.build_index(corpus, "doc_id", "text", adapters.HashEmbedder(32), centroids=32, parts=4, codes=32, sample=20_000)
+    return index["postings"].groupBy("centroid_id").agg(F.count("*").alias("chunks"))
+
+
 @_query
 def metric_rollup(spark, folder):
     rows = _details(spark, folder).select("config", "sweep_idx", "metrics.*")
