@@ -379,3 +379,45 @@ def similar_elements(df: DataFrame, key: str, texts: str, words: int = 5, thresh
     rows = df.select(F.col(key).alias("key"), F.col(texts).alias("texts")).where(F.col("key").isNotNull() & (F.size("texts") > 1))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(join, f"key {kind}, i int, j int").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, root): the least node that each node of an undirected graph (a, b) is connected with.
+
+    Alternating stars: every node's larger neighbours, then its smaller ones, are linked to its least neighbour,
+    until nothing changes; a few rounds for any graph that isn't a very long chain. A round is two aggregations and two joins, and
+    is checkpointed, so that lineage stays short and no node's neighbours are ever gathered in one place.
+    """
+    edges = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct())
+    before = None
+    for _ in range(rounds):
+        both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).where("u <> v").distinct()
+        edges = cut(small)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")), "u", "left_anti")
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
+
+
+def near_duplicate_groups(df: DataFrame, key: str, text: str, words: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
+    """(key, class, links, group_id): every key once, with the class of its text, to how many other texts that is similar,
+    and the group of texts connected by similarity; a group's name is its least class.
+
+    Keys without a text have a null class and group, rows without a key are left out. A key with several texts has a row for each.
+    """
+    join = VerticalJoin(df, key, text, words, threshold)
+    pairs = cut(join.pairs().select("a", "b"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    groups = components(pairs).select(F.col("node").alias("class"), F.col("root").alias("group_id"))
+    every = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.col(text).isNull().alias("none")).where(F.col("key").isNotNull())
+    every = every.select("key", F.when(~F.col("none"), F.col("h")).alias("class")).distinct()
+    out = every.join(links, "class", "left").join(groups, "class", "left")
+    return out.select("key", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class").alias("group_id"))

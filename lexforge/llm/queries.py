@@ -62,6 +62,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select(F.lit("metadata_sram.text").alias("field"), "key_a", "key_b").unionByName(contexts)
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_duplicates.near_duplicate_groups(_table(spark, folder, "metadata_sram"), "chunk_id", "text")
+    return groups.withColumnRenamed("key", "chunk_id")
+
+
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     sizes = packing.token_counts(_table(spark, folder, "documents"), "doc_id", "text")
     return packing.pack(sizes, _table(spark, folder, "pack_limits")).withColumnRenamed("key", "doc_id")
@@ -89,7 +94,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p6_containers, p6_fill, p7_found, p7_similar_passages, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_similar_passages, p8_found)}
 
 
 _P4_WORDS = r"""

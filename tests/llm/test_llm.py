@@ -93,6 +93,30 @@ def test_hot_ngram_lists_are_split_without_loss(spark):
     assert len(want) == 3 * 30 * 29 // 2 and {tuple(r) for r in split.collect()} == want
 
 
+def test_groups_against_union_find(spark):
+    rng = random.Random(10)
+    edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)] + [(500, x) for x in range(501, 560)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in near_duplicates.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in root}
+    base = sentence(rng, 30)
+    df = spark.createDataFrame([("a", base), ("b", base), ("c", base + " end"), ("d", "other text altogether of six words"), ("e", None), ("e2", ""), (None, base)], "id string, t string")
+    rows = {r.key: r for r in near_duplicates.near_duplicate_groups(df, "id", "t").collect()}
+    assert rows["a"].group_id == rows["b"].group_id == rows["c"].group_id != rows["d"].group_id and rows["a"].links == rows["c"].links == 1 and rows["d"].links == 0
+    assert rows["e"].group_id is None and set(rows) == {"a", "b", "c", "d", "e", "e2"}
+
+
 def test_similar_elements(spark):
     df = spark.createDataFrame([(1, ["a b c d", "a b c d", "x y z"]), (2, None), (3, []), (4, ["a b c d", None, "A, b c D e"]), (1, ["a b c d", "a b c d", "x y z"])], "id bigint, l array<string>")
     got = sorted(tuple(r) for r in near_duplicates.similar_elements(df, "id", "l", 3, Fraction(1, 2)).collect())
