@@ -52,7 +52,7 @@ class PrefixForest:
     #: Prefix lengths at which the trees ascend together.
     LENGTHS = tuple(range(48, 0, -3))
 
-    def __init__(self, points: DataFrame, book: np.ndarray, k: int, trees: int = 10, candidates: int = 160, reach: int = 96, block: int = 60_000, seed: int = 42):
+    def __init__(self, points: DataFrame, book: np.ndarray, k: int, trees: int = 10, candidates: int = 320, reach: int = 96, block: int = 60_000, seed: int = 42):
         self.points, self.k, self.trees, self.candidates, self.reach = points, k, trees, candidates, reach
         self.count = points.count()
         self.parts = max(1, -(-self.count * trees // block))
