@@ -195,16 +195,16 @@ class VerticalJoin:
         words, t, hot = self.words, self.t, self.hot
         level = self._levels()
         cuts = self._cuts(level)
-        heavy = {int(x): -(-int(self.mass[x]) // hot) for x in np.flatnonzero(self.mass > hot)} if self.mass.max() > hot else {}
-        shared = self.spark.sparkContext.broadcast((level, cuts, heavy))
+        heavy = np.flatnonzero(self.mass > hot)
+        shared = self.spark.sparkContext.broadcast((level, cuts, heavy, -(-self.mass[heavy] // hot)))
         fragments = len(cuts) + 1
-        hot_tasks = fragments if heavy else 0
+        hot_tasks = fragments if len(heavy) else 0
         shift, alone = 64 - self.sketch_bits, np.uint64(_level(1))
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            level, cuts, heavy = shared.value
+            level, cuts, heavy, blocks = shared.value
             crowded = np.zeros(len(level), bool)
-            crowded[list(heavy)] = True
+            crowded[heavy] = True
             seen: set[int] = set()
             for batch in batches:
                 ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
@@ -226,18 +226,15 @@ class VerticalJoin:
                 starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(k) else np.empty(0, np.int64)
                 yield _segments(fragment[starts], ids, sizes, bits, o[starts], k, starts, np.zeros(len(starts)))
                 if busy.any():  # a long list is cut into blocks, each pair of blocks is a list of its own
-                    part, rec, key, role = [], [], [], []
-                    for k1, o1, b1 in zip(keys[busy], owner[busy], bucket[busy]):
-                        g = heavy[int(b1)]
-                        mine = int(mix64(np.array([ids[o1]]).astype(np.uint64) ^ k1)[0] % np.uint64(g))
-                        for other in range(g):
-                            low, high = min(mine, other), max(mine, other)
-                            own = int(mix64(np.array([k1], np.uint64) + np.uint64(low * g + high + 1))[0])
-                            part.append(fragments + own % hot_tasks)
-                            rec.append(o1)
-                            key.append(own)
-                            role.append(0 if low == high else 1 if mine == low else 2)
-                    yield _segments(np.array(part), ids, sizes, bits, np.array(rec), np.array(key, np.uint64), np.arange(len(key)), np.array(role))
+                    k, o = keys[busy], owner[busy]
+                    g = blocks[np.searchsorted(heavy, bucket[busy])]
+                    mine = (mix64(ids[o].astype(np.uint64) ^ k) % g.astype(np.uint64)).astype(np.int64)
+                    at = np.repeat(np.arange(len(k)), g)
+                    other = np.arange(len(at)) - np.repeat(np.r_[0, np.cumsum(g)[:-1]], g)
+                    low, high = np.minimum(mine[at], other), np.maximum(mine[at], other)
+                    own = mix64(k[at] + (low * g[at] + high + 1).astype(np.uint64))
+                    role = np.where(low == high, 0, np.where(mine[at] == low, 1, 2))
+                    yield _segments(fragments + (own % np.uint64(hot_tasks)).astype(np.int64), ids, sizes, bits, o[at], own, np.arange(len(at)), role)
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [b for b in batches if b.num_rows]
