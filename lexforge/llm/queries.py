@@ -124,8 +124,8 @@ g AS (SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(ws)
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s WHERE d.side = 'd' AND i.side = 'i'"""
 
 
-def _p3_sql() -> str:
-    """The same rules as nested translations; good for the characters of these tables."""
+def _form_sql() -> str:
+    """The consistent form of `text` by nested translations; good for the characters of these tables."""
     one = {a: b for a, b in look_alikes._BECOMES.items() if len(b) == 1}
     many = {a: b for a, b in look_alikes._BECOMES.items() if len(b) > 1 and a >= "\ufb00" and a <= "\ufb06"}
     gone = "".join(a for a, b in look_alikes._BECOMES.items() if not b)
@@ -133,10 +133,14 @@ def _p3_sql() -> str:
     form = f"translate(text, '{''.join(one)}{gone}', '{to}')"
     for a, b in many.items():
         form = f"replace({form}, '{a}', '{b}')"
+    return f"nfc_normalize({form})"
+
+
+def _p3_sql() -> str:
     return f"""
 WITH t AS (SELECT DISTINCT 'cuad_corpus.text' AS field, doc_id AS id, text FROM cuad_corpus WHERE text IS NOT NULL
   UNION ALL SELECT DISTINCT 'cuad_category_map.description', row_id, description FROM cuad_category_map WHERE description IS NOT NULL),
-f AS (SELECT field, id, text, nfc_normalize({form}) AS form FROM t)
+f AS (SELECT field, id, text, {_form_sql()} AS form FROM t)
 SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.field = b.field AND a.form = b.form AND a.id < b.id AND a.text <> b.text
 WHERE trim(a.form, ' ' || chr(10)) <> ''"""
 
@@ -144,6 +148,7 @@ WHERE trim(a.form, ' ' || chr(10)) <> ''"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _p3_sql(),
+        "p3_canonical_texts": f"SELECT doc_id, md5(text) AS text_md5, md5(form) AS form_md5, text <> form AS changed FROM (SELECT DISTINCT doc_id, text, {_form_sql()} AS form FROM cuad_corpus)",
         "p4_found": _P4_WORDS + "SELECT word, mark FROM m WHERE mark IS NOT NULL",
         "p4_word_frequencies": _P4_WORDS + "SELECT word, occurrences, records, mark FROM m",
         "p5_found": _P5_FOUND,
