@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -92,15 +92,6 @@ class Entry:
     min_dist: float = math.inf
 
 
-def _insert(buffer: list[Entry], e: Entry, k: int) -> None:
-    if len(buffer) < k:
-        buffer.append(e)
-        return
-    low = min(range(len(buffer)), key=lambda i: buffer[i].score)  # the first of the lowest
-    if e.score > buffer[low].score:
-        buffer[low] = e
-
-
 def mmr_fold(query: np.ndarray, offered: list[Entry], k: int, lam: float, tau: float, buffer: list[Entry] | None = None, anchors: list[Entry] | None = None, penalty: float = 1.5) -> tuple[list[Entry], int]:
     """The buffer after the candidates, best first, and how many were skipped as near-duplicates.
 
@@ -110,31 +101,49 @@ def mmr_fold(query: np.ndarray, offered: list[Entry], k: int, lam: float, tau: f
     chunk that is held already isn't taken again.
     """
     held, anchors, skipped = list(buffer or []), list(anchors or []), []
-    count = 0
     if k <= 0:
         return [], 0
-    for e in offered:
-        dq = float(np.sqrt(((query - e.vector) ** 2).sum()))
-        dq = dq if math.isfinite(dq) else 0.0
-        around = held + anchors
-        if not around:
-            _insert(held, Entry(**{**vars(e), "score": -lam * dq, "min_dist": math.inf}), k)
-            continue
-        ds = np.sqrt(((np.stack([a.vector for a in around]) - e.vector) ** 2).sum(1))
-        ds = np.where([bool(e.heading) and a.heading == e.heading for a in around], ds / max(penalty, 1e-9), ds)
-        near = float(ds.min())
-        if near < tau:
-            count += 1
-            skipped.append((dq, e))
-            continue
-        score = -lam * dq + (1 - lam) * near
-        _insert(held, Entry(**{**vars(e), "score": score if math.isfinite(score) else -lam * dq, "min_dist": near}), k)
+    if offered:
+        vectors = np.stack([e.vector for e in offered])
+        away = np.sqrt(((vectors - query) ** 2).sum(1))
+        away = np.where(np.isfinite(away), away, 0.0)
+        names = {"": 0}
+        code = [names.setdefault(e.heading, len(names)) for e in offered]
+        # Anchors, then the buffer: vectors, headings and scores side by side, changed in place.
+        fixed, room = len(anchors), len(anchors) + max(k, len(held))
+        around, headings, scores = np.empty((room, vectors.shape[1])), np.zeros(room, np.int64), np.empty(room)
+        for i, e in enumerate(anchors + held):
+            around[i], headings[i], scores[i] = e.vector, names.setdefault(e.heading, len(names)), e.score
+        penalty = max(penalty, 1e-9)
+        for i, e in enumerate(offered):
+            dq, n = float(away[i]), fixed + len(held)
+            if n:
+                ds = np.sqrt(((around[:n] - vectors[i]) ** 2).sum(1))
+                if code[i]:
+                    ds[headings[:n] == code[i]] /= penalty
+                near = float(ds.min())
+                if near < tau:
+                    skipped.append((dq, e))
+                    continue
+                score = -lam * dq + (1 - lam) * near
+                score = score if math.isfinite(score) else -lam * dq
+            else:
+                near, score = math.inf, -lam * dq
+            if len(held) < k:
+                at = len(held)
+                held.append(e)
+            else:
+                at = int(scores[fixed:n].argmin())  # the first of the lowest
+                if not score > scores[fixed + at]:
+                    continue
+            held[at] = replace(e, score=score, min_dist=near)
+            around[fixed + at], headings[fixed + at], scores[fixed + at] = vectors[i], code[i], score
     for dq, e in sorted(skipped, key=lambda s: s[0]):
         if len(held) >= k:
             break
         if all(e.chunk_id != h.chunk_id for h in held):
-            held.append(Entry(**{**vars(e), "score": -lam * dq, "min_dist": 0.0}))
-    return sorted(held, key=lambda e: -e.score), count
+            held.append(replace(e, score=-lam * dq, min_dist=0.0))
+    return sorted(held, key=lambda e: -e.score), len(skipped)
 
 
 def is_covered(held: list[Entry], skipped: int, k: int, nprobe: int) -> bool:
