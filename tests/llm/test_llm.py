@@ -90,6 +90,8 @@ def test_hot_ngram_lists_are_split_without_loss(spark):
     plain = near_duplicates.VerticalJoin(df, "id", "text", 3, 0.8).pairs().select("a", "b")
     split = near_duplicates.VerticalJoin(df, "id", "text", 3, 0.8, hot=8, postings=100).pairs().select("a", "b")
     want = {tuple(r) for r in plain.collect()}
+    shuffled = near_duplicates.VerticalJoin(df, "id", "text", 3, 0.8).pairs(broadcast_rows=0).select("a", "b")
+    assert {tuple(r) for r in shuffled.collect()} == want
     assert len(want) == 3 * 30 * 29 // 2 and {tuple(r) for r in split.collect()} == want
 
 
