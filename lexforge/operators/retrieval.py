@@ -28,7 +28,8 @@ def candidates(queries: DataFrame, postings: DataFrame, centroids: DataFrame, np
     Lists are cut to top_r before the join, so a query has at most nprobe x top_r candidates, however long a hot list is.
     """
     probes = coarse_probe(queries, centroids, nprobe)
-    offered = probes.join(I.posting_lists(postings, top_r, parts), "centroid_id")
+    # By query from here on: what follows groups, numbers and joins within a query, and needs no other shuffle.
+    offered = probes.join(I.posting_lists(postings, top_r, parts), "centroid_id").repartition("query_id")
     first = offered.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "place", "centroid_id", "vector_id", "pq_code")).alias("c")).select("query_id", "chunk_id", "c.*")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")) - 1
     return first.select("query_id", pos.alias("pos"), "chunk_id", "vector_id", "centroid_id", "pq_code")
