@@ -21,20 +21,134 @@ def coarse_probe(queries: DataFrame, centroids: DataFrame, nprobe: int = 8) -> D
     return I.nearest_rows(queries, "query_id", "embedding", *I.matrix(centroids, "centroid_id", "vec"), nprobe, "centroid_id")
 
 
-def candidates(queries: DataFrame, postings: DataFrame, centroids: DataFrame, nprobe: int = 8, top_r: int = 128, parts: int = 8) -> DataFrame:
+def candidates(queries: DataFrame, postings: DataFrame, centroids: DataFrame, nprobe: int = 8, top_r: int | None = None, parts: int = 8) -> DataFrame:
     """(query_id, pos, chunk_id, vector_id, centroid_id, pq_code): what the probed lists offer, each chunk once, in the order of
     (rank of the list, chunk_id).
 
-    Lists are cut to top_r before the join, so a query has at most nprobe x top_r candidates, however long a hot list is.
+    Lists are whole. With top_r, as the reference has it, each is cut to its first top_r chunk ids before the join, an order that has
+    nothing to do with distance. For the nearest of whole lists, nearest_probed moves far fewer rows.
     """
     probes = coarse_probe(queries, centroids, nprobe)
     # By query from here on: what follows groups, numbers and joins within a query, and needs no other shuffle.
     offered = probes.join(I.posting_lists(postings, top_r, parts), "centroid_id").repartition("query_id")
-    first = offered.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "place", "centroid_id", "vector_id", "pq_code")).alias("c")).select("query_id", "chunk_id", "c.*")
+    first = offered.groupBy("query_id", "chunk_id").agg(F.min(F.struct("rank", "centroid_id", "vector_id", "pq_code")).alias("c")).select("query_id", "chunk_id", "c.*")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")) - 1
     return first.select("query_id", pos.alias("pos"), "chunk_id", "vector_id", "centroid_id", "pq_code")
 
 
+def nearest_probed(queries: DataFrame, postings: DataFrame, centroids: DataFrame, codebook: DataFrame, k: int, nprobe: int = 8, parts: int = 8, block: int = 4096) -> DataFrame:
+    """(query_id, rank, chunk_id, centroid_id, dist_q): the k nearest chunks of the whole probed lists, never the query's own vector;
+    ties in the order of candidates().
+
+    postings may have doc_id and queries target: chunks of the target are then left out. Postings are dealt by chunk_id, so that no
+    list is one task's fate and all postings of a chunk meet; a task keeps k rows per query. Queries come in blocks of bounded size.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    book = I.code_book(codebook)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    apart = "target" in queries.columns
+    docs = postings.select("chunk_id", "doc_id").dropDuplicates(["chunk_id"]) if apart else None
+    lists = I.posting_lists(postings, None, parts).join(docs, "chunk_id") if apart else I.posting_lists(postings, None, parts)
+    lists = lists.repartition("chunk_id").sortWithinPartitions("chunk_id", "centroid_id")
+    near = None
+    for i in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        rows = part.select("query_id", "embedding", *["target"] * apart).toArrow()
+        names = rows["query_id"].to_numpy()
+        probes = coarse_probe(part, centroids, nprobe).select("query_id", "rank", "centroid_id").toArrow()
+        at = np.argsort(names, kind="stable")
+        probed = at[np.searchsorted(names[at], probes["query_id"].to_numpy())] if len(names) else np.empty(0, np.int64)
+        vectors = np.array(rows["embedding"].to_pylist(), np.float64).reshape(len(rows), len(book), -1)
+        targets = np.array(rows["target"].to_pylist()) if apart else None
+        shared = queries.sparkSession.sparkContext.broadcast((names, vectors, targets, book, probed, probes["rank"].to_numpy(), probes["centroid_id"].to_numpy()))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, vectors, targets, book, probed, ranks, at_list = shared.value
+            if not len(names):
+                return
+            # Squared distance of each query's parts to each code word: copies of a code are equally far, to the last bit.
+            table = np.stack([((vectors[:, m, None, :] - book[m]) ** 2).sum(2) for m in range(len(book))], 1)
+            order = np.argsort(at_list, kind="stable")
+            probed, ranks, at_list = probed[order], ranks[order], at_list[order]
+            best: dict[str, np.ndarray] = {"q": np.empty(0, np.int64), "d": np.empty(0), "rank": np.empty(0, np.int64), "chunk": np.empty(0, "U1"), "list": np.empty(0, np.int64)}
+            bound = np.full(len(names), np.inf)
+
+            def offer(t: pa.Table) -> None:
+                nonlocal best
+                chunk, place, own = np.array(t["chunk_id"].to_pylist()), t["centroid_id"].to_numpy(), t["vector_id"].to_numpy()
+                codes = t["pq_code"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(t), -1)
+                doc = np.array(t["doc_id"].to_pylist()) if targets is not None else None
+                again = np.r_[False, chunk[1:] == chunk[:-1]]
+                several = again | np.r_[again[1:], False]  # rows of a chunk that is in more than one list
+                found = []
+
+                def far(q: np.ndarray, row: np.ndarray) -> np.ndarray:
+                    d = np.round(np.sqrt(sum(table[q, m, codes[row, m]] for m in range(len(book)))), 9)
+                    d[np.broadcast_to(names[q] == own[row], d.shape)] = np.inf
+                    if doc is not None:
+                        d[np.broadcast_to(targets[q] == doc[row], d.shape)] = np.inf
+                    return d
+
+                pairs = []
+                for c in np.unique(place):
+                    s, e = np.searchsorted(at_list, [c, c + 1])
+                    if s == e:
+                        continue
+                    rows = np.flatnonzero(place == c)
+                    q, rank = probed[s:e], ranks[s:e]
+                    if (x := rows[several[rows]]).size:
+                        pairs.append((np.repeat(q, len(x)), np.repeat(rank, len(x)), np.tile(x, len(q))))
+                    rows = rows[~several[rows]]
+                    step = max(1, (1 << 20) // max(1, len(rows)))
+                    for b in range(0, len(q) * (len(rows) > 0), step):
+                        d = far(q[b : b + step, None], rows[None, :])
+                        keep = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows are in order of chunk_id
+                        d = np.take_along_axis(d, keep, 1)
+                        i, j = np.nonzero((d <= bound[q[b : b + step], None]) & np.isfinite(d))
+                        found.append((q[b + i], d[i, j], rank[b + i], rows[keep[i, j]]))
+                if pairs:
+                    q, rank, row = (np.concatenate(x) for x in zip(*pairs))
+                    name = np.unique(chunk, return_inverse=True)[1][row]
+                    o = np.lexsort((own[row], rank, name, q))  # of a chunk's lists the first that is probed
+                    o = o[np.r_[True, (q[o][1:] != q[o][:-1]) | (name[o][1:] != name[o][:-1])]]
+                    d = far(q[o], row[o])
+                    ok = np.isfinite(d)
+                    found.append((q[o][ok], d[ok], rank[o][ok], row[o][ok]))
+                if not found:
+                    return
+                q, d, rank, row = (np.concatenate(x) for x in zip(*found))
+                fresh = {"q": q, "d": d, "rank": rank, "chunk": chunk[row], "list": place[row]}
+                best = {n: np.concatenate([best[n], fresh[n]]) for n in best}
+                o = np.lexsort((best["chunk"], best["rank"], best["d"], best["q"]))
+                sorted_q = best["q"][o]
+                nth = np.arange(len(o)) - np.searchsorted(sorted_q, sorted_q)
+                last = nth == k - 1
+                bound[sorted_q[last]] = best["d"][o][last]
+                best = {n: x[o[nth < k]] for n, x in best.items()}
+
+            rest = None
+            for b in batches:
+                t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+                if not len(t):
+                    continue
+                # The last chunk may go on in the next batch.
+                chunks = t["chunk_id"].to_pylist()
+                end = len(chunks)
+                while end and chunks[end - 1] == chunks[-1]:
+                    end -= 1
+                if end:
+                    offer(t.slice(0, end))
+                rest = t.slice(end)
+            if rest is not None and len(rest):
+                offer(rest)
+            yield pa.RecordBatch.from_pydict({"query_id": names[best["q"]], "place": best["rank"].astype(np.int32), "chunk_id": best["chunk"].astype(object), "centroid_id": best["list"].astype(np.int32), "dist_q": best["d"]}, pa.schema([("query_id", pa.from_numpy_dtype(names.dtype)), ("place", pa.int32()), ("chunk_id", pa.string()), ("centroid_id", pa.int32()), ("dist_q", pa.float64())]))
+
+        found = lists.mapInArrow(search, f"query_id {kind}, place int, chunk_id string, centroid_id int, dist_q double")
+        near = found if near is None else near.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist_q", "place", "chunk_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "centroid_id", "dist_q")
+
+
 def with_distance(found: DataFrame, queries: DataFrame, codebook: DataFrame) -> DataFrame:
     """The candidates with dist_q, the distance of their decoded vector to the query's."""
     shared = found.sparkSession.sparkContext.broadcast(I.code_book(codebook))

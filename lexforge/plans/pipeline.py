@@ -30,12 +30,15 @@ def build_index(docs: DataFrame, key: str, text: str, embedder: Embedder, centro
     return {"centroids": cen, "codebook": book, "postings": postings.select("centroid_id", "chunk_id", "vector_id", "pq_code"), "metadata": metadata}
 
 
-def retrieve(index: dict[str, DataFrame], queries: DataFrame, embedder: Embedder, k: int = 10, nprobe: int = 8, top_r: int = 128) -> DataFrame:
-    """(query_id, rank, chunk_id, dist_q, text): the nearest chunks of every query, by probing the index."""
+def retrieve(index: dict[str, DataFrame], queries: DataFrame, embedder: Embedder, k: int = 10, nprobe: int = 8, top_r: int | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, dist_q, text): the nearest chunks of every query, by probing the index; top_r cuts the lists as the reference does."""
     q = embedder.embed(queries.withColumn("_text", T.search_text(F.col("query"))), "_text", "embedding").select("query_id", "embedding")
     parts = index["codebook"].agg(F.max("m")).first()[0] + 1
-    found = R.candidates(q, index["postings"], index["centroids"], nprobe, top_r, parts)
-    near = R.nearest(R.with_distance(found, q, index["codebook"]), k)
+    if top_r is None:
+        near = R.nearest_probed(q, index["postings"], index["centroids"], index["codebook"], k, nprobe, parts)
+    else:
+        found = R.candidates(q, index["postings"], index["centroids"], nprobe, top_r, parts)
+        near = R.nearest(R.with_distance(found, q, index["codebook"]), k)
     return near.join(index["metadata"].select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "chunk_id", "dist_q", "text")
 
 

@@ -328,21 +328,51 @@ def _near(spark, folder) -> DataFrame:
     return R.with_distance(found, q, _t(spark, folder, "codebook"))
 
 
+def _whole_near(spark, folder) -> DataFrame:
+    """The nearest chunks of the whole probed lists."""
+    return R.nearest_probed(_probes(spark, folder), _t(spark, folder, "postings"), _t(spark, folder, "centroids"), _t(spark, folder, "codebook"), TOP_K, NPROBE)
+
+
+@_query
+def ivf_l2_topk_whole(spark, folder):
+    return _whole_near(spark, folder).select("query_id", "rank", "chunk_id", F.round("dist_q", 6).alias("dist_q"))
+
+
+@_query
+def ivf_recall(spark, folder):
+    """Recall against brute force over all postings, by distance, of the whole probed lists and of lists cut as the reference cuts them."""
+    posts, q, book = _t(spark, folder, "postings"), _probes(spark, folder), _t(spark, folder, "codebook")
+    one = spark.createDataFrame([(0, [1.0] * q.select(F.size("embedding")).first()[0])], "centroid_id int, vec array<double>")
+    true = R.nearest_probed(q, posts.withColumn("centroid_id", F.lit(0)), one, book, TOP_K, 1)
+    limit = true.groupBy("query_id").agg(F.max("dist_q").alias("limit"), F.count("*").alias("all"))
+    hits = lambda near: limit.join(near, "query_id", "left").groupBy("query_id").agg((F.sum(F.when(F.round("dist_q", 6) <= F.round("limit", 6), 1).otherwise(0)) / F.first("all")).alias("recall")).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("recall"))
+    return hits(_whole_near(spark, folder)).withColumn("lists", F.lit("whole")).unionByName(hits(R.nearest(_near(spark, folder), TOP_K)).withColumn("lists", F.lit("cut")))
+
+
 @_query
 def ivf_l2_topk(spark, folder):
     return R.nearest(_near(spark, folder), TOP_K).select("query_id", "rank", "chunk_id", F.round("dist_q", 6).alias("dist_q"))
 
 
-def _local(spark, folder) -> DataFrame:
-    """Candidates with is_local: of the query's own contract. All of the contract's chunks are candidates."""
+def _inside(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chunks' contracts, each query's own contract, and all of its chunks as local candidates."""
     meta = _chunks(spark, folder).select("chunk_id", F.col("doc_id").alias("doc"), "section_heading")
-    q = _probes(spark, folder)
     posts = I.posting_lists(_t(spark, folder, "postings")).join(meta, "chunk_id")
     own = posts.where("vector_id % 20 = 0").select(F.col("vector_id").alias("query_id"), "doc").distinct()
     own = M.first_per_key(own, "query_id", [F.col("doc")])
     inside = own.join(posts, "doc").where("vector_id <> query_id").groupBy("query_id", "chunk_id").agg(F.min(F.struct("centroid_id", "vector_id", "pq_code", "doc", "section_heading")).alias("c"))
     inside = inside.select("query_id", "chunk_id", "c.*", F.lit(True).alias("is_local"), F.row_number().over(Window.partitionBy("query_id").orderBy("c.centroid_id", "chunk_id")).alias("at"))
-    probed = R.candidates(q, _t(spark, folder, "postings"), _t(spark, folder, "centroids"), NPROBE, TOP_R).where("vector_id <> query_id")
+    return meta, own, inside
+
+
+def _local(spark, folder, q=None, top_r=TOP_R) -> DataFrame:
+    """Candidates with is_local: of the query's own contract. All of the contract's chunks are candidates.
+
+    q: what is probed, if not the queries' own vectors.
+    """
+    meta, own, inside = _inside(spark, folder)
+    q = _probes(spark, folder) if q is None else q
+    probed = R.candidates(q, _t(spark, folder, "postings"), _t(spark, folder, "centroids"), NPROBE, top_r).where("vector_id <> query_id")
     outside = probed.join(meta, "chunk_id").join(own.withColumnRenamed("doc", "target"), "query_id").where("doc <> target")
     outside = outside.select("query_id", "chunk_id", "centroid_id", "vector_id", "pq_code", "doc", "section_heading", F.lit(False).alias("is_local"), (F.col("pos") + 1_000_000).alias("at"))
     return inside.unionByName(outside).withColumnRenamed("at", "pos").withColumnRenamed("doc", "doc_id")
@@ -352,6 +382,50 @@ def _local_near(spark, folder) -> DataFrame:
     return R.with_distance(_local(spark, folder), _probes(spark, folder), _t(spark, folder, "codebook"))
 
 
+def _whole_local_near(spark, folder, k) -> DataFrame:
+    """As _local_near, from whole lists: all local candidates, and the k nearest others, beyond which no merge of k rows looks."""
+    meta, own, inside = _inside(spark, folder)
+    q, book = _probes(spark, folder), _t(spark, folder, "codebook")
+    near = R.with_distance(inside.withColumnRenamed("at", "pos").withColumnRenamed("doc", "doc_id"), q, book)
+    posts = _t(spark, folder, "postings").join(meta.withColumnRenamed("doc", "doc_id").drop("section_heading"), "chunk_id")
+    far = R.nearest_probed(q.join(own.withColumnRenamed("doc", "target"), "query_id"), posts, _t(spark, folder, "centroids"), book, k, NPROBE)
+    far = far.join(meta.withColumnRenamed("doc", "doc_id"), "chunk_id").withColumn("is_local", F.lit(False)).withColumn("pos", F.col("rank") + 1_000_000)
+    columns = ["query_id", "chunk_id", "centroid_id", "doc_id", "is_local", "pos", "dist_q"]
+    return near.select(columns).unionByName(far.select(columns))
+
+
+@_query
+def hybrid_quota_merge_whole(spark, folder):
+    return R.hybrid_merge(_whole_local_near(spark, folder, TOP_K), TOP_K, 0.7)
+
+
+@_query
+def result_breadth_whole(spark, folder):
+    near = _whole_local_near(spark, folder, TOP_K)
+    top = R.hybrid_merge(near, TOP_K, 0.7).join(near.select("query_id", "chunk_id", "centroid_id", "doc_id", "dist_q"), ["query_id", "chunk_id"])
+    return M.breadth(top, NPROBE)
+
+
+@_query
+def first_quartile_whole(spark, folder):
+    return M.quartile_distance(_whole_near(spark, folder)).select("query_id", F.round("p25", 6).alias("p25"))
+
+
+@_query
+def list_distances_whole(spark, folder):
+    vecs = I.decode(_codes(spark, folder, "chunk_id"), "chunk_id", "pq_code", _t(spark, folder, "codebook"))
+    out = M.list_distances(_whole_near(spark, folder).join(vecs, "chunk_id"))
+    return out.select("query_id", F.round("ild", 6).alias("ild"), F.round("redundancy", 6).alias("redundancy"))
+
+
+@_query
+def sweep_hybrid_whole(spark, folder):
+    """As sweep_hybrid, from whole lists; 20 is the grid's greatest top_k."""
+    own = F.row_number().over(Window.partitionBy("query_id", "is_local").orderBy(F.round("dist_q", 9), "pos"))
+    rows = S.cut_by_quota(_whole_local_near(spark, folder, 20).withColumn("own", own), S.grid(spark, (0.5,), (0.5,)))
+    return rows.groupBy("sweep_idx", "tier").agg(F.count("*").alias("rows"), F.count_distinct("query_id").alias("queries"))
+
+
 @_query
 def hybrid_quota_merge(spark, folder):
     return R.hybrid_merge(_local_near(spark, folder), TOP_K, 0.7)

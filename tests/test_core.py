@@ -184,6 +184,33 @@ def test_index(spark):
     assert I.train_centroids(df, "v", 5).count() == 5
 
 
+def test_whole_lists_are_searched(spark):
+    """Lists longer than 128 with the nearest chunks last by id, chunks in two lists, copies; against plain search."""
+    rng = np.random.default_rng(8)
+    book = rng.standard_normal((8, 256, 2))
+    codes = rng.integers(0, 256, (500, 8))
+    codes[300:340] = codes[300]
+    rows = [(int(i % 2), f"c{i:04}", i, codes[i].tolist()) for i in range(500)] + [(int(1 - i % 2), f"c{i:04}", i, codes[(i + 1) % 500].tolist()) for i in range(0, 500, 7)]
+    posts = spark.createDataFrame(rows, "centroid_id int, chunk_id string, vector_id bigint, pq_code array<smallint>")
+    cen = spark.createDataFrame([(0, [1.0] * 16), (1, [-1.0] * 16)], "centroid_id int, vec array<double>")
+    table = spark.createDataFrame([(m, c, book[m, c].tolist()) for m in range(8) for c in range(256)], "m int, code smallint, vec array<double>")
+    vec = lambda c: np.concatenate([book[m][x] for m, x in enumerate(c)])
+    q = {i: vec(codes[i]) for i in (300, 498, 499, 7, 14)}
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in q.items()], "query_id bigint, embedding array<double>")
+    for block in (4096, 2):
+        got = R.nearest_probed(queries, posts, cen, table, 10, 2, block=block).collect()
+        slow = R.nearest(R.with_distance(R.candidates(queries, posts, cen, 2).where("vector_id <> query_id"), queries, table), 10).collect()
+        for i, v in q.items():
+            near = {r.chunk_id: r.dist_q for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i}
+            assert list(near) == [r.chunk_id for r in sorted(slow, key=lambda r: r["rank"]) if r.query_id == i]
+            first = int(np.argmin([((v - [1.0] * 16) ** 2).sum(), ((v + 1.0) ** 2).sum()]))
+            chosen = {}
+            for c, name, own, code in sorted(rows, key=lambda r: r[0] != first):
+                chosen.setdefault(name, (own, np.sqrt(((vec(code) - v) ** 2).sum())))
+            want = sorted((round(d, 9), n) for n, (own, d) in chosen.items() if own != i)[:10]
+            assert [d for d, _ in want] == pytest.approx(list(near.values()), abs=1e-8)
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([(1, ["x", "Foo  bar"], "a foo bar b"), (2, [], "t"), (3, None, None)], "id int, c array<string>, t string")
     got = {r.id: (r.recall, r.mrr) for r in M.recall_mrr(rows, "id", F.col("c"), F.col("t"), 2).collect()}
