@@ -223,36 +223,43 @@ def mmr_fold(query: np.ndarray, offered: list[Entry], k: int, lam: float, tau: f
         away = np.sqrt(((vectors - query) ** 2).sum(1))
         away = np.where(np.isfinite(away), away, 0.0)
         names = {"": 0}
-        code = [names.setdefault(e.heading, len(names)) for e in offered]
+        code = np.array([names.setdefault(e.heading, len(names)) for e in offered])
         # Anchors, then the buffer: vectors, headings and scores side by side, changed in place.
         fixed, room = len(anchors), len(anchors) + max(k, len(held))
         around, headings, scores = np.empty((room, vectors.shape[1])), np.zeros(room, np.int64), np.empty(room)
         for i, e in enumerate(anchors + held):
             around[i], headings[i], scores[i] = e.vector, names.setdefault(e.heading, len(names)), e.score
         penalty = max(penalty, 1e-9)
-        for i, e in enumerate(offered):
-            dq, n = float(away[i]), fixed + len(held)
-            if n:
-                ds = np.sqrt(((around[:n] - vectors[i]) ** 2).sum(1))
-                if code[i]:
-                    ds[headings[:n] == code[i]] /= penalty
-                near = float(ds.min())
-                if near < tau:
-                    skipped.append((dq, e))
-                    continue
-                score = -lam * dq + (1 - lam) * near
-                score = score if math.isfinite(score) else -lam * dq
-            else:
-                near, score = math.inf, -lam * dq
-            if len(held) < k:
-                at = len(held)
-                held.append(e)
-            else:
-                at = int(scores[fixed:n].argmin())  # the first of the lowest
-                if not score > scores[fixed + at]:
-                    continue
-            held[at] = replace(e, score=score, min_dist=near)
-            around[fixed + at], headings[fixed + at], scores[fixed + at] = vectors[i], code[i], score
+
+        def apart(rows: slice, places: slice) -> np.ndarray:
+            ds = np.sqrt(((vectors[rows, None, :] - around[None, places]) ** 2).sum(2))
+            same = (code[rows, None] == headings[None, places]) & (code[rows, None] > 0)
+            ds[same] /= penalty
+            return ds
+
+        # The buffer changes seldom: candidates are measured against it in blocks, up to the next that changes it.
+        for start in range(0, len(offered), 256):
+            stop = min(start + 256, len(offered))
+            ds = np.full((stop - start, room), np.inf)
+            ds[:, : fixed + len(held)] = apart(slice(start, stop), slice(0, fixed + len(held)))
+            i = start
+            while i < stop:
+                near, dq = ds[i - start :].min(1) if room else np.full(stop - i, np.inf), away[i:stop]
+                with np.errstate(invalid="ignore"):
+                    score = -lam * dq + (1 - lam) * near
+                score = np.where(np.isfinite(score), score, -lam * dq)
+                close, n = near < tau, fixed + len(held)
+                at = n if len(held) < k else fixed + int(scores[fixed:n].argmin())  # the first of the lowest
+                takes = np.flatnonzero(~close if len(held) < k else ~close & (score > scores[at]))
+                t = int(takes[0]) if len(takes) else stop - i
+                skipped += [(float(dq[j]), offered[i + j]) for j in np.flatnonzero(close[:t])]
+                i += t
+                if i < stop:
+                    entry = replace(offered[i], score=float(score[t]), min_dist=float(near[t]))
+                    held[at - fixed : at - fixed + 1] = [entry]
+                    around[at], headings[at], scores[at] = vectors[i], code[i], entry.score
+                    i += 1
+                    ds[i - start :, at : at + 1] = apart(slice(i, stop), slice(at, at + 1))
     for dq, e in sorted(skipped, key=lambda s: s[0]):
         if len(held) >= k:
             break

@@ -469,17 +469,17 @@ def param_grid(spark, folder):
 
 
 def _rounds(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Two rounds per query: its own vector, then the vector between it and its contract's mean."""
-    local = _local(spark, folder)
+    """Two rounds per query: its own vector, then the vector between it and its contract's mean. Each round probes for itself, whole lists."""
     q = _probes(spark, folder)
     book = _t(spark, folder, "codebook")
-    inside = local.where("is_local").select("query_id", F.concat_ws("|", F.col("query_id").cast("string"), "chunk_id").alias("key"), "pq_code")
+    inside = _inside(spark, folder)[2].select("query_id", F.concat_ws("|", F.col("query_id").cast("string"), "chunk_id").alias("key"), "pq_code")
     vec = I.decode(inside, "key", "pq_code", book).select(F.split("key", r"\|")[0].cast("bigint").alias("query_id"), F.posexplode("embedding").alias("dim", "x"))
     mean = vec.groupBy("query_id", "dim").agg(F.avg("x").alias("x")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
-    second = q.join(mean, "query_id").select("query_id", F.lit(2).alias("round"), F.zip_with("embedding", "mean", lambda a, b: (a + b) / 2).alias("embedding"))
-    queries = q.select("query_id", F.lit(1).alias("round"), "embedding").unionByName(second)
-    found = local.withColumn("round", F.explode(F.array(F.lit(1), F.lit(2))))
-    return found, queries
+    second = q.join(mean, "query_id").select("query_id", F.zip_with("embedding", "mean", lambda a, b: (a + b) / 2).alias("embedding"))
+    rounds = [(1, q), (2, second)]
+    queries = [v.select("query_id", F.lit(n).alias("round"), "embedding") for n, v in rounds]
+    found = [_local(spark, folder, v, None).withColumn("round", F.lit(n)) for n, v in rounds]
+    return found[0].unionByName(found[1]), queries[0].unionByName(queries[1])
 
 
 def _reranked(spark, folder, mode) -> DataFrame:

@@ -211,6 +211,46 @@ def test_whole_lists_are_searched(spark):
             assert [d for d, _ in want] == pytest.approx(list(near.values()), abs=1e-8)
 
 
+def test_every_round_probes_for_itself(spark):
+    from lexforge import queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    found, queries = Q._rounds(spark, folder)
+    got = {(r.query_id, r["round"]): set(r.lists) for r in found.where("not is_local").groupBy("query_id", "round").agg(F.collect_set("centroid_id").alias("lists")).collect()}
+    want = {}
+    for n in (1, 2):
+        for r in R.coarse_probe(queries.where(F.col("round") == n), spark.read.parquet(f"{folder}/centroids.parquet"), Q.NPROBE).collect():
+            want.setdefault((r.query_id, n), set()).add(r.centroid_id)
+    assert got and all(lists <= want[key] for key, lists in got.items()) and any(want[q, 1] != want[q, 2] for q, n in want if n == 2)
+
+
+def test_fold_in_blocks_against_one_by_one():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        points = rng.standard_normal((int(rng.integers(1, 900)), 3)).round(1)
+        offered = [R.Entry(f"c{i}", p, str(rng.choice(["", "a", "b"])), False, "", 0) for i, p in enumerate(points)]
+        anchors, k, lam, tau = offered[: int(rng.integers(0, 4))], int(rng.integers(1, 8)), float(rng.choice([0.3, 0.5, 1.0])), float(rng.choice([0.0, 0.5]))
+        q, held, skipped = rng.standard_normal(3), [], []
+        for e in offered:
+            dq = float(np.sqrt(((e.vector - q) ** 2).sum()))
+            ds = [float(np.sqrt(((e.vector - o.vector) ** 2).sum())) / (1.5 if e.heading and e.heading == o.heading else 1) for o in anchors + [h for h, _ in held]]
+            if ds and min(ds) < tau:
+                skipped.append((dq, e))
+                continue
+            score = -lam * dq + (1 - lam) * min(ds) if ds else -lam * dq
+            low = min((s for _, s in held), default=0)
+            if len(held) < k:
+                held.append((e, score))
+            elif score > low:
+                held[[s for _, s in held].index(low)] = (e, score)
+        for dq, e in sorted(skipped, key=lambda s: s[0]):
+            if len(held) < k and all(e.chunk_id != h.chunk_id for h, _ in held):
+                held.append((e, -lam * dq))
+        got, n = R.mmr_fold(q, offered, k, lam, tau, None, anchors)
+        want = sorted(held, key=lambda h: -h[1])
+        assert n == len(skipped) and [e.chunk_id for e in got] == [e.chunk_id for e, _ in want] and [e.score for e in got] == pytest.approx([s for _, s in want])
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([(1, ["x", "Foo  bar"], "a foo bar b"), (2, [], "t"), (3, None, None)], "id int, c array<string>, t string")
     got = {r.id: (r.recall, r.mrr) for r in M.recall_mrr(rows, "id", F.col("c"), F.col("t"), 2).collect()}
