@@ -181,26 +181,38 @@ def exact_search(queries: DataFrame, base: DataFrame, key: str, vector: str, k:
             names, q = shared.value
             if not len(names):
                 return
-            best_d, best_k = np.full((len(names), 0), np.inf), np.zeros((len(names), 0), np.int64)
+            best_q, best_d, best_k = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
             for b in batches:
                 if not b.num_rows:
                     continue
-                own, v = b.column(0).to_numpy(), _values(b.column(1))
-                if metric == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
+                # Copies of a vector are one point, of which the k + 1 least keys can matter.
+                own = b.column(0).to_numpy()
+                v, point = np.unique(_values(b.column(1)), axis=0, return_inverse=True)
+                order = np.lexsort((own, point.reshape(-1)))
+                first, size = np.unique(point.reshape(-1)[order], return_index=True, return_counts=True)[1:]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    if metric == "cosine":
                         d = 1 - (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1))
-                    d = np.where(np.isfinite(d), d, np.inf)
+                    else:
+                        d = np.sqrt(np.maximum(0.0, (q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T))
+                d = np.where(np.isfinite(d), d, np.inf)
+                at = min(k, len(v) - 1)
+                # All that may be among the nearest but for the error of these distances; then exactly.
+                i, j = np.nonzero((d <= np.partition(d, at, axis=1)[:, at, None] + 1e-6) & np.isfinite(d))
+                if metric == "cosine":
+                    d = 1 - (q[i] * v[j]).sum(1) / (np.linalg.norm(q[i], axis=1) * np.linalg.norm(v[j], axis=1))
                 else:
-                    d = np.sqrt(np.maximum(0.0, (q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T))
-                d[own[None, :] == names[:, None]] = np.inf
-                keep = np.argpartition(d, min(2 * k, d.shape[1] - 1), axis=1)[:, : 2 * k]
-                best_d = np.concatenate([best_d, np.take_along_axis(d, keep, 1)], 1)
-                best_k = np.concatenate([best_k, own[keep]], 1)
-                order = np.lexsort((best_k, np.round(best_d, 9)), axis=1)[:, : 2 * k]
-                best_d, best_k = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_k, order, 1)
-            n = best_d.shape[1]
-            ok = np.isfinite(best_d).reshape(-1)
-            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(names, n)[ok], "other": best_k.reshape(-1)[ok], "distance": np.round(best_d.reshape(-1)[ok], 9)})
+                    d = np.sqrt(((q[i] - v[j]) ** 2).sum(1))
+                n = np.minimum(size[j], k + 1)
+                key_at = np.repeat(first[j] - np.r_[0, np.cumsum(n)[:-1]].astype(np.int64)[: len(n)], n) + np.arange(n.sum())
+                near_q, near_d, near_k = np.repeat(i, n), np.round(np.repeat(d, n), 9), own[order][key_at]
+                other = near_k != names[near_q]
+                best_q, best_d, best_k = np.r_[best_q, near_q[other]], np.r_[best_d, near_d[other]], np.r_[best_k, near_k[other]]
+                order = np.lexsort((best_k, best_d, best_q))
+                best_q, best_d, best_k = best_q[order], best_d[order], best_k[order]
+                keep = np.arange(len(best_q)) - np.searchsorted(best_q, best_q) < k
+                best_q, best_d, best_k = best_q[keep], best_d[keep], best_k[keep]
+            yield pa.RecordBatch.from_pydict({"query_id": names[best_q], "other": best_k, "distance": best_d})
 
         found = base.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(search, f"query_id {kind}, other {kind}, distance double")
         near = found if near is None else near.unionByName(found)

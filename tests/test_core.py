@@ -251,6 +251,21 @@ def test_fold_in_blocks_against_one_by_one():
         assert n == len(skipped) and [e.chunk_id for e in got] == [e.chunk_id for e, _ in want] and [e.score for e in got] == pytest.approx([s for _, s in want])
 
 
+def test_equally_near_copies_come_by_key(spark):
+    rng = np.random.default_rng(10)
+    v = rng.standard_normal((400, 8))
+    v[rng.permutation(400)[:200]] = v[0]
+    ids = rng.permutation(400).tolist()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id bigint, v array<double>").repartition(3)
+    for metric in ("l2", "cosine"):
+        far = lambda a, b: np.sqrt(((a - b) ** 2).sum()) if metric == "l2" else 1 - (a * b).sum() / np.linalg.norm(a) / np.linalg.norm(b)  # noqa: E731, B023
+        near = I.exact_search(df.where("id < 30"), df, "id", "v", 3, metric).collect()
+        for q in range(30):
+            x = v[ids.index(q)]
+            want = sorted((abs(round(far(x, y), 9)), i) for i, y in zip(ids, v) if i != q)[:3]
+            assert [r.id for r in sorted(near, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in want]
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([(1, ["x", "Foo  bar"], "a foo bar b"), (2, [], "t"), (3, None, None)], "id int, c array<string>, t string")
     got = {r.id: (r.recall, r.mrr) for r in M.recall_mrr(rows, "id", F.col("c"), F.col("t"), 2).collect()}
