@@ -1,10 +1,12 @@
 """Problem 7: documents that hold passages of evaluation texts.
 
-Every window of a document as long as the shortest passage that counts gets a
-SimHash over its word shingles, weighted by how rare they are among the items.
+For equal passages, every window of a document as long as the shortest passage
+that counts gets a SimHash over its word shingles, weighted by how rare they are among the items.
 The items' windows have theirs too. To find all fingerprints within a radius of
 r bits, a fingerprint is cut into r + 1 blocks, one of which must be equal; the
-windows this leaves are compared shingle by shingle, with weights. Items come
+windows this leaves are compared. For similar passages, two windows are
+compared shingle by shingle, with weights, if they share one of those rare
+shingles without which they can't be similar enough. Items come
 in blocks of bounded size, each sent to all tasks, and documents never move.
 """
 
@@ -104,6 +106,38 @@ class _Items:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
+    def _prefix(self, windows: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
+        """Which shingles of each window, rarest first, are needed: the others together weigh too little for the similarity."""
+        order = np.lexsort((windows, -weights), axis=1)
+        rest = np.cumsum(np.take_along_axis(weights, order, 1)[:, ::-1], 1)[:, ::-1]
+        out = np.zeros(windows.shape, bool)
+        np.put_along_axis(out, order, rest >= similarity * weights.sum(1, keepdims=True) - 1e-6, 1)
+        return out
+
+    def index_shingles(self, similarity: float) -> None:
+        """The windows by the shingles of their prefixes."""
+        own = self.shingles[self.at[:, None] + np.arange(self.per)]
+        row, place = np.nonzero(self._prefix(own, self.weight(own.reshape(-1)).reshape(own.shape), similarity))
+        order = np.argsort(own[row, place], kind="stable")
+        self.prefix_shingles, self.prefix_windows = own[row, place][order], row[order]
+
+    def alike(self, windows: np.ndarray, weights: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (of the windows, given by their shingles and weights, and the items' windows) that can have the similarity:
+        two windows that do share a shingle of both prefixes."""
+        place = np.minimum(np.searchsorted(self.known, windows), max(0, len(self.known) - 1))
+        known = self.known[place] == windows
+        some = np.flatnonzero((known * weights).sum(1) >= similarity * weights.sum(1) - 1e-6)
+        row, column = np.nonzero(self._prefix(windows[some], weights[some], similarity) & known[some])
+        mine = windows[some][row, column]
+        s, e = (np.searchsorted(self.prefix_shingles, mine, side) for side in ("left", "right"))
+        size = e - s
+        if not size.sum():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a = np.repeat(some[row], size)
+        b = self.prefix_windows[np.repeat(s - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+        pairs = np.unique(a * np.int64(len(self.at)) + b)
+        return pairs // len(self.at), pairs % len(self.at)
+
     def similarity(self, mine: np.ndarray, weights: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Weighted Jaccard similarity of windows, given by their shingles and weights, with the items' windows."""
         theirs = self.shingles[self.at[other][:, None] + np.arange(self.per)]
@@ -125,9 +159,8 @@ def leaked_items(
 
     Words are runs of letters and digits in lower case; characters that don't
     show are dropped first. window: words of a passage; similarity: of the
-    weighted shingles of two windows whose fingerprints are within the radius
-    (within it, all are found). exact: only windows with the same words in the
-    same order. Texts shorter than a window, null and empty texts have no
+    weighted shingles of two windows; radius: of the fingerprints, for exact. exact: only windows with the same words in the
+    same order; without it, all windows with the similarity are found. Texts shorter than a window, null and empty texts have no
     windows; rows without a key take no part; rows that repeat a key are
     reported once (their windows together); further columns are ignored.
     """
@@ -143,7 +176,7 @@ def leaked_items(
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = object.__new__(_Items)
             vars(index).update(shared.value)
-            index.index()
+            index.index() if exact else index.index_shingles(similarity)
             item_type = pa.array(index.ids.tolist()).type if len(index.ids) else None
             for batch in batches:
                 if not len(index.prints):
@@ -155,10 +188,13 @@ def leaked_items(
                     part = words[s : s + (1 << 15) + window - 1]
                     shingles = _runs(part, shingle)
                     weights = index.weight(shingles)
-                    prints = _fingerprints(shingles, weights, per)
-                    first = np.arange(s, s + len(prints))
+                    first = np.arange(s, s + len(shingles) - per + 1)
                     inside = np.flatnonzero(owner[first] == owner[first + window - 1])
-                    a, b = index.near(prints[inside])
+                    if exact:
+                        a, b = index.near(_fingerprints(shingles, weights, per)[inside])
+                    else:
+                        own = inside[:, None] + np.arange(per)
+                        a, b = index.alike(shingles[own], weights[own], similarity)
                     a = inside[a]
                     if exact and len(a):  # what differs in a word can be left out before the shingles are compared
                         same = _runs(part, window)[a] == index.sequence[b]

@@ -235,6 +235,27 @@ def test_all_fingerprints_within_the_radius_are_found():
     assert got == {(i, j) for i, p in enumerate(prints) for j, q in enumerate(items.prints) if bin(int(p) ^ int(q)).count("1") <= 2}
 
 
+def test_changed_windows_against_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(18)
+    text = [f"t{rng.randrange(90)}" for _ in range(200)]
+    items = leaks._Items([1], pa.array([" ".join(text)]), 13, 3, 2)
+    items.index_shingles(0.8)
+    windows = []
+    for i in range(0, 180):
+        w = text[i : i + 13]
+        w[rng.choice([0, 12, 6, 1])] = "new"
+        windows.append(leaks._runs(leaks._words(pa.array([" ".join(w)]))[0], 3))
+    windows = np.stack(windows)
+    weights = items.weight(windows.reshape(-1)).reshape(windows.shape)
+    pairs = [(i, j) for i in range(len(windows)) for j in range(len(items.at))]
+    a, b = (np.array(x) for x in zip(*pairs))
+    like = items.similarity(windows[a], weights[a], b)
+    want = {p for p, x in zip(pairs, like) if x >= 0.8}
+    assert len(want) > 20 and want <= set(zip(*(x.tolist() for x in items.alike(windows, weights, 0.8))))
+
+
 # Problem 8
 
 
