@@ -79,13 +79,29 @@ _PERSON = re.compile(r"\b(?:i (?:am|can|must|do|won|would|have|apolog|prefer|don
 _SOURCE = re.compile(r"(?:\s*(?:\[\d{1,3}\]|\((?:see|siehe|voir|véase) [^()]{1,40}\)))+\W*$", re.I)
 _CLOSING = " \t\r\n\xa0*_`\"'”’»)]"
 _HASHED = 1 << 11
-_DENSE = 27
+_DENSE = 30
+_SCRIPTS = ((0x370, 0x400), (0x400, 0x530), (0x530, 0x590), (0x590, 0x600), (0x600, 0x780), (0x900, 0xE00), (0xE00, 0xE80), (0x10A0, 0x1100), (0x3040, 0xA000), (0xAC00, 0xD7B0))
 
 
 def _plain(text: str | None) -> str:
     return _HIDDEN.sub("", text or "").replace("’", "'").replace("\xa0", " ")
 
 
+def _scripts(text: str) -> Counter:
+    """Letters of each script; 0 is Latin, and all that has no place of its own."""
+    if text.isascii():
+        return Counter({0: sum(map(str.isalpha, text))})
+    return Counter(next((i for i, (a, b) in enumerate(_SCRIPTS, 1) if a <= ord(c) < b), 0) for c in text if c.isalpha())
+
+
+def _foreign(query: str, answer: str) -> float:
+    """Share of the answer's letters in scripts that less than a twentieth of the query's letters have."""
+    asked, given = _scripts(query), _scripts(answer)
+    if not asked.total() or not given.total():
+        return 0.0
+    return sum(n for s, n in given.items() if 20 * asked[s] < asked.total()) / given.total()
+
+
 class Languages:
     """Which language a text is mainly in: function words, and the words found beside them in the sample."""
 
@@ -121,7 +137,7 @@ class Languages:
                 self.weights[w] = np.where(np.arange(len(share)) == share.argmax(), 1.0, 0.0).astype(np.float32)
 
 
-def _features(query: str, answer: str | None, lang: Languages) -> tuple[np.ndarray, list[int]]:
+def _features(query: str, answer: str | None, lang: Languages) -> tuple[np.ndarray, list[int], list[int]]:
     q, a = _plain(query), _plain(answer)
     shown = a.strip()
     bare = _LABEL.sub("", shown.replace("[SEP]", " ")).strip()
@@ -137,6 +153,7 @@ def _features(query: str, answer: str | None, lang: Languages) -> tuple[np.ndarr
     best = int(ls.argmax())
     margin = float(ls[best] - ls[int(lq.argmax())]) if lq.max() > 0 and len(aw) else 0.0
     n = len(aw)
+    foreign = _foreign(q, bare)
     dense = np.array(
         [
             1.0, n == 0, n == 1, 2 <= n <= 4, n >= 8, min(n, 40) / 40, len(bare) <= 3,
@@ -145,6 +162,7 @@ def _features(query: str, answer: str | None, lang: Languages) -> tuple[np.ndarr
             shown.count("**") % 2 and n > 2, bool(re.fullmatch(r"\W*\d{1,2}[.)]?\W*", last_line)) and n > 3, bool(re.search(r"(?:^|\s)\w{1,3}$", tail)) and not stopped and n >= 5,
             inside <= 0.15 and n >= 3, inside <= 0.15 and beyond <= 0.4 and n >= 3, inside >= 0.3, beyond <= 0.1, max(0.0, 1 - inside) * max(0.0, 1 - beyond),
             min(1.0, 4 * max(0.0, margin)), margin > 0.08 and n >= 4, margin > 0.2 and n >= 2, bool(_PERSON.search(bare[:80])), n <= 30, inside <= 0.05 and beyond <= 0.35 and 3 <= n <= 2.2 * len(qw),
+            bool(_PERSON.search(bare)), foreign, foreign > 0.5,
         ],
         np.float32,
     )
@@ -155,18 +173,21 @@ def _features(query: str, answer: str | None, lang: Languages) -> tuple[np.ndarr
     grams += [f"e{ending[i:]}" for i in range(max(0, len(ending) - 4), len(ending))]
     if len(shown) <= 24:
         grams += [f"s{shown.lower()}", *(f"c{shown.lower()[i : i + 3]}" for i in range(max(1, len(shown) - 2)))]
-    return dense, [xxhash.xxh32_intdigest(g) % _HASHED for g in grams]
+    # Of the whole answer, each n-gram once: a refusal counts as much wherever it stands.
+    whole = {*aw, *(f"{x} {y}" for x, y in zip(aw, aw[1:])), *(f"{x} {y} {z}" for x, y, z in zip(aw, aw[1:], aw[2:]))}
+    return dense, [xxhash.xxh32_intdigest(g) % _HASHED for g in grams], sorted({xxhash.xxh32_intdigest(g) % _HASHED for g in whole})
 
 
 def _matrix(pairs: list[tuple[str, str | None]], lang: Languages) -> np.ndarray:
-    out = np.zeros((len(pairs), _DENSE + _HASHED), np.float32)
+    out = np.zeros((len(pairs), _DENSE + 2 * _HASHED), np.float32)
     for i, (q, a) in enumerate(pairs):
-        dense, hashed = _features(q, a, lang)
+        dense, hashed, whole = _features(q, a, lang)
         out[i, :_DENSE] = 2 * dense
         if hashed:
             np.add.at(out[i], np.array(hashed) + _DENSE, 1.0)
             norm = np.sqrt((out[i, _DENSE:] ** 2).sum())
             out[i, _DENSE:] *= 2.0 / norm
+        out[i, np.array(whole, np.int64) + _DENSE + _HASHED] = 0.3
     return out
 
 
@@ -244,6 +265,17 @@ class DefectModel:
                 add(q, t if rng.random() < 0.3 else f"{t} {a}", -1)
             if words >= 8 and rng.random() < 0.08 and a.rstrip().endswith("."):
                 add(q, [f"**{a}**", f'"{a}"', f"{a} [2]", f"{a} (See Section 4.2.)", f"{a}\n", a.upper()][int(rng.integers(6))], -1)
+        late = np.random.default_rng(self.seed + 1)
+        for q, a in sound:
+            words = len(_WORD.findall(a))
+            if late.random() < 0.25:  # a refusal after the question, or after content, however long
+                before = [q, a, f"{q} {a}", " ".join(sound[int(j)][1] for j in late.integers(len(sound), size=3))][int(late.integers(4))]
+                add(q, f"{before} {late.choice(REFUSALS)}", 1)
+            if late.random() < 0.15:  # content alone, of the same lengths
+                add(q, " ".join([a, *(sound[int(j)][1] for j in late.integers(len(sound), size=2))]), -1)
+            if words >= 6 and late.random() < 0.06:  # another script: the letters' places in it are enough
+                base = int(late.choice([0x430, 0x3B1, 0x5D0, 0x627, 0x4E00, 0xAC00]))
+                add(q, re.sub("[a-z]", lambda m: chr(base + (ord(m.group()) - 97) % 24), a.lower()), 3)
         y = np.zeros((len(pairs), len(LABELS)), np.float32)
         for i, v in enumerate(labels):
             if v >= 0:
@@ -257,7 +289,8 @@ class DefectModel:
         w = np.zeros((x.shape[1], y.shape[1]), np.float32)
         m, v = np.zeros_like(w), np.zeros_like(w)
         own = np.ones_like(w)
-        own[24, LABELS.index("language")] = 0
+        own[[24, 27], LABELS.index("language")] = 0
+        own[_DENSE + _HASHED :, [i for i, label in enumerate(LABELS) if label != "refusal"]] = 0
         own[_DENSE:, [LABELS.index("copy"), LABELS.index("language")]] = 0  # these two are about the pair, whatever its words
         weight = np.where(y > 0, 0.5 * len(y) / np.maximum(1, y.sum(0)), 0.5 * len(y) / np.maximum(1, (1 - y).sum(0))) ** 0.5
         for step in range(1, self.rounds + 1):

@@ -306,6 +306,20 @@ def test_answer_defects(spark):
     assert answer_defects.find_defects(df.limit(0), "id", "query", {"a": "g.a"}).count() == 0
 
 
+def test_late_refusals_and_other_scripts():
+    rng = random.Random(17)
+    nouns = "supplier carrier agent licensee invoice schedule pallet ledger notice term".split()
+    say = lambda n: " ".join(f"The {rng.choice(nouns)} shall keep the {rng.choice(nouns)} of the {rng.choice(nouns)} within {rng.randint(2, 90)} days after notice." for _ in range(n))
+    ask = lambda: f"What does the agreement say about the {rng.choice(nouns)} and the {rng.choice(nouns)}?"
+    model = answer_defects.DefectModel().fit([(ask(), say(rng.randint(1, 5))) for _ in range(300)])
+    refused = [(ask(), f"{say(n)} I'm sorry, but I can't help with that request.") for n in (3, 4, 5) for _ in range(5)]
+    cyrillic = [(ask(), "Поставщик обязан хранить все документы за свой счет до истечения срока.")] * 2
+    sound = [(ask(), say(n)) for n in (1, 3, 5) for _ in range(20)]
+    assert model.predict(refused).count("refusal") >= 14
+    assert model.predict(cyrillic) == ["language"] * 2
+    assert sum(d is not None for d in model.predict(sound)) <= 1
+
+
 # Problem 6
 
 
