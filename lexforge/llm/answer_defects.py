@@ -7,6 +7,10 @@ off, replaced by the question, by a refusal or by nothing, or swapped with a
 response in another language. Rows of the sample that the first round already
 finds defective don't count as sound in the second. Each label's threshold is
 calibrated on held-out synthetic pairs.
+
+Which language a text is in is told by its character trigrams: a few sentences
+in each of many languages are known beforehand, the rest comes from the sample.
+What counts is how much worse the answer fits the query's language than any other.
 """
 
 from __future__ import annotations
@@ -21,66 +25,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm import seeds
 from lexforge.llm.common import INVISIBLE
 
 LABELS = ("empty", "refusal", "copy", "language", "truncated")
 
-# --- Seeds (fixed values): typical wordings, written for this module -------------------------------------------
-
-NOTHING = [
-    "", " ", "\n", "\n\n", "\t", "\xa0", "\xa0 \t", "​", "﻿", "-", "--", "---", "...", "…", "?", ".", "*", "**", "{}", "[]", "()", '""', "''", "```\n```", "``````", "N/A", "n/a", "NA", "n.a.", "null", "NULL",
-    "None", "none", "nil", "undefined", "NaN", "nan", "<empty>", "<none>", "<null>", "[empty]", "(empty)", "[no output]", "[no answer]", "(no answer)", "[none]", "[blank]", "<no output>", "<no response>", "[SEP]", " [SEP]  [SEP] ", "Answer:", "ANSWER: \n", "Answer: ", "A:",
-    "Response:", "Output:", "Antwort:", "Réponse :", "Respuesta:", "<br>", "</s>", "<answer></answer>", "answer", "Answer: N/A", "Answer: -", "Answer: ...", "TBD", "k. A.",
-]
-
-REFUSALS = [
-    "I'm sorry, but I can't help with that request.", "I cannot help with this.", "I am unable to assist with this.", "I am unable to assist with this. Perhaps a qualified professional could.", "Sorry, I must decline to respond.", "I must decline.", "I have to decline this question.",
-    "I cannot provide legal advice, so I have to decline this question.", "I can't give legal advice.", "As an AI language model, I cannot answer this question.", "As a language assistant I am not able to interpret contracts for you.", "As an assistant, I'm not able to comment on that.",
-    "I apologize, however I do not feel comfortable analysing that clause.", "I apologise, but I am not comfortable answering this.", "Unfortunately this is something I won't be able to answer. Please consult a lawyer.", "Unfortunately, I can't answer that. Please ask a lawyer.",
-    "Answering this would go against my usage policy.", "This would violate my guidelines.", "My guidelines do not allow me to comment on legal documents.", "My policy does not permit me to answer this.", "I won't answer that.", "I would rather not answer this question.", "I'm afraid I can't do that.",
-    "I'm not allowed to discuss this.", "It is not possible for me to answer that question.", "I do not have the ability to review legal documents.", "No comment; I am not permitted to discuss this.", "I don't think I should answer this. Please contact a professional.",
-    "It would not be appropriate for me to answer this.", "It would be inappropriate for me to comment.", "That falls outside of what I can discuss here.", "This is outside the scope of what I can talk about.", "I'd rather not give an opinion on this matter, please ask your counsel instead.", "I prefer not to give an opinion here.",
-    "I am prohibited from answering questions of this kind.", "I must refrain from commenting on this.", "Regrettably, I can't share a view on this contract.", "Please consult a lawyer instead; I can't interpret this for you.", "I don't feel able to respond to that.",
-    "Es tut mir leid, dabei kann ich nicht helfen.", "Diese Frage darf ich leider nicht beantworten.", "Als Sprachassistent bin ich nicht in der Lage, Verträge auszulegen.", "Dazu kann ich keine Auskunft geben.", "Leider kann ich Ihnen bei dieser Anfrage nicht helfen.", "Ich kann keine Rechtsberatung geben.",
-    "Ich muss die Beantwortung dieser Frage ablehnen.", "Je suis désolé, je ne peux pas répondre à cette question.", "Je ne suis pas en mesure de vous aider.", "Désolé, je ne peux pas donner de conseil juridique.", "Je ne suis pas autorisé à répondre à cette demande.", "En tant qu'assistant, je ne peux pas interpréter ce contrat.",
-    "Lo siento, no puedo ayudar con esa solicitud.", "No me está permitido dar asesoramiento jurídico.", "Lamentablemente no puedo responder a esta pregunta.", "Como asistente no puedo interpretar contratos.", "Lo siento, pero debo rechazar esta consulta.", "No estoy en condiciones de responder.",
-]
-
-#: Sound answers that are short, or that speak of refusing.
-SHORT = {
-    "en": ["Yes", "Yes.", "No", "No.", "Twelve months", "Ninety days", "30 days", "Section 4.2", "Article 7", "The Supplier.", "The Licensee", "None of the parties.", "Both parties.", "EUR 5,000", "Not specified.", "At any time.", "Five years", "In writing", "The Agent", "Schedule 3"],
-    "de": ["Ja.", "Nein.", "Ja", "Der Lieferant.", "Neunzig Tage", "Zwölf Monate", "Beide Parteien.", "Abschnitt 4.2", "Keine der Parteien."],
-    "fr": ["Oui.", "Non.", "Douze mois.", "Le fournisseur.", "Quatre-vingt-dix jours", "Les deux parties.", "Article 7", "Aucune des parties."],
-    "es": ["Sí.", "No.", "Doce meses", "El proveedor.", "Noventa días", "Ambas partes.", "Artículo 7", "Ninguna de las partes."],
-}
-SOUND = [
-    "The Supplier may refuse to deliver goods that were not paid for.", "The Agent may refuse to answer questions that fall outside of the audit.", "The Bank is unable to release the funds until the audit is closed.", "The Carrier is unable to provide assistance unless it is paid in advance.",
-    "The Consultant declines all liability for advice given by third parties.", "The Licensor cannot be compelled to respond to such requests.", "Sorry notices under Section 3.1 must be sent within 10 days.", "A party that cannot perform shall say so in writing.", "The Customer may not decline a delivery without cause.",
-]
-
-_FUNCTION_WORDS = {
-    "en": "the of and to in is for by that shall be with on any all not or are may this what which does how who under from at as its will each list where",
-    "de": "der die das und den dem des ein eine ist nicht mit von zum zur auf im für wird sind sich nach vor bei oder wer was wie welche soweit es ich kann",
-    "fr": "le la les des et du de un une est que qui dans pour par sur au aux sont pas ou avec sans plus quelle quel ce cette je ne son ses",
-    "es": "el la los las de del y que en un una es por para con no su se al lo como sin más qué quién cuál sobre salvo sus a",
-    "it": "il lo la gli le i di del dello della dei degli delle e che in un una è per con non si al alla ai sono come più o da dal dalla dai nel nella nei nelle su sul sulla salvo entro senza proprie",
-    "pt": "o a os as de do da e que em um uma é por para com não se ao aos à no na nos nas mais ou dos das pelo pela sem seu sua salvo até",
-    "nl": "de het een en van is in op te dat die niet voor met aan zijn door of bij ook wordt naar binnen zonder tenzij na eigen alle worden deze",
-    "pl": "i w na z do się nie o że jest oraz przez dla od po za który bez ich jego lub",
-    "sv": "och i att det som en på är av för med till den inte om ett har de inom utan eller efter",
-}
-_KNOWN = {w: [lang for lang, ws in _FUNCTION_WORDS.items() if w in ws.split()] for ws in _FUNCTION_WORDS.values() for w in ws.split()}
-_LANGUAGES = tuple(_FUNCTION_WORDS)
-
 _HIDDEN = re.compile(INVISIBLE)
 _WORD = re.compile(r"\w+")
 _LABEL = re.compile(r"^\W*(?:answer|response|output|antwort|réponse|respuesta|a|question|q|frage|pregunta|you asked)\s*:\s*", re.I)
 _PERSON = re.compile(r"\b(?:i (?:am|can|must|do|won|would|have|apolog|prefer|don)|i['’]|my|me|ich|je ne|puedo)\b", re.I)
 _SOURCE = re.compile(r"(?:\s*(?:\[\d{1,3}\]|\((?:see|siehe|voir|véase) [^()]{1,40}\)))+\W*$", re.I)
 _CLOSING = " \t\r\n\xa0*_`\"'”’»)]"
-_HASHED = 1 << 11
-_DENSE = 30
+_ABBREVIATED = re.compile(r"(?:^|\s)(?:art|arts|sec|no|nos|para|cf|cl|approx|incl|e\.g|i\.e|viz|vs|abs|nr|bzw|z\.b|inkl|vgl|p\.ex|cf|núm|pág)\.$", re.I)
 _SCRIPTS = ((0x370, 0x400), (0x400, 0x530), (0x530, 0x590), (0x590, 0x600), (0x600, 0x780), (0x900, 0xE00), (0xE00, 0xE80), (0x10A0, 0x1100), (0x3040, 0xA000), (0xAC00, 0xD7B0))
+_HASHED = 1 << 13
+_ENDINGS = 1 << 9
+_DENSE = 31
 
 
 def _plain(text: str | None) -> str:
@@ -96,6 +56,8 @@ def _scripts(text: str) -> Counter:
 
 def _foreign(query: str, answer: str) -> float:
     """Share of the answer's letters in scripts that less than a twentieth of the query's letters have."""
+    if query.isascii() and answer.isascii():
+        return 0.0
     asked, given = _scripts(query), _scripts(answer)
     if not asked.total() or not given.total():
         return 0.0
@@ -103,42 +65,78 @@ def _foreign(query: str, answer: str) -> float:
 
 
 class Languages:
-    """Which language a text is mainly in: function words, and the words found beside them in the sample."""
-
-    def __init__(self) -> None:
-        self.weights: dict[str, np.ndarray] = {}
-        for w, langs in _KNOWN.items():
-            v = np.zeros(len(_LANGUAGES), np.float32)
-            for lang in langs:
-                v[_LANGUAGES.index(lang)] = 1.0 / len(langs)
-            self.weights[w] = v
-
-    def score(self, words: list[str]) -> np.ndarray:
-        out = np.zeros(len(_LANGUAGES), np.float32)
-        for w in words:
-            v = self.weights.get(w)
-            if v is not None:
-                out += v
-        return out / max(1, len(words))
+    """Character trigrams of each language: log probabilities by bucket, a row per bucket."""
+
+    BITS = 14
+
+    def __init__(self, table: np.ndarray | None = None):
+        if table is None:
+            self.counts = np.stack([self._counts(t) for t in seeds.LANGUAGES.values()], 1)
+            self._fit()
+        else:
+            self.table = table
+
+    def _fit(self) -> None:
+        size = 1 << self.BITS
+        all_of = self.counts.sum(1, keepdims=True)
+        base = (all_of + 0.5) / (all_of.sum() + 0.5 * size)  # an n-gram unknown to a language is as likely as among all
+        own = np.sqrt(self.counts)  # a text that repeats itself counts less
+        total = own.sum(0)
+        self.table = np.log(0.9 * own / total + 0.1 * base).astype(np.float32)
+
+    def _grams(self, text: str) -> np.ndarray:
+        # A name tells nothing about the language: words with a capital inside a text, and with digits, are left out.
+        words = [w.lower() for i, w in enumerate(_WORD.findall(text)) if not any(map(str.isdigit, w)) and (i == 0 or w.islower() or w.isupper() or not w[0].isupper())]
+        points = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        if len(points) < 3:
+            return np.empty(0, np.int64)
+        h = (points[:-2] * np.uint64(0x9E3779B97F4A7C15) + points[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + points[2:]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _counts(self, text: str) -> np.ndarray:
+        return np.bincount(self._grams(text), minlength=1 << self.BITS).astype(np.float64)
+
+    def score(self, text: str) -> tuple[np.ndarray, int]:
+        """Mean log probability of the text's trigrams in each language, and their number."""
+        grams = self._grams(text)
+        return (self.table[grams].mean(0) if len(grams) else np.zeros(self.table.shape[1], np.float32)), len(grams)
 
     def learn(self, texts: list[str]) -> None:
-        seen: dict[str, np.ndarray] = {}
+        """Add the counts of texts whose language is beyond doubt."""
+        more = np.zeros_like(self.counts)
         for t in texts:
-            words = [w.lower() for w in _WORD.findall(t)]
-            s = np.sort(self.score(words))
-            if len(words) >= 6 and s[-1] > 0.15 and s[-1] > 2 * s[-2]:
-                best = int(self.score(words).argmax())
-                for w in set(words):
-                    seen.setdefault(w, np.zeros(len(_LANGUAGES), np.float32))[best] += 1
-        total = np.maximum(1, sum(seen.values(), np.zeros(len(_LANGUAGES), np.float32)))
-        for w, v in seen.items():
-            share = v / total
-            if v.sum() >= 3 and w not in _KNOWN and not any(c.isdigit() for c in w) and share.max() > 0.9 * share.sum():
-                self.weights[w] = np.where(np.arange(len(share)) == share.argmax(), 1.0, 0.0).astype(np.float32)
-
-
-def _features(query: str, answer: str | None, lang: Languages) -> tuple[np.ndarray, list[int], list[int]]:
-    q, a = _plain(query), _plain(answer)
+            s, n = self.score(t)
+            order = np.argsort(s)
+            if n >= 40 and s[order[-1]] - s[order[-2]] > 0.15:
+                more[:, order[-1]] += self._counts(t)
+        self.counts = self.counts + more
+        self._fit()
+
+
+def _margin(lang: Languages, asked: tuple[np.ndarray, int], given: tuple[np.ndarray, int]) -> float:
+    """How much better the answer fits another language than those that the query may be in."""
+    (q, nq), (a, na) = asked, given
+    if nq < 3 or na < 3:
+        return 0.0
+    p = np.exp((q - q.max()) * min(nq, 60))
+    return float(a.max() - (a * p).sum() / p.sum())
+
+
+def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    out = np.empty(len(words), np.uint64)
+    for i, w in enumerate(words):
+        h = known.get(w)
+        if h is None:
+            if len(known) > 200_000:
+                known.clear()
+            h = known[w] = xxhash.xxh64_intdigest(w)
+        out[i] = h
+    return out
+
+
+def _features(query: str, asked: tuple[np.ndarray, int], answer: str | None, lang: Languages, known: dict[str, int]) -> tuple[np.ndarray, list[int], np.ndarray]:
+    q, a = query, _plain(answer)
     shown = a.strip()
     bare = _LABEL.sub("", shown.replace("[SEP]", " ")).strip()
     qw, aw = [w.lower() for w in _WORD.findall(q)], [w.lower() for w in _WORD.findall(bare)]
@@ -146,14 +144,14 @@ def _features(query: str, answer: str | None, lang: Languages) -> tuple[np.ndarr
     tail = _SOURCE.sub("", shown).rstrip(_CLOSING)
     end = tail[-1:] if tail else ""
     raw_end = shown[-1:] if shown else ""
-    stopped = end in ".!?" and end != ""
+    broken = bool(_ABBREVIATED.search(tail)) and len(aw) > 4
+    stopped = end in ".!?。！？؟।" and end != "" and not broken
     last_line = shown.rsplit("\n", 1)[-1].strip() if shown else ""
     inside, beyond = len(as_ - qs) / max(1, len(as_)), len(qs - as_) / max(1, len(qs))
-    ls, lq = lang.score(aw), lang.score(qw)
-    best = int(ls.argmax())
-    margin = float(ls[best] - ls[int(lq.argmax())]) if lq.max() > 0 and len(aw) else 0.0
-    n = len(aw)
     foreign = _foreign(q, bare)
+    n = max(len(aw), len(bare) // 3 if foreign > 0.5 and any(c > "\u2e80" for c in bare) else 0)  # some scripts don't part words
+    margin = _margin(lang, asked, lang.score(bare)) if n else 0.0
+    margin += foreign  # the trigrams of other scripts are known to no language
     dense = np.array(
         [
             1.0, n == 0, n == 1, 2 <= n <= 4, n >= 8, min(n, 40) / 40, len(bare) <= 3,
@@ -161,41 +159,44 @@ def _features(query: str, answer: str | None, lang: Languages) -> tuple[np.ndarr
             (shown.count('"') % 2 or shown.count("“") != shown.count("”") or shown.count("(") != shown.count(")") or shown.count("[") != shown.count("]")) and n > 2,
             shown.count("**") % 2 and n > 2, bool(re.fullmatch(r"\W*\d{1,2}[.)]?\W*", last_line)) and n > 3, bool(re.search(r"(?:^|\s)\w{1,3}$", tail)) and not stopped and n >= 5,
             inside <= 0.15 and n >= 3, inside <= 0.15 and beyond <= 0.4 and n >= 3, inside >= 0.3, beyond <= 0.1, max(0.0, 1 - inside) * max(0.0, 1 - beyond),
-            min(1.0, 4 * max(0.0, margin)), margin > 0.08 and n >= 4, margin > 0.2 and n >= 2, bool(_PERSON.search(bare[:80])), n <= 30, inside <= 0.05 and beyond <= 0.35 and 3 <= n <= 2.2 * len(qw),
-            bool(_PERSON.search(bare)), foreign, foreign > 0.5,
+            min(1.5, 2 * margin), margin > 0.2 and n >= 4, margin > 0.45 and n >= 3, bool(_PERSON.search(bare)), n <= 30, inside <= 0.05 and beyond <= 0.35 and 3 <= n <= 2.2 * len(qw),
+            foreign, foreign > 0.5, broken, margin > 0.3 and n >= 8,
         ],
         np.float32,
     )
-    assert len(dense) == _DENSE
-    head = aw[:24]
-    grams = [f"w{w}" for w in head] + [f"b{x} {y}" for x, y in zip(head, head[1:])] + [f"t{x} {y} {z}" for x, y, z in zip(head, head[1:], head[2:])]
     ending = shown[-8:].lower()
-    grams += [f"e{ending[i:]}" for i in range(max(0, len(ending) - 4), len(ending))]
+    ends = [f"e{ending[i:]}" for i in range(max(0, len(ending) - 4), len(ending))] + ([f"l{aw[-1]}"] if n else [])
     if len(shown) <= 24:
-        grams += [f"s{shown.lower()}", *(f"c{shown.lower()[i : i + 3]}" for i in range(max(1, len(shown) - 2)))]
-    # Of the whole answer, each n-gram once: a refusal counts as much wherever it stands.
-    whole = {*aw, *(f"{x} {y}" for x, y in zip(aw, aw[1:])), *(f"{x} {y} {z}" for x, y, z in zip(aw, aw[1:], aw[2:]))}
-    return dense, [xxhash.xxh32_intdigest(g) % _HASHED for g in grams], sorted({xxhash.xxh32_intdigest(g) % _HASHED for g in whole})
+        ends += [f"s{shown.lower()}", *(f"c{shown.lower()[i : i + 3]}" for i in range(max(1, len(shown) - 2)))]
+    # n-grams of the whole answer, each once: a refusal counts as much wherever it stands.
+    h = _word_hashes(aw if n > 1 or not bare or bare.isascii() else list(bare[:400]), known)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    two = h[:-1] * step + h[1:]
+    whole = np.concatenate([h, two, two[:-1] * step + h[2:]])
+    whole = np.unique((whole ^ (whole >> np.uint64(31))) * step >> np.uint64(51))
+    return dense, [xxhash.xxh32_intdigest(g) % _ENDINGS for g in ends], whole.astype(np.int64)
 
 
 def _matrix(pairs: list[tuple[str, str | None]], lang: Languages) -> np.ndarray:
-    out = np.zeros((len(pairs), _DENSE + 2 * _HASHED), np.float32)
+    out = np.zeros((len(pairs), _DENSE + _ENDINGS + _HASHED), np.float16)
+    known: dict[str, int] = {}
+    asked: dict[str, tuple[str, tuple[np.ndarray, int]]] = {}
     for i, (q, a) in enumerate(pairs):
-        dense, hashed, whole = _features(q, a, lang)
+        if q not in asked:
+            asked[q] = (_plain(q), lang.score(_plain(q)))
+        dense, ends, whole = _features(*asked[q], a, lang, known)
         out[i, :_DENSE] = 2 * dense
-        if hashed:
-            np.add.at(out[i], np.array(hashed) + _DENSE, 1.0)
-            norm = np.sqrt((out[i, _DENSE:] ** 2).sum())
-            out[i, _DENSE:] *= 2.0 / norm
-        out[i, np.array(whole, np.int64) + _DENSE + _HASHED] = 0.3
+        if ends:
+            np.add.at(out[i], np.array(ends) + _DENSE, np.float16(0.5))
+        out[i, whole + _DENSE + _ENDINGS] = 0.3
     return out
 
 
 class DefectModel:
-    """seed: of the synthetic pairs; rounds: gradient steps of a fit."""
+    """seed: of the synthetic pairs; epochs: passes over them in a fit."""
 
-    def __init__(self, seed: int = 7, rounds: int = 220):
-        self.seed, self.rounds = seed, rounds
+    def __init__(self, seed: int = 7, epochs: int = 14):
+        self.seed, self.epochs = seed, epochs
         self.lang = Languages()
 
     # Synthetic pairs --------------------------------------------------------------------------------------
@@ -206,7 +207,7 @@ class DefectModel:
             t = a[:at] if rng.random() < 0.5 else a[:at].rsplit(" ", 1)[0]
             t = t.rstrip()
             if len(_WORD.findall(t)) >= 3 and t.rstrip(_CLOSING)[-1:] not in ".!?;" and len(t) < len(a.rstrip()) - 3:
-                return t + str(rng.choice(["", "", "", "", " …", "...", ",", " (", ":", "\n", "\xa0", " -"]))
+                return t + str(rng.choice(["", "", "", "", " …", "...", ",", " (", ":", "\n", "\xa0", " -", " Art.", " cf."]))
         return None
 
     def _copy(self, rng: np.random.Generator, q: str) -> str:
@@ -220,18 +221,29 @@ class DefectModel:
 
     def _synthetic(self, sound: list[tuple[str, str]]) -> tuple[list[tuple[str, str | None]], np.ndarray]:
         rng = np.random.default_rng(self.seed)
-        by = Counter()
-        language = [(int(s.argmax()) if (s := self.lang.score([w.lower() for w in _WORD.findall(a)])).max() > 0.1 else -1) for _, a in sound]
-        asked = [(int(s.argmax()) if (s := self.lang.score([w.lower() for w in _WORD.findall(q)])).max() > 0 else 0) for q, _ in sound]
-        pool = {v: [a for (_, a), x in zip(sound, language) if x == v and len(a) > 30] for v in set(language) if v >= 0}
+        names = list(seeds.LANGUAGES)
+        refusals, nothings, declining = seeds.lines(seeds.REFUSAL), seeds.nothings(), seeds.lines(seeds.DECLINING)
+        brief = {k: list(seeds.readings(v)) for k, v in seeds.BRIEF.items()}
+        answered, asked = ([s[0].argmax() if (s := self.lang.score(t))[1] > 5 else -1 for t in side] for side in ([a for _, a in sound], [q for q, _ in sound]))
+        pool = {v: [a for (_, a), x in zip(sound, answered) if x == v and len(a) > 30] for v in set(answered) if v >= 0}
+        # Sentences of the languages that are known beforehand stand for answers in a language that the table has not.
+        for i, name in enumerate(names):
+            pool.setdefault(i, [])
+            pool[i] = pool[i] + [s.strip() + "." for s in seeds.LANGUAGES[name].split(".")[:2]] * (1 if pool[i] else 3)
+        usual = Counter(v for v in asked if v >= 0).most_common(1)
+        usual = usual[0][0] if usual else 0
+        by_language: dict[int, list[str]] = {}
+        for t in refusals:
+            by_language.setdefault(int(self.lang.score(t)[0].argmax()), []).append(t)
         pairs: list[tuple[str, str | None]] = []
-        labels: list[int] = []
+        labels: list[tuple[int, ...]] = []
 
-        def add(q, a, label):
+        def add(q, a, *label):
             pairs.append((q, a))
             labels.append(label)
-            by[label] += 1
 
+        pick = lambda xs: xs[int(rng.integers(len(xs)))]
+        case = lambda t: t.capitalize() if rng.random() < 0.8 else t.upper() if rng.random() < 0.5 else t
         for i, (q, a) in enumerate(sound):
             add(q, a, -1)
             words = len(_WORD.findall(a))
@@ -246,59 +258,71 @@ class DefectModel:
                 add(q, self._copy(rng, q), 2)
             if rng.random() < 0.15:
                 add(q, f"{q} {a}", -1)
-            if rng.random() < 0.35:
-                t = str(rng.choice(REFUSALS))
-                t = rng.choice(["", "", "", "Thank you for the question. ", "Thank you. "]) + t
-                t = t.upper() if rng.random() < 0.1 else f"{t} {rng.choice(REFUSALS)}" if rng.random() < 0.1 else t
+            if rng.random() < 0.6:
+                own = by_language.get(asked[i], refusals) if rng.random() < 0.75 else refusals
+                t = case(pick(own)).replace(" i ", " I ").replace(" i'", " I'")
+                t = pick(["", "", "", "Thank you for the question. ", "Thank you. "]) + t + pick([".", ".", ".", ""])
+                t = f"{t} {case(pick(own))}." if rng.random() < 0.15 else t
+                if rng.random() < 0.2:
+                    t += pick([" Perhaps someone else can.", " Maybe an expert could help.", " You may want to ask somebody who knows the case.", " Is there anything else?", " Thank you for understanding.", " Vielleicht kann jemand anders helfen.", " Merci de votre compréhension.", " Gracias por su comprensión."])
+                if rng.random() < 0.3:  # after the question or after content, however long
+                    t = f"{pick([q, a, ' '.join(pick(sound)[1] for _ in range(3))])} {t}"
                 add(q, t.replace("'", "’") if rng.random() < 0.2 else t, 1)
-            if rng.random() < 0.2:
-                add(q, None if rng.random() < 0.08 else str(rng.choice(NOTHING)), 0)
-            others = [v for v in pool if v != asked[i] and len(pool[v]) > 5]
-            if others and rng.random() < 0.4:
-                b = pool[others[int(rng.integers(len(others)))]]
-                add(q, b[int(rng.integers(len(b)))], 3)
-            if rng.random() < (0.15 if asked[i] == 0 else 0.6):
-                own = SHORT.get(_LANGUAGES[asked[i]], SHORT["en"])
-                add(q, str(own[int(rng.integers(len(own)))]), -1)
-            if asked[i] == 0 and rng.random() < 0.06:
-                t = str(rng.choice(SOUND))
-                add(q, t if rng.random() < 0.3 else f"{t} {a}", -1)
-            if words >= 8 and rng.random() < 0.08 and a.rstrip().endswith("."):
-                add(q, [f"**{a}**", f'"{a}"', f"{a} [2]", f"{a} (See Section 4.2.)", f"{a}\n", a.upper()][int(rng.integers(6))], -1)
-        late = np.random.default_rng(self.seed + 1)
-        for q, a in sound:
-            words = len(_WORD.findall(a))
-            if late.random() < 0.25:  # a refusal after the question, or after content, however long
-                before = [q, a, f"{q} {a}", " ".join(sound[int(j)][1] for j in late.integers(len(sound), size=3))][int(late.integers(4))]
-                add(q, f"{before} {late.choice(REFUSALS)}", 1)
-            if late.random() < 0.15:  # content alone, of the same lengths
-                add(q, " ".join([a, *(sound[int(j)][1] for j in late.integers(len(sound), size=2))]), -1)
-            if words >= 6 and late.random() < 0.06:  # another script: the letters' places in it are enough
-                base = int(late.choice([0x430, 0x3B1, 0x5D0, 0x627, 0x4E00, 0xAC00]))
+            if rng.random() < 0.15:
+                add(q, " ".join([a, pick(sound)[1], pick(sound)[1]]), -1)
+            if rng.random() < 0.3:
+                add(q, None if rng.random() < 0.05 else pick(nothings), 0)
+            if rng.random() < 0.5:
+                v = pick([x for x in pool if x != asked[i] and pool[x]])
+                t = pick(pool[v])
+                add(q, t, 3)
+                if rng.random() < 0.15 and (t := self._cut(rng, t)):
+                    add(q, t, 3, 4)
+            if words >= 6 and rng.random() < 0.05:  # another script: the letters' places in it are enough
+                base = pick([0x430, 0x3B1, 0x5D0, 0x627, 0x4E00, 0xAC00])
                 add(q, re.sub("[a-z]", lambda m: chr(base + (ord(m.group()) - 97) % 24), a.lower()), 3)
+            for _ in range(1 + 2 * (asked[i] != usual) if rng.random() < (0.3 if asked[i] == usual else 0.8) else 0):
+                add(q, case(pick(brief.get(names[asked[i]], brief["en"]))), -1)
+            if rng.random() < 0.1:
+                t = case(pick(declining))
+                add(q, t if rng.random() < 0.4 else f"{t} {a}", -1, -2)
+            if words >= 8 and rng.random() < 0.08 and a.rstrip().endswith("."):
+                add(q, pick([f"**{a}**", f'"{a}"', f"{a} [2]", f"{a} (See Section 4.2.)", f"{a}\n", a.upper()]), -1)
         y = np.zeros((len(pairs), len(LABELS)), np.float32)
-        for i, v in enumerate(labels):
-            if v >= 0:
-                y[i, v] = 1
+        for i, own in enumerate(labels):
+            y[i, [v for v in own if v >= 0]] = 1
+            if 1 in own or -2 in own:  # seeds come in any language, so they say nothing about that
+                y[i, 3] = np.nan
         return pairs, y
 
     # Fit --------------------------------------------------------------------------------------------------
 
     def _train(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Logistic regression of every label, by accelerated gradient descent with a small L2 penalty."""
+        """Logistic regression of every label, by gradient descent in small parts with a small L2 penalty."""
+        rng = np.random.default_rng(self.seed)
         w = np.zeros((x.shape[1], y.shape[1]), np.float32)
         m, v = np.zeros_like(w), np.zeros_like(w)
         own = np.ones_like(w)
-        own[[24, 27], LABELS.index("language")] = 0
-        own[_DENSE + _HASHED :, [i for i, label in enumerate(LABELS) if label != "refusal"]] = 0
-        own[_DENSE:, [LABELS.index("copy"), LABELS.index("language")]] = 0  # these two are about the pair, whatever its words
-        weight = np.where(y > 0, 0.5 * len(y) / np.maximum(1, y.sum(0)), 0.5 * len(y) / np.maximum(1, (1 - y).sum(0))) ** 0.5
-        for step in range(1, self.rounds + 1):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ ((p - y) * weight) / max(1, len(x)) + 2e-5 * w
-            g *= own
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        whole = slice(_DENSE + _ENDINGS, None)
+        own[whole, [i for i, label in enumerate(LABELS) if label != "refusal"]] = 0
+        own[_DENSE : _DENSE + _ENDINGS, [LABELS.index("copy"), LABELS.index("language"), LABELS.index("refusal")]] = 0  # these are about the pair, or the wording
+        pair = [0, 2, 3, 4, 5, 21, 22, 23, 27, 28, 30]  # a language is told by the pair, not by how the answer ends
+        own[[i for i in range(_DENSE) if i not in pair], LABELS.index("language")] = 0
+        own[np.ix_([21, 22, 23, 27, 28, 30], [i for i, label in enumerate(LABELS) if label != "language"])] = 0
+        weight = np.where(y > 0, 0.5 * len(y) / np.maximum(1, (y == 1).sum(0)), 0.5 * len(y) / np.maximum(1, (y == 0).sum(0))) ** 0.5
+        weight[np.isnan(y)], y = 0, np.nan_to_num(y)
+        step = 0
+        for epoch in range(self.epochs):
+            order = rng.permutation(len(x))
+            rate = 0.05 * (1 - epoch / self.epochs)
+            for s in range(0, len(x), 256):
+                part = order[s : s + 256]
+                own_x = x[part].astype(np.float32)
+                p = 1 / (1 + np.exp(-np.clip(own_x @ w, -30, 30)))
+                g = (own_x.T @ ((p - y[part]) * weight[part]) / len(part) + 2e-5 * w) * own
+                step += 1
+                m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         return w
 
     def fit(self, sample: list[tuple[str, str]]) -> DefectModel:
@@ -306,34 +330,41 @@ class DefectModel:
         self.lang.learn([t for pair in sample for t in pair if t])
         sound = [(q, a) for q, a in sample if a and a.strip() and q]
         self.thresholds = np.full(len(LABELS), 0.5)
-        for _ in range(2):
-            pairs, y = self._synthetic(sound)
+        for last in (False, True):
+            pairs, y = self._synthetic(sound) if sound else ([], np.zeros((0, len(LABELS)), np.float32))
             x = _matrix(pairs, self.lang)
             held = np.arange(len(x)) % 5 == 0
             self.w = self._train(x[~held], y[~held])
-            p = 1 / (1 + np.exp(-np.clip(x[held] @ self.w, -30, 30)))
+            p = self._probabilities(x[held])
             self.held_out = {}
             for i, label in enumerate(LABELS):
                 grid = np.linspace(0.2, 0.9, 29)
-                hits = p[:, i, None] > grid
-                true = y[held][:, i, None] > 0
+                known = ~np.isnan(y[held][:, i])
+                hits = p[known, i, None] > grid
+                true = y[held][known, i, None] > 0
                 f1 = 2 * (hits & true).sum(0) / np.maximum(1, hits.sum(0) + true.sum())
                 good = grid[f1 >= f1.max() - 0.005]  # of thresholds that are as good, the most central one
                 self.thresholds[i], self.held_out[label] = good[np.abs(good - 0.5).argmin()], float(f1.max())
-            doubt = 1 / (1 + np.exp(-np.clip(_matrix(sound, self.lang) @ self.w, -30, 30)))
-            sound = [pair for pair, p in zip(sound, doubt.max(1)) if p < 0.15]
+            if not last:
+                sound = [pair for pair, p in zip(sound, self._probabilities(_matrix(sound, self.lang)).max(1)) if p < 0.15]
         return self
 
+    def _probabilities(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x.astype(np.float32) @ self.w, -30, 30)))
+
+    def certainties(self, pairs: list[tuple[str, str | None]]) -> np.ndarray:
+        """Of each pair and label, how far the probability is above the label's threshold: 0 at it, 1 at certainty, negative below."""
+        out = [np.empty((0, len(LABELS)))]
+        for s in range(0, len(pairs), 500):
+            p = self._probabilities(_matrix(pairs[s : s + 500], self.lang))
+            out.append((p - self.thresholds) / (1 - self.thresholds))
+        return np.concatenate(out)
+
     def predict(self, pairs: list[tuple[str, str | None]]) -> list[str | None]:
         """The most certain defect of each pair, or None."""
-        out: list[str | None] = []
-        for s in range(0, len(pairs), 500):
-            x = _matrix(pairs[s : s + 500], self.lang)
-            p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
-            over = (p - self.thresholds) / (1 - self.thresholds)
-            best = over.argmax(1)
-            out += [LABELS[b] if o[b] > 0 else None for b, o in zip(best, over)]
-        return out
+        over = self.certainties(pairs)
+        over[:, 1] += over[:, 1] > 0  # a refusal is one in any language
+        return [LABELS[o.argmax()] if o.max() > 0 else None for o in over]
 
 
 def fit_on_sample(df: DataFrame, key: str, query: str, answers: dict[str, str], rows: int = 700, **model) -> DefectModel:
@@ -345,27 +376,37 @@ def fit_on_sample(df: DataFrame, key: str, query: str, answers: dict[str, str],
 
 
 def find_defects(df: DataFrame, key: str, query: str, answers: dict[str, str], model: DefectModel | None = None, **fit) -> DataFrame:
-    """(key, answer_field, defect): every defective answer with its defect, at most one per field.
+    """(key, answer_field, defect, certainty): every defect that is over its threshold, so that an answer may have several.
 
     answers: name in the result to column (or path into a struct). A null or
     empty query leaves what can be seen in the answer alone; rows without a key
-    take no part; rows that repeat a key and its content count once; further
-    columns are ignored.
+    take no part; rows that repeat a key give each defect once, with the
+    greatest certainty; further columns are ignored.
     """
     model = model or fit_on_sample(df, key, query, answers, **fit)
-    shared = df.sparkSession.sparkContext.broadcast((model.w, model.thresholds, model.lang.weights))  # of fixed size, but for the sample's words
+    shared = df.sparkSession.sparkContext.broadcast((model.w, model.thresholds, model.lang.table))  # of fixed size
     fields = list(answers)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = DefectModel()
-        own.w, own.thresholds, own.lang.weights = shared.value
+        own = object.__new__(DefectModel)
+        own.w, own.thresholds, table = shared.value
+        own.lang = Languages(table)
         for batch in batches:
             queries = batch.column(1).to_pylist()
             for i, field in enumerate(fields):
-                defects = own.predict([(q or "", a) for q, a in zip(queries, batch.column(2 + i).to_pylist())])
-                at = [j for j, d in enumerate(defects) if d]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array([field] * len(at), pa.string()), pa.array([defects[j] for j in at], pa.string())], ["key", "answer_field", "defect"])
+                over = own.certainties([(q or "", a) for q, a in zip(queries, batch.column(2 + i).to_pylist())])
+                at, label = np.nonzero(over > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), pa.array([field] * len(at), pa.string()), pa.array([LABELS[j] for j in label], pa.string()), pa.array(over[at, label], pa.float64())], ["key", "answer_field", "defect", "certainty"]
+                )
 
     rows = df.select(F.col(key).alias("key"), F.col(query).alias("query"), *(F.expr(path).alias(f"a{i}") for i, path in enumerate(answers.values()))).where(F.col("key").isNotNull())
-    found = rows.mapInArrow(judge, f"key {rows.schema['key'].dataType.simpleString()}, answer_field string, defect string")
-    return found.groupBy("key", "answer_field").agg(F.min("defect").alias("defect"))
+    found = rows.mapInArrow(judge, f"key {rows.schema['key'].dataType.simpleString()}, answer_field string, defect string, certainty double")
+    return found.groupBy("key", "answer_field", "defect").agg(F.max("certainty").alias("certainty"))
+
+
+def chief_defect(found: DataFrame) -> DataFrame:
+    """(key, answer_field, defect): the most certain defect of each answer, a refusal before others, as it is one in any language;
+    the first by name of those equally certain."""
+    weight = F.when(F.col("defect") == "refusal", -1 - F.col("certainty")).otherwise(-F.col("certainty"))
+    return found.groupBy("key", "answer_field").agg(F.min_by("defect", F.struct(weight, "defect")).alias("defect"))

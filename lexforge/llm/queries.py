@@ -26,7 +26,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     answers = {"answer_b1": "generation.answer_b1", "answer_mmr": "generation.answer_mmr", "ground_truth": "ground_truth"}
-    return answer_defects.find_defects(_table(spark, folder, "llm_detail"), "detail_id", "query", answers).withColumnRenamed("key", "detail_id")
+    found = answer_defects.find_defects(_table(spark, folder, "llm_detail"), "detail_id", "query", answers)
+    return answer_defects.chief_defect(found).withColumnRenamed("key", "detail_id")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

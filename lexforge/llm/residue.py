@@ -264,22 +264,25 @@ class ResidueModel:
             shown.append(_TAG.sub(" ", t) if "<" in t else t)
         out: list[dict] = [{"kinds": ["placeholder"] if s else [], "filler": 0, "message": 0, "size": 0} for s in slots]
         codes, owner = encode(shown)
-        grams = _grams(codes, self.ORDER, self.BITS)
+        self.judge_grams(_grams(codes, self.ORDER, self.BITS), owner, slots, out)
+        return out
+
+    def judge_grams(self, grams: np.ndarray, owner: np.ndarray, slots: list[list[tuple[int, int]]], out: list[dict]) -> None:
+        """The same from the texts' n-grams, into what is known of each text."""
         if not len(grams):
-            return out
-        start = np.searchsorted(owner, np.arange(len(texts) + 1))
+            return
+        start = np.searchsorted(owner, np.arange(len(out) + 1))
         total = np.zeros((len(grams) + 1, len(_MODELS)), np.int32)
         np.cumsum(self.score[grams], axis=0, dtype=np.int32, out=total[1:])
         # A text needs a closer look if one of its windows is above a threshold; those that are shorter than a window always do.
         w = min(self.window, len(grams))
-        high = ((total[w:, : len(KINDS)] - total[:-w, : len(KINDS)]) > self.threshold * self.SCALE * w).any(1)
-        look = np.bincount(owner[: len(high)][high], minlength=len(texts)) > 0
+        high = ((total[w:, : len(KINDS)] - total[:-w, : len(KINDS)]) > min(self.threshold, self.filler) * self.SCALE * w).any(1)
+        look = np.bincount(owner[: len(high)][high], minlength=len(out)) > 0
         look |= np.diff(start) - self.ORDER + 1 < self.window
         for d in np.flatnonzero(look):
             n = start[d + 1] - start[d] - self.ORDER + 1
             if n > 0:
                 self._judge_one(total[start[d] : start[d] + n + 1], slots[d], out[d])
-        return out
 
     def _judge_one(self, total: np.ndarray, slots: list[tuple[int, int]], out: dict) -> None:
         n = len(total) - 1
@@ -342,11 +345,18 @@ def fit(df: DataFrame, text: str, **model) -> ResidueModel:
         total = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
             for _, texts in _slices(batch.column(0).to_pylist()):
-                judged = model.judge(texts)
-                prose = [t for t, j in zip(texts, judged) if not {"error_page", "script_notice", "filler"} & set(j["kinds"])]
-                filler = [t for t, j in zip(texts, judged) if j["filler"] > 0.5 * j["size"]]
-                total[0] += _count(prose, order, bits).astype(np.int64) if prose else 0
-                total[1] += _count(filler, order, bits).astype(np.int64) if filler else 0
+                codes, owner = encode(texts)
+                grams = _grams(codes, order, bits)
+                judged: list[dict] = [{"kinds": [], "filler": 0} for _ in texts]
+                model.judge_grams(grams, owner, [[]] * len(texts), judged)
+                inside = owner[: len(grams)] == owner[len(owner) - len(grams) :]
+                own = np.array([0 if not j["kinds"] else 1 if j["filler"] > 0.5 * j["size"] else 2 for j in judged])[owner[: len(grams)]]
+                for kind in (0, 1):
+                    at = grams[inside & (own == kind)]
+                    if kind == 0:
+                        total[0] += np.bincount(at, minlength=1 << bits)
+                    else:
+                        np.add.at(total[1], at, 1)
         for kind in (0, 1):
             at = np.flatnonzero(total[kind])
             for s in range(0, len(at), 200_000):

@@ -230,3 +230,97 @@ El mercado abre a las siete y cierra a mediodía. Las mujeres venden fruta, ques
 Il treno parte ogni mattina dalla stazione vecchia e attraversa la valle fino al mare. O mercado abre cedo e fecha ao meio-dia. De trein vertrekt elke ochtend van het oude station. Pociąg odjeżdża codziennie rano ze starego dworca.
 Поезд отправляется каждое утро со старого вокзала и идёт через долину к морю. Сервер отправляет страницы, которые запрашивает браузер. 火车每天早上从旧车站出发，穿过山谷驶向大海。服务器把浏览器请求的页面发送给用户。電車は毎朝古い駅を出て谷を通り海へ向かう。サーバーはページを送る。
 """
+
+# --- Answers ---------------------------------------------------------------------------------------------------
+
+REFUSAL = """
+(i'm sorry, but|i am sorry,|unfortunately,|i apologise, but|regrettably,|i regret that|i'm afraid|sorry, but|thank you, but|) i (can't|cannot|am unable to|am not able to|won't|will not|must decline to|have to decline to|am not allowed to|am not permitted to|would rather not|prefer not to|am not in a position to|decline to|refuse to) (answer|help with|assist with|comment on|discuss|respond to|advise on|interpret|analyse|speak about|give an opinion on|provide information on|assist you with) (this|that|this question|that question|your request|your question|this matter|legal matters|such documents|this topic|it|legal questions|that kind of question)
+as (an ai|an ai model|a language model|an assistant|an automated system|a chatbot|a virtual assistant), i (can't|cannot|am unable to|am not able to|do not|am not allowed to|should not|may not) (answer|give legal advice|provide legal advice|interpret contracts|review documents|have opinions|comment on contracts|offer legal opinions)
+(that|this|your question|this request) (is|falls|lies|goes) (outside|beyond|outside of) (what i can|what i may|the scope of what i may|the limits of what i can|my remit to) (answer|discuss|do|talk about|comment on|help with)
+it (would be inappropriate|would be wrong|would be irresponsible|would not be right|would not be appropriate|is not possible|isn't possible) for me to (answer|comment|respond|give advice|judge this|share an opinion|speculate)
+(my|the) (guidelines|rules|policies|instructions|usage policy|safety rules|terms) (do not allow|do not permit|prevent|forbid|keep|don't let|prohibit) me (to answer|from answering|to discuss this|from commenting on this|to help|from giving advice|to give advice) (|on legal matters|here|on this)
+(please|you should|i suggest that you|it is best to) (consult|ask|contact|see|speak to|turn to) (a lawyer|an expert|your counsel|a professional|a specialist|an attorney) (instead|about this|for that|as i cannot answer|since i can't advise you|because i may not interpret this)
+(no comment|i have no comment on this|i have nothing to say about that|i'd rather stay silent on this|i must refrain from commenting|i must pass on this question|i will have to pass on this one)
+i (do not|don't) (feel comfortable|feel able|think i should|think it right|have the ability|have permission|have the authority|wish) to (answer|answering|respond|comment|share a view|review this|analyse this clause|give an answer) (|this|here|on that)
+(answering|responding to|commenting on) (this|that|your question) (would violate|would breach|would go against|is against|conflicts with) (my rules|my guidelines|my policy|the usage policy|my instructions)
+(es tut mir leid,|leider|bedauerlicherweise|entschuldigung,|) (ich kann|kann ich|darf ich|ich darf) (|ihnen) (|hierzu|dazu|dabei|diese frage|das|diese anfrage) (nicht helfen|nicht beantworten|keine auskunft geben|keine rechtsberatung geben|nicht kommentieren|nichts sagen|keine antwort geben|nicht auslegen)
+als (ki|sprachmodell|assistent|automatisches system) (kann|darf) ich (keine rechtsberatung geben|diese frage nicht beantworten|verträge nicht auslegen|dazu nichts sagen). (ich muss|ich möchte) (die antwort|die beantwortung|ihre anfrage) (ablehnen|verweigern). bitte wenden sie sich an (einen anwalt|eine fachperson)
+(je suis désolé, mais|désolé,|malheureusement,|je regrette,|) je ne (peux pas|suis pas en mesure de|suis pas autorisé à|peux|saurais) (répondre à|vous aider pour|commenter|donner un avis sur|traiter|interpréter) (cette question|cette demande|ce sujet|ce point|cela|ce contrat)
+en tant (qu'ia|qu'assistant|que modèle de langage), je ne (peux pas|dois pas) (donner de conseil juridique|interpréter des contrats|répondre). je (préfère|dois) (ne pas répondre|refuser de répondre|m'abstenir). veuillez consulter un avocat
+(lo siento, pero|lo siento,|lamentablemente,|disculpe,|) no (puedo|me es posible|estoy autorizado a|estoy en condiciones de|me está permitido) (responder a|ayudarle con|comentar|opinar sobre|contestar|interpretar) (esta pregunta|esa solicitud|este asunto|eso|este contrato|su consulta)
+como (ia|asistente|modelo de lenguaje), no (puedo|debo) (dar asesoramiento legal|interpretar contratos|responder). (prefiero|debo) (no responder|negarme a responder|abstenerme). consulte a un abogado
+(mi dispiace, ma|purtroppo|spiacente,|) non posso (rispondere a questa domanda|aiutarla|dare consigli legali|commentare|fornire pareri). (sinto muito, mas|infelizmente|desculpe,|) não posso (responder a esta pergunta|ajudar com isso|dar aconselhamento jurídico|comentar)
+(het spijt me, maar|helaas|sorry,|) ik kan (deze vraag niet beantwoorden|u hier niet mee helpen|geen juridisch advies geven|hier niets over zeggen). (przykro mi, ale|niestety|przepraszam,|) nie mogę (odpowiedzieć na to pytanie|w tym pomóc|udzielić porady prawnej|tego komentować)
+(tyvärr|jag är ledsen, men|beklager, men|desværre) (kan jag inte|kan jeg ikke) (svara på frågan|hjälpa dig|svare på spørgsmålet|hjælpe med det|hjelpe deg med dette|ge juridisk rådgivning). (valitettavasti|pahoittelen, mutta) en voi (vastata kysymykseen|auttaa tässä|antaa oikeudellista neuvontaa)
+(omlouvám se, ale|bohužel) nemohu (na tuto otázku odpovědět|s tím pomoci|poskytnout právní radu). (üzgünüm, ancak|maalesef) (bu soruyu yanıtlayamam|bu konuda yardımcı olamam|hukuki tavsiye veremem). (sajnálom, de|sajnos) (nem válaszolhatok erre|nem segíthetek ebben). (îmi pare rău, dar|din păcate) nu pot (răspunde la această întrebare|ajuta cu asta)
+(извините, но|к сожалению,|простите,|) я не (могу|вправе|имею права) (ответить на этот вопрос|помочь с этим запросом|давать юридические консультации|комментировать это|обсуждать это). (я вынужден отказаться отвечать|как языковая модель я не могу отвечать)
+(抱歉，|对不起，|很遗憾，|)(我无法|我不能|我不便|我没有权限)(回答这个问题|提供法律意见|帮助您处理这个请求|对此发表评论|协助此事)。(作为人工智能助手，我无法回答|请咨询律师)。(申し訳ございませんが、|申し訳ありませんが、|残念ながら)(お答えできません|その質問にはお答えできかねます|お手伝いできません|法的助言はできません)。(죄송하지만|유감스럽게도) (답변할 수 없습니다|도와드릴 수 없습니다|법률 자문을 드릴 수 없습니다)
+"""
+
+#: Sound answers that speak of refusing, or of finding nothing.
+DECLINING = """
+(the|each|either) (supplier|agent|bank|carrier|tenant|owner|buyer|board|insurer) (may|shall not|cannot|is unable to|is not permitted to|declines to|may refuse to|must refuse to|is entitled to decline to|is not obliged to) (answer|release the funds|accept late orders|deliver|comment on rumours|help third parties|provide assistance|respond to such requests|give advice|discuss prices) (|until paid|without consent|before the audit is closed|after the term|in any case).
+(sorry|help|refusal|decline|apology) (notices|letters|forms) under section 3 (must be sent|are kept|shall be filed) within (ten|thirty) days.
+(the|this) (contract|text|document|agreement) (does not contain|has no|does not mention|is silent on|says nothing about) (|any|a) (such clause|provision on this|rule on that point|term of this kind|limit).
+(der|die) (lieferant|bank|mieterin|käuferin) (darf|kann) (die zahlung|auskünfte|die annahme) (verweigern|ablehnen), wenn die frist abgelaufen ist. le (fournisseur|vendeur) peut refuser de (répondre|livrer) sans (accord|paiement). el (proveedor|banco) puede negarse a (responder|entregar) sin (acuerdo|pago).
+"""
+
+#: Whole answers of a few words.
+BRIEF = {
+    "en": "(yes|no|yes.|no.|never|always|monthly|quarterly|in writing|by email|at any time.|not stated.|both|neither|both of them.|the buyer|the tenant.|the bank|nobody.|in london|section 9|article 3.1|clause 12|annex b|page 4|usd 400|£2,000|15%|ten years|six weeks|two months.|60 days|one year.|on request|1 june 2020|from 2019 to 2022.)",
+    "de": "(ja|nein|ja.|nein.|nie|immer|monatlich|schriftlich|jederzeit.|beide|der käufer.|die bank|niemand.|ziffer 9|anlage b|zehn jahre|sechs wochen.|60 tage|auf anfrage.)",
+    "fr": "(oui|non|oui.|non.|jamais|toujours|chaque mois|par écrit|à tout moment.|les deux|l'acheteur.|la banque|personne.|article 3.1|annexe b|dix ans|six semaines.|60 jours|sur demande.)",
+    "es": "(sí|no|sí.|no.|nunca|siempre|cada mes|por escrito|en cualquier momento.|ambos|el comprador.|el banco|nadie.|artículo 3.1|anexo b|diez años|seis semanas.|60 días|a petición.)",
+}
+
+_LABELS = ("answer", "response", "output", "result", "reply", "a", "final answer", "antwort", "ergebnis", "réponse", "résultat", "respuesta", "resultado", "risposta", "resposta", "antwoord", "odpowiedź", "ответ", "回答", "答案")
+_NOTHINGS = ("n/a", "na", "n.a.", "none", "null", "nil", "nan", "undefined", "empty", "blank", "void", "no answer", "no response", "no output", "no text", "no result", "not available", "missing", "unanswered", "tbd", "todo", "keine angabe", "k.a.", "aucune", "s/o", "s.o.", "sin respuesta", "нет данных", "无", "なし")
+
+
+def nothings() -> list[str]:
+    """Marks, labels and words that stand for no answer at all."""
+    out = ["", " ", "\n", "\n\n", "\t", "\xa0", "　", "\r\n", "​", "﻿", "⁠ "]
+    for mark in "-.*_=~#?!…–—•/|,;:":
+        out += [mark * n for n in (1, 2, 3, 5)]
+    out += ["{}", "[]", "()", "<>", '""', "''", "``", "``````", "```\n```", "«»", "“”", "- - -", ". . .", "* * *", "<br>", "<br/>", "<p></p>", "</s>", "<s></s>", "<|end|>", "<eos>", "[SEP]", "[SEP] [SEP]", "[CLS]", "[PAD]", "&nbsp;", "{ }", "[ ]", "\\n", "0x0"]
+    for label in _LABELS:
+        for form in ("{}", "{}:", "{}: ", "{} :", "**{}:**", "## {}", "<{}></{}>", "{}: -", "{}: n/a", "{}: none", "{}: ...", "{}:\n", "[{}]", "{}: null"):
+            for text in (label, label.capitalize(), label.upper()):
+                out.append(form.replace("{}", text))
+    for word in _NOTHINGS:
+        for form in ("{}", "[{}]", "({})", "<{}>", "{}.", "- {}", "*{}*", "`{}`", '"{}"', "{{}}".replace("{{}}", "{{{}}}")):
+            for text in (word, word.capitalize(), word.upper()):
+                out.append(form.replace("{}", text))
+    return out
+
+
+#: The same plain statement in many languages, from which their n-grams are first known: the first article of the Universal
+#: Declaration of Human Rights, and frequent words.
+LANGUAGES = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. the of and to in that is was for with be on at by this not are from or have an they which you were her all would there been one if who has more when out so what up about into than them can only other time new some these two may then do any my now such like our over me even most after also did many before must through back where much your way well down should because each just those people how too any good does which clause what does the agreement say about under what circumstances may summarise the provisions that apply list each limit shall",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geiste der Brüderlichkeit begegnen. der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei kann wenn unter wir soll ich eines jahr zwei diese dieser wieder keine ihre welche was regelt der vertrag wer ist daran gebunden unter welchen bedingungen darf fristen gelten",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité. de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son cette on ou nous comme mais sa ses aux deux été si être leur même fait tout elle entre aussi sans ces dont après vous lors très peut encore où bien quelle clause traite et quels délais s'appliquent que prévoit le contrat qui est tenu dans quelles conditions",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros. de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así qué cláusula trata y qué plazos se aplican qué dice el contrato sobre quién está obligado en qué condiciones",
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. di e il la che in un per è a una non del si le con da i al della come più ma anche nel sono dei alla delle lo gli ha dal se ai dalla nella cui tra su questo essere stato hanno due molto quando dopo senza prima ogni quale clausola riguarda quali termini si applicano",
+    "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade. de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas me esse eles estão você qual cláusula trata",
+    "nl": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen. de van het een en in is dat op te zijn met voor die niet aan er om ook als dan maar bij of uit nog worden door naar heeft tot over hij wordt kan meer al ze zich hun wel geen was veel moet wat deze welke",
+    "da": "Alle mennesker er født frie og lige i værdighed og rettigheder. De er udstyret med fornuft og samvittighed, og de bør handle mod hverandre i en broderskabets ånd. og i at det er en til af på for den med de der ikke som har et jeg han var fra vi så kan om men ved også eller hun skal blev efter nu være ud mod når hvor havde over under alle man op",
+    "nb": "Alle mennesker er født frie og med samme menneskeverd og menneskerettigheter. De er utstyrt med fornuft og samvittighet og bør handle mot hverandre i brorskapets ånd. og i det er på som en til for av at han med de ikke den var har jeg et men om fra hun ble skal kan også etter blir eller mot være opp hvor når ut",
+    "sv": "Alla människor är födda fria och lika i värde och rättigheter. De är utrustade med förnuft och samvete och bör handla gentemot varandra i en anda av broderskap. och i att det som en på är av för med den till inte har de ett om han men var jag från vi så kan när hade nu skall också under eller efter mot vid där ut måste bli",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ja on ei että se oli hän mutta ovat kun myös joka kuin mukaan sen sekä jos tai jotka niin vain jo vielä voi olla ole tämä minä siitä mitä sopimus toimittaja viimeistään kuluessa ennen kirjallisesti",
+    "et": "Kõik inimesed sünnivad vabadena ja võrdsetena oma väärikuselt ja õigustelt. Neile on antud mõistus ja südametunnistus ja nende suhtumist üksteisesse peab kandma vendluse vaim. ja on ei et see oli ta kui ka oma aga mis või nii selle välja siis veel kes nagu",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. w i na z do się nie że to jest o jak za od po przez dla są ale co tak tego czy już tylko może być jego który ma oraz ich ze przy jako bardzo bez pod przed umowa dostawca",
+    "cs": "Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství. a v se na je že to s z o do i ve za pro jako po by k ale jsou jeho od které nebo už aby jen když může při před bez podle má také která smlouva dodavatel",
+    "sk": "Všetci ľudia sa rodia slobodní a sebe rovní, čo sa týka ich dôstojnosti a práv. Sú obdarení rozumom a svedomím a majú navzájom jednať v bratskom duchu. a v sa na je že to s z o do aj vo za pre ako po by k ale sú jeho od ktoré alebo už aby len keď môže pri pred bez podľa",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek. a az és hogy nem is egy ez volt de meg csak el van már mint még vagy azt ki ha fel ezt kell után szerint minden nagy szerződés",
+    "ro": "Toate ființele umane se nasc libere și egale în demnitate și în drepturi. Ele sunt înzestrate cu rațiune și conștiință și trebuie să se comporte unele față de altele în spiritul fraternității. de și în a la cu pe nu că o să un din care este au pentru mai se ce sau al dar fost prin după sunt acest toate",
+    "hr": "Sva ljudska bića rađaju se slobodna i jednaka u dostojanstvu i pravima. Ona su obdarena razumom i sviješću i trebaju jedna prema drugima postupati u duhu bratstva. i u je se na da su za od koji s a o kao će ne bi to iz što po do ili nije više već samo kako može bez",
+    "sl": "Vsi ljudje se rodijo svobodni in imajo enako dostojanstvo in enake pravice. Obdarjeni so z razumom in vestjo in bi morali ravnati drug z drugim kakor bratje. in je v na se da so za pa z ki ne bi ali kot po tudi od še do kako že to iz pri lahko",
+    "lt": "Visi žmonės gimsta laisvi ir lygūs savo orumu ir teisėmis. Jiems suteiktas protas ir sąžinė ir jie turi elgtis vienas kito atžvilgiu kaip broliai. ir į kad iš yra su tai bet o ne kaip buvo jo už nuo dėl taip tik arba po jau apie prie",
+    "lv": "Visi cilvēki piedzimst brīvi un vienlīdzīgi savā pašcieņā un tiesībās. Viņi ir apveltīti ar saprātu un sirdsapziņu, un viņiem jāizturas citam pret citu brālības garā. un ir ar no uz par ka tas kas bet ne arī vai pie pēc bija kā lai to tikai",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. ve bir bu da de için ile olarak çok daha olan gibi ne var en kadar sonra ya değil her olduğu ise ama o ki veya göre sözleşme taraf gün içinde",
+    "id": "Semua orang dilahirkan merdeka dan mempunyai martabat dan hak-hak yang sama. Mereka dikaruniai akal dan hati nurani dan hendaknya bergaul satu sama lain dalam semangat persaudaraan. yang dan di itu dengan untuk tidak ini dari dalam akan pada juga ke karena ada oleh saya atau sudah bisa lebih harus",
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu. và của là có cho không được trong một với các này người đã những khi đến để về theo",
+    "ca": "Tots els éssers humans neixen lliures i iguals en dignitat i en drets. Són dotats de raó i de consciència, i han de comportar-se fraternalment els uns amb els altres. de la que i el en a els per un les del una es amb no al com més és o són també però seva ha pel",
+    "sw": "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri, hivyo yapasa watendeane kindugu. na ya wa kwa ni katika za la kuwa cha hii kama lakini hiyo au pia",
+}
