@@ -8,6 +8,10 @@ length of prefix; these counts, summed over the trees, say to which length all
 trees have to ascend together to offer enough candidates. The candidates are
 compared exactly, and the trees' nearest are merged.
 
+A task's part of an array comes with a margin of the parts beside it, so that a
+cut separates nobody from their neighbours. The cuts, and the margins' ends,
+are quantiles of a sample of the strings, a few for each part.
+
 Vectors arrive as codes of a product quantiser: equal codes are equal vectors,
 which are hashed once and come back as copies at distance 0.
 """
@@ -23,7 +27,10 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import cut
 
-_BITS = 62
+#: Bits of a hash string, and of the code's own hash that follows it in the sort key, so that equal strings can be cut apart too.
+_BITS, _REST = 48, 14
+#: Quantiles of the sample for each part; the margin is as many of them on either side of a cut.
+_SAMPLED, _MARGIN = 200, 4
 
 
 def decode(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -32,8 +39,9 @@ def decode(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def _common_prefix(labels: np.ndarray) -> np.ndarray:
-    """Bits in common of each label and the next in the sorted array."""
+def _common_prefix(keys: np.ndarray) -> np.ndarray:
+    """Bits in common of each hash string and the next in the sorted array."""
+    labels = keys >> np.int64(_REST)
     differ = (labels[1:] ^ labels[:-1]).astype(np.float64)
     return np.where(differ == 0, _BITS, _BITS - 1 - np.floor(np.log2(np.maximum(differ, 1)))).astype(np.int64)
 
@@ -47,72 +55,116 @@ def _runs(prefix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 class PrefixForest:
     """trees, candidates: more of either means better recall; reach: most candidates on either side in one tree
-    (those with the longest common prefix stand next); block: entries of one task's part of a sorted array."""
+    (those with the longest common prefix stand next); block: entries of one task's part of a sorted array.
+    With reach and candidates as great as the collection, every vector is compared with every other: the exact result."""
 
-    #: Prefix lengths at which the trees ascend together.
-    LENGTHS = tuple(range(48, 0, -3))
+    #: Prefix lengths at which the trees ascend together, five counts to a packed number.
+    LENGTHS = (45, 42, 39, 36, 33, 30, 27, 24, 21, 18, 15, 12, 9, 6, 3)
+    _WIDTH = 12
 
-    def __init__(self, points: DataFrame, book: np.ndarray, k: int, trees: int = 10, candidates: int = 320, reach: int = 96, block: int = 60_000, seed: int = 42):
+    def __init__(self, points: DataFrame, book: np.ndarray, k: int, trees: int = 6, candidates: int = 400, reach: int = 112, block: int = 120_000, seed: int = 42):
         self.points, self.k, self.trees, self.candidates, self.reach = points, k, trees, candidates, reach
         self.count = points.count()
-        self.parts = max(1, -(-self.count * trees // block))
+        self.parts = max(1, -(-self.count // block))
+        self.spark = points.sparkSession
         rng = np.random.default_rng(seed)
         width = book.shape[0] * book.shape[2]
         # Projections of the codebook's mean stand for those of the data's, so that nothing has to be fitted.
         planes = rng.standard_normal((trees * _BITS, width)).astype(np.float32)
         offset = planes @ book.mean(axis=1).reshape(-1)
-        self.shared = points.sparkSession.sparkContext.broadcast((book, planes, offset))
+        # Squared distance of two code words of a part: those of two vectors are sums of eight of them.
+        apart = np.stack([((b[:, None, :] - b[None]) ** 2).sum(2) for b in book.astype(np.float64)]).reshape(len(book), -1)
+        self.shared = self.spark.sparkContext.broadcast((book, planes, offset, apart))
 
     def _labels(self) -> DataFrame:
+        """(code, keys): the sort key of every point in each tree."""
         shared, trees = self.shared, self.trees
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            book, planes, offset = shared.value
+            book, planes, offset, _ = shared.value
             weights = np.int64(1) << np.arange(_BITS - 1, -1, -1, dtype=np.int64)
             for batch in batches:
                 codes = batch.column(0).to_numpy()
                 signs = (decode(codes, book) @ planes.T > offset).reshape(len(codes), trees, _BITS)
-                labels = signs.astype(np.int64) @ weights
-                yield pa.RecordBatch.from_pydict({"code": np.repeat(codes, trees), "tree": pa.array(np.tile(np.arange(trees, dtype=np.int32), len(codes))), "label": labels.reshape(-1)})
-
-        return self.points.select("code").mapInArrow(hashed, "code bigint, tree int, label bigint")
-
-    def _sorted(self, df: DataFrame) -> DataFrame:
-        return df.repartitionByRange(self.parts, "tree", "label", "code")
+                rest = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _REST)).astype(np.int64)
+                keys = (signs.astype(np.int64) @ weights << np.int64(_REST)) | rest[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, trees, dtype=np.int32)), pa.array(keys.reshape(-1)))], ["code", "keys"])
+
+        return cut(self.points.select("code").mapInArrow(hashed, "code bigint, keys array<bigint>"))
+
+    def _cuts(self, labels: DataFrame) -> list[np.ndarray]:
+        """Of each tree, quantiles of a sample of its keys, _SAMPLED for each part: 8 bytes each, in proportion to the tasks."""
+        wanted = self.parts * _SAMPLED
+        share = min(1.0, 1.5 * wanted / max(1, self.count))
+        rows = labels.where(F.abs(F.hash("code")) < int(share * (2**31 - 1))).select("keys").limit(4 * wanted).toArrow()
+        keys = rows["keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.trees)
+        out = []
+        for t in range(self.trees):
+            own = np.sort(keys[:, t])
+            out.append(own[np.linspace(0, len(own) - 1, wanted + 1).astype(np.int64)[1:-1]] if self.parts > 1 and len(own) else np.empty(0, np.int64))
+        return out
+
+    def _dealt(self, rows: DataFrame, cuts, also: str = "") -> DataFrame:
+        """(part, inner, tree key, code ...): every key in its part, and in the next one if it is in that one's margin (inner is false there)."""
+        trees, parts = self.trees, self.parts
+        wide = bool(also)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            quantiles = cuts.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes = batch.column(0).to_numpy()
+                keys = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, trees)
+                for t in range(trees):
+                    own = keys[:, t]
+                    place = np.searchsorted(quantiles[t], own, side="right")  # in which of the sample's steps
+                    part, step = place // _SAMPLED, place % _SAMPLED
+                    part = np.minimum(part, parts - 1)
+                    before = np.flatnonzero((step < _MARGIN) & (part > 0))
+                    after = np.flatnonzero((step >= _SAMPLED - _MARGIN) & (part < parts - 1))
+                    at = np.concatenate([np.arange(len(own)), before, after])
+                    to = np.concatenate([part, part[before] - 1, part[after] + 1])
+                    inner = np.arange(len(at)) < len(own)
+                    columns = [pa.array((to * trees + t).astype(np.int32)), pa.array(inner), pa.array(own[at]), pa.array(codes[at])]
+                    if wide:
+                        columns.append(batch.column(2).take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "inner", "key", "code", *([also] if wide else [])])
+
+        dealt = rows.mapInArrow(deal, "part int, inner boolean, key bigint, code bigint" + (f", {also} int" if wide else ""))
+        return dealt.repartitionById(self.parts * trees, F.col("part"))
 
     def neighbours(self) -> DataFrame:
         """(code, near): the k nearest other codes of every code, as an array of (distance squared, code), nearest first."""
-        lengths, k, reach, shared, wanted = self.LENGTHS, self.k, self.reach, self.shared, self.candidates
+        lengths, k, reach, shared, wanted, width = self.LENGTHS, self.k, self.reach, self.shared, self.candidates, self._WIDTH
+        most = (1 << width) // (2 * self.trees) - 1
 
-        def arrays(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+        def array(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+            """One part in the order of its keys, entry after entry of one tree."""
             rows = [b for b in batches if b.num_rows]
             if rows:
                 table = pa.Table.from_batches(rows)
-                values = [table[c].to_numpy() for c in columns]
-                order = np.lexsort((values[2], values[1], values[0]))
-                values = [v[order] for v in values]
-                edge = np.flatnonzero(np.r_[True, values[0][1:] != values[0][:-1], True])
+                part, key, code = (table[c].to_numpy() for c in ("part", "key", "code"))
+                order = np.lexsort((code, key, part))
+                edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
                 for s, e in zip(edge[:-1], edge[1:]):
-                    yield [v[s:e] for v in values]
+                    yield table, order[s:e]
 
         def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for tree, label, code in arrays(batches, ("tree", "label", "code")):
-                prefix = _common_prefix(label)
-                sizes = np.empty((len(label), len(lengths)), np.int32)
+            for table, order in array(batches):
+                code, inner = table["code"].to_numpy()[order], table["inner"].to_numpy()[order]
+                prefix = _common_prefix(table["key"].to_numpy()[order])
+                packed = np.zeros((3, len(code)), np.int64)
                 for i, length in enumerate(lengths):
                     s, e = _runs(prefix, length)
-                    sizes[:, i] = np.minimum(e - s - 1, 2 * reach)
-                for s in range(0, len(label), 20_000):
-                    part = slice(s, s + 20_000)
-                    flat = pa.array(sizes[part].reshape(-1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(code[part]), pa.array(tree[part]), pa.array(label[part]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(lengths), dtype=np.int32)), flat)], ["code", "tree", "label", "sizes"]
-                    )
+                    packed[i // 5] |= np.minimum(np.minimum(e - s - 1, 2 * reach), most) << np.int64(width * (i % 5))
+                yield pa.RecordBatch.from_arrays([pa.array(code[inner]), *(pa.array(p[inner]) for p in packed)], ["code", "n0", "n1", "n2"])
 
         def ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            book = shared.value[0]
-            for tree, label, code, length in arrays(batches, ("tree", "label", "code", "length")):
-                prefix = _common_prefix(label)
+            apart = shared.value[3]
+            for table, order in array(batches):
+                code, length = table["code"].to_numpy()[order], table["length"].to_numpy()[order]
+                prefix = _common_prefix(table["key"].to_numpy()[order])
                 n = len(code)
                 start, end = np.zeros(n, np.int64), np.full(n, n, np.int64)
                 for v in np.unique(length):
@@ -122,33 +174,40 @@ class PrefixForest:
                         start[own], end[own] = s[own], e[own]
                 here = np.arange(n)
                 start, end = np.maximum(start, here - reach), np.minimum(end, here + reach + 1)
-                vectors = decode(code, book).astype(np.float32)
-                size = end - start
-                step = max(1, 400_000 // max(1, int(size.max())))
-                for f in range(0, n, step):
-                    own = np.arange(f, min(f + step, n))
-                    width = int(size[own].max())
-                    at = start[own][:, None] + np.arange(width)
+                words = np.stack([(code >> np.int64(8 * m)) & 255 for m in range(len(apart))], 1).astype(np.uint16)
+                mine = np.flatnonzero(table["inner"].to_numpy()[order])
+                mine = mine[np.argsort((end - start)[mine], kind="stable")]  # rows of like length together
+                f = 0
+                while f < len(mine):
+                    step = max(1, 300_000 // int((end - start)[mine[min(f + 4096, len(mine)) - 1]]))
+                    own = mine[f : f + min(step, 4096)]
+                    f += len(own)
+                    most_wide = int((end - start)[own].max())
+                    at = start[own][:, None] + np.arange(most_wide)
                     bad = (at >= end[own][:, None]) | (at == own[:, None])
                     at = np.minimum(at, n - 1)
-                    distance = np.empty(at.shape, np.float64)
-                    for g in range(0, len(own), 256):
-                        part = vectors[at[g : g + 256]] - vectors[own[g : g + 256], None, :]
-                        distance[g : g + 256] = np.einsum("ijk,ijk->ij", part, part, dtype=np.float64)
+                    distance = np.zeros(at.shape)
+                    for m in range(len(apart)):
+                        pair = words[:, m][at].astype(np.int32)
+                        pair += words[own, m].astype(np.int32)[:, None] << 8
+                        distance += apart[m][pair]
                     distance[bad] = np.inf
-                    best = np.argpartition(distance, min(k, width) - 1, axis=1)[:, :k] if width > k else np.broadcast_to(np.arange(width), at.shape)
-                    row = np.repeat(own, best.shape[1])
+                    best = np.argpartition(distance, k - 1, axis=1)[:, :k] if most_wide > k else np.broadcast_to(np.arange(most_wide), at.shape)
+                    row = np.repeat(np.arange(len(own)), best.shape[1])
                     column = best.reshape(-1)
-                    d = distance[row - f, column]
+                    d = distance[row, column]
                     ok = d < np.inf
-                    yield pa.RecordBatch.from_pydict({"code": code[row[ok]], "distance": d[ok], "other": code[at[row - f, column][ok]]})
+                    yield pa.RecordBatch.from_arrays([pa.array(code[own[row[ok]]]), pa.array(d[ok]), pa.array(code[at[row, column][ok]])], ["code", "distance", "other"])
 
-        descended = self._sorted(self._labels()).mapInArrow(descend, "code bigint, tree int, label bigint, sizes array<int>")
-        by_code = descended.groupBy("code").agg(F.collect_list(F.struct("tree", "label")).alias("trees"), *(F.sum(F.col("sizes")[i]).alias(f"n{i}") for i in range(len(lengths))))
+        labels = self._labels()
+        cuts = self.spark.sparkContext.broadcast(self._cuts(labels))
+        counts = self._dealt(labels, cuts).mapInArrow(descend, "code bigint, n0 bigint, n1 bigint, n2 bigint")
+        counts = counts.groupBy("code").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(3)))
         # The longest prefix at which all trees together have enough; none (0) takes the whole reach.
-        length = F.coalesce(*(F.when(F.col(f"n{i}") >= wanted, F.lit(v)) for i, v in enumerate(lengths)), F.lit(0))
-        again = by_code.select("code", F.explode("trees").alias("t"), length.alias("length")).select("code", "t.tree", "t.label", "length")
-        found = self._sorted(again).mapInArrow(ascend, "code bigint, distance double, other bigint")
+        count = [F.shiftright(F.col(f"n{i // 5}"), width * (i % 5)).bitwiseAND(F.lit((1 << width) - 1)) for i in range(len(lengths))]
+        length = F.coalesce(*(F.when(c >= min(wanted, most * self.trees), F.lit(v)) for c, v in zip(count, lengths)), F.lit(0))
+        again = labels.join(counts.select("code", length.alias("length")), "code").select("code", "keys", "length")
+        found = self._dealt(again, cuts, "length").mapInArrow(ascend, "code bigint, distance double, other bigint")
         return found.groupBy("code").agg(F.slice(F.sort_array(F.collect_set(F.struct("distance", "other"))), 1, k).alias("near"))
 
 

@@ -173,6 +173,16 @@ def test_nearest_vectors_recall(spark):
     assert np.mean([d[a, b] <= limit[a] + 1e-6 for a, b in got]) >= 0.9  # any of several at the fifth distance will do
 
 
+def test_cuts_separate_nobody(spark):
+    posts, book, codes, v = vectors(spark, 4000, 3)
+    d = np.stack([((v - x) ** 2).sum(1) for x in v])
+    np.fill_diagonal(d, np.inf)
+    limit = np.sort(d, 1)[:, 4]
+    right = lambda **how: np.mean([d[r.vector_id, r.other_id] <= limit[r.vector_id] + 1e-6 for r in nearest_vectors.nearest_vectors(posts, book, 5, **how).collect()])
+    assert right(block=500) >= right() - 0.005  # eight parts of every tree lose nothing against one
+    assert right(reach=4000, candidates=10**6, trees=1) == 1.0  # all with all
+
+
 def test_nearest_vectors_edges(spark):
     posts, book, codes, v = vectors(spark, 4)
     row = [int(c) for c in codes[0]]
