@@ -1,8 +1,8 @@
 """Problem 4: how often every word or word n-gram occurs, and in how many records.
 
 A distributed suffix array. Records are spread over tasks whole; a task takes
-them in blocks, sorts the block's suffixes (by prefix doubling, up to the
-longest n-gram asked for), and reads all counts off the common-prefix
+them in blocks, sorts the block's suffixes (by prefix doubling, four words deep
+or as deep as the longest n-gram asked for), and reads all counts off the common-prefix
 intervals: an interval's length is the number of occurrences, and that minus
 the suffixes which follow one of their own record in the interval is the
 number of records. As no record lies in two blocks, both counts add up over
@@ -24,46 +24,57 @@ from lexforge.llm.common import one_row_per_key, split_words
 _OUT = pa.schema([("ngram", pa.string()), ("n", pa.int32()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
-def suffix_intervals(words: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For n = 1..max_n: the first word's position, occurrences and records of every distinct n-gram.
+def suffix_array(words: np.ndarray, record: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of all records in the order of their first `depth` words at least, and how many words each has in common with the one before.
 
-    words: codes from 1, all records one after another; record: each word's record.
+    words: codes from 1, all records one after another; record: each word's record, with which its suffixes end.
+    Suffixes with the same words are in the order of their records.
     """
     size = len(words)
-    if not size:
-        return
-    # Rank of every suffix by its first `depth` words, doubled until deep enough; a suffix ends with its record.
-    rank, depth = words.astype(np.int64), 1
-    while depth < max_n:
+    # Rank of every suffix by its first `known` words, doubled until deep enough or until no two are alike.
+    rank, known = words.astype(np.int64), 1
+    while known < depth and rank.max() < size:
         after = np.zeros(size, np.int64)
-        same = record[:-depth] == record[depth:] if size > depth else np.empty(0, bool)
-        after[: len(same)][same] = rank[depth:][same]
+        same = record[:-known] == record[known:] if size > known else np.empty(0, bool)
+        after[: len(same)][same] = rank[known:][same]
         _, rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)
-        rank, depth = rank.astype(np.int64) + 1, depth * 2
+        rank, known = rank.astype(np.int64) + 1, known * 2
     order = np.argsort(rank, kind="stable")
-    # Longest common prefix of neighbours in the array, no longer than max_n.
+    # Common prefix of neighbours in the array, no longer than depth.
     prefix = np.zeros(size, np.int64)
-    alive = np.ones(size - 1, bool)
-    left, right = order[:-1], order[1:]
-    for k in range(max_n):
+    alive = np.arange(1, size)
+    for k in range(depth):
+        left, right = order[alive - 1], order[alive]
         a, b = np.minimum(left + k, size - 1), np.minimum(right + k, size - 1)
-        alive &= (left + k < size) & (right + k < size) & (words[a] == words[b]) & (record[a] == record[left]) & (record[b] == record[right])
-        if not alive.any():
+        alive = alive[(left + k < size) & (right + k < size) & (words[a] == words[b]) & (record[a] == record[left]) & (record[b] == record[right])]
+        if not len(alive):
             break
-        prefix[1:][alive] = k + 1
+        prefix[alive] = k + 1
+    return order, prefix
+
+
+def suffix_intervals(words: np.ndarray, record: np.ndarray, max_n: int, depth: int = 4) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n = 1..max_n: the first word's position, occurrences and records of every distinct n-gram, off one suffix array.
+
+    Where neighbours have fewer than n words in common, an interval ends: it is one n-gram, and its length the number of occurrences.
+    A suffix whose n-gram also begins with the one before of the same record in the interval repeats that record.
+    """
+    size = len(words)
+    if not size:
+        return
+    order, prefix = suffix_array(words, record, max(max_n, depth))
+    own_record = record[order]
+    records = int(record.max()) + 1
     for n in range(1, max_n + 1):
-        long = (order + n <= size) & (record[np.minimum(order + n - 1, size - 1)] == record[order])
+        long = (order + n <= size) & (record[np.minimum(order + n - 1, size - 1)] == own_record)
+        if not long.any():
+            return
         new = prefix < n
         interval = np.cumsum(new) - 1
-        own = interval[long]
-        if not len(own):
-            return
-        # Suffixes of one record in one interval stand together after this sort; all but the first repeat it.
-        pairs = own * (int(record.max()) + 1) + record[order][long]
-        if n < max_n or depth > 1:
-            pairs = np.sort(pairs)
+        # Within an interval, occurrences of one record are brought side by side; all but the first repeat it.
+        pairs = np.sort(interval[long] * records + own_record[long])
         repeated = np.concatenate([[False], pairs[1:] == pairs[:-1]])
-        owner = pairs // (int(record.max()) + 1)
+        owner = pairs // records
         count = int(interval[-1]) + 1
         occurrences = np.bincount(owner, minlength=count)
         repeats = np.bincount(owner[repeated], minlength=count)
@@ -115,11 +126,15 @@ def record_count(df: DataFrame, key: str) -> int:
     return row.keyed + row.loose
 
 
-def mark_words(df: DataFrame, key: str, text: str, rare_max: int = 2, common_share: tuple[int, int] = (1, 3)) -> DataFrame:
-    """(word, occurrences, records, mark): every word; mark is rare for words in at most rare_max records, common for
-    words in more than the given share (a fraction) of all records, else null. A word that is both is rare."""
+def mark_ngrams(df: DataFrame, key: str, text: str, max_n: int = 1, rare_max: int = 2, common_share: tuple[int, int] = (1, 3), min_n: int = 1) -> DataFrame:
+    """(ngram, n, occurrences, records, mark): every n-gram of min_n to max_n words; mark is rare for those in at most rare_max records,
+    common for those in more than the given share (a fraction) of all records, else null. What is both is rare."""
     total = record_count(df, key)
     part, whole = common_share
-    words = ngram_frequencies(df, key, text, max_n=1)
     mark = F.when(F.col("records") <= rare_max, "rare").when(F.col("records") * whole > F.lit(total) * part, "common")
-    return words.select(F.col("ngram").alias("word"), "occurrences", "records", mark.alias("mark"))
+    return ngram_frequencies(df, key, text, max_n, min_n).withColumn("mark", mark)
+
+
+def mark_words(df: DataFrame, key: str, text: str, rare_max: int = 2, common_share: tuple[int, int] = (1, 3)) -> DataFrame:
+    """(word, occurrences, records, mark): mark_ngrams of single words."""
+    return mark_ngrams(df, key, text, 1, rare_max, common_share).select(F.col("ngram").alias("word"), "occurrences", "records", "mark")

@@ -36,6 +36,31 @@ def _distinct(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams[keep], owner[keep]
 
 
+def _distinct_ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of names of 16 bytes, in their order: the first row of each, and which of them every row has."""
+    halves = np.frombuffer(b"".join(ids.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.lexsort((np.arange(len(halves)), halves[:, 1], halves[:, 0]))
+    new = np.r_[True, (halves[order][1:] != halves[order][:-1]).any(1)] if len(order) else np.empty(0, bool)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _first_rows(ids: pa.Array) -> np.ndarray:
+    return np.sort(_distinct_ids(ids)[0])
+
+
+def _scoped_grams(batch: pa.RecordBatch, words: int, take: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of a batch's texts (class, text, scope), those of a scope apart from those of any other, and the text of each."""
+    texts, scope = batch.column(1), batch.column(2).to_numpy()
+    if take is not None:
+        texts, scope = texts.take(pa.array(take)), scope[take]
+    grams, owner, _ = run_hashes(*word_hashes(texts), words)
+    if scope.any():
+        grams = mix64(grams ^ mix64(scope.view(np.uint64)[owner]))
+    return grams, owner
+
+
 def _ordered(grams: np.ndarray, owner: np.ndarray, count: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of each record in the global order: order keys, owners, position in the record, n-grams of each record."""
     bucket = grams >> np.uint64(64 - int(len(level)).bit_length() + 1)
@@ -140,80 +165,93 @@ class VerticalJoin:
     a key take no part; further columns are ignored.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, words: int = 5, threshold: float | Fraction = Fraction(4, 5), sketch_bits: int = 22, postings: int = 1_600_000, hot: int = 16_384):
+    def __init__(self, df: DataFrame, key: str, text: str, words: int = 5, threshold: float | Fraction = Fraction(4, 5), within: str | None = None, sketch_bits: int | None = None, postings: int = 1_600_000, hot: int = 16_384):
         self.spark, self.words, self.hot = df.sparkSession, words, hot
         self.t = Fraction(threshold).limit_denominator(10_000)
         if not 0 < self.t <= 1:
             raise ValueError("the threshold must be in (0, 1]")
         self.sketch_bits, self.postings = sketch_bits, postings
-        rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
-        self.rows = rows.withColumn("class", F.xxhash64("text"))
+        scope = F.lit(0).cast("bigint") if within is None else F.xxhash64(within)
+        rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), scope.alias("scope")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
+        # 128 bits, so that different texts have different classes in a collection of any size; without a scope it is the text's own.
+        name = F.md5("text") if within is None else F.md5(F.concat(F.col("scope").cast("string"), F.lit(":"), F.col("text")))
+        self.rows = rows.withColumn("class", F.unhex(name))
 
     def members(self) -> DataFrame:
         """(key, class): rows that repeat a key and its text count once."""
         return self.rows.select("key", "class").distinct()
 
-    def _levels(self) -> np.ndarray:
-        """The sketch: for each of 2^sketch_bits buckets of n-grams, how frequent they are (a logarithm in a byte).
-        The result's size doesn't depend on the data."""
-        words, size = self.words, 1 << self.sketch_bits
-        shift = np.uint64(64 - self.sketch_bits)
+    def _levels(self) -> None:
+        """The sketch: for each bucket of n-grams, how frequent they are (a logarithm in a byte).
+
+        There are as many buckets as the table has n-grams for every 32 of them, but no more than 2^26: one byte each is broadcast.
+        Counts stay with Spark; the driver gets levels, the sums by level, and the buckets that are hot.
+        """
+        words = self.words
+        if self.sketch_bits is None:
+            chars = self.rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+            self.sketch_bits = int(min(26, max(16, np.ceil(np.log2(max(1, chars / 200))))))
+        bits = self.sketch_bits
+        size, shift = 1 << bits, np.uint64(64 - bits)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size, np.int64)
             for batch in batches:
-                _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-                grams, owner, _ = run_hashes(*word_hashes(batch.column(1).take(pa.array(np.sort(first)))), words)
+                grams, owner = _scoped_grams(batch, words, _first_rows(batch.column(0)))
                 grams, _ = _distinct(grams, owner)
-                total += np.bincount((grams >> shift).astype(np.int64), minlength=size)
+                np.add.at(total, (grams >> shift).astype(np.int64), 1)
             at = np.flatnonzero(total)
             for s in range(0, len(at), 100_000):
                 part = at[s : s + 100_000]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(part, pa.int32()), "n": pa.array(total[part], pa.int64())})
 
-        counted = self.rows.select("class", "text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(size, np.int64)
-        out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-        self.mass = out
-        return _level(out)
-
-    def _cuts(self, level: np.ndarray) -> np.ndarray:
-        """Cuts of the global order with about as much work between any two: only the first part of the order can be in prefixes."""
-        by_level = np.bincount(level, weights=self.mass, minlength=256)
-        total = by_level.sum() * float(1 - self.t) * 1.1
-        upto = np.minimum(np.cumsum(by_level), total)
-        mass = np.diff(np.r_[0, upto])
-        count = max(1, round(total / self.postings))
-        work = np.cumsum(mass * (48 + 2 ** (np.arange(256) / 6)))
-        if not work[-1]:
+        counted = cut(self.rows.select("class", "text", "scope").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")))
+        level = F.least(F.lit(255), F.floor(F.log2(F.col("n") + 1) * 6)).cast("short")
+        by_level = counted.groupBy(level.alias("level")).agg(F.sum("n").alias("n")).toArrow()
+        self.by_level = np.zeros(256)
+        self.by_level[by_level["level"].to_numpy()] = by_level["n"].to_numpy()
+        # Where buckets are full of ordinary n-grams, what is above the average tells the hot ones.
+        self.hot = int(max(self.hot, 4 * self.by_level.sum() / size))
+        rows = counted.select("bucket", level.alias("level")).toArrow()
+        self.level = np.zeros(size, np.uint8)
+        self.level[rows["bucket"].to_numpy()] = rows["level"].to_numpy()
+        heavy = counted.where(F.col("n") > self.hot).orderBy("bucket").toArrow()
+        self.heavy, self.heavy_blocks = heavy["bucket"].to_numpy().astype(np.int64), -(-heavy["n"].to_numpy() // self.hot)
+
+    def _cuts(self) -> np.ndarray:
+        """Cuts of the global order so that neither rows nor work between any two exceed a task's: only the first part of the order can be in prefixes."""
+        total = self.by_level.sum() * float(1 - self.t) * 1.1
+        mass = np.diff(np.r_[0, np.minimum(np.cumsum(self.by_level), total)])
+        work = mass * (48 + 2 ** (np.arange(256) / 6))
+        if not work.sum():
             return np.empty(0, np.uint64)
-        at = np.interp(np.arange(1, count) / count * work[-1], np.r_[0, work], np.arange(257))
+        tasks = max(1, round(total / self.postings))
+        load = np.cumsum(mass / self.postings + work * (tasks / work.sum()))
+        count = max(1, round(load[-1] / 2)) if tasks == 1 else max(1, round(load[-1]))
+        at = np.interp(np.arange(1, count) / count * load[-1], np.r_[0, load], np.arange(257))
         return (at * float(1 << 56)).astype(np.uint64)
 
     def candidates(self) -> DataFrame:
         """(a, b, shared, a_size, b_size): pairs of classes whose prefixes share enough; a superset of the similar ones."""
-        words, t, hot = self.words, self.t, self.hot
-        level = self._levels()
-        cuts = self._cuts(level)
-        heavy = np.flatnonzero(self.mass > hot)
-        shared = self.spark.sparkContext.broadcast((level, cuts, heavy, -(-self.mass[heavy] // hot)))
+        words, t = self.words, self.t
+        self._levels()
+        cuts = self._cuts()
+        shared = self.spark.sparkContext.broadcast((self.level, cuts, self.heavy, self.heavy_blocks))
         fragments = len(cuts) + 1
-        hot_tasks = fragments if len(heavy) else 0
+        hot_tasks = fragments if len(self.heavy) else 0
         shift, alone = 64 - self.sketch_bits, np.uint64(_level(1))
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             level, cuts, heavy, blocks = shared.value
             crowded = np.zeros(len(level), bool)
             crowded[heavy] = True
-            seen: set[int] = set()
             for batch in batches:
-                ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-                new = np.array([i not in seen for i in ids.tolist()], bool)
-                seen.update(ids[new].tolist())
-                ids = ids[new]
-                if not len(ids):
+                first = _first_rows(batch.column(0))
+                if not len(first):
                     continue
-                grams, owner, _ = run_hashes(*word_hashes(batch.column(1).take(pa.array(first[new]))), words)
+                ids = batch.column(0).take(pa.array(first))
+                own = np.frombuffer(b"".join(ids.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
+                grams, owner = _scoped_grams(batch, words, first)
                 keys, owner, position, sizes = _ordered(grams, owner, len(ids), level)
                 bits = _signatures(keys, owner, len(ids))
                 use = (position < _prefix(sizes, t)[owner]) & (keys >> _ORDER_SHIFT > alone)  # what only one record has joins nothing
@@ -228,20 +266,22 @@ class VerticalJoin:
                 if busy.any():  # a long list is cut into blocks, each pair of blocks is a list of its own
                     k, o = keys[busy], owner[busy]
                     g = blocks[np.searchsorted(heavy, bucket[busy])]
-                    mine = (mix64(ids[o].astype(np.uint64) ^ k) % g.astype(np.uint64)).astype(np.int64)
+                    mine = (mix64(own[o] ^ k) % g.astype(np.uint64)).astype(np.int64)
                     at = np.repeat(np.arange(len(k)), g)
                     other = np.arange(len(at)) - np.repeat(np.r_[0, np.cumsum(g)[:-1]], g)
                     low, high = np.minimum(mine[at], other), np.maximum(mine[at], other)
-                    own = mix64(k[at] + (low * g[at] + high + 1).astype(np.uint64))
+                    name = mix64(k[at] + (low * g[at] + high + 1).astype(np.uint64))
                     role = np.where(low == high, 0, np.where(mine[at] == low, 1, 2))
-                    yield _segments(fragments + (own % np.uint64(hot_tasks)).astype(np.int64), ids, sizes, bits, o[at], own, np.arange(len(at)), role)
+                    yield _segments(fragments + (name % np.uint64(hot_tasks)).astype(np.int64), ids, sizes, bits, o[at], name, np.arange(len(at)), role)
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [b for b in batches if b.num_rows]
             if not rows:
                 return
             table = pa.Table.from_batches(rows).combine_chunks()
-            ids, first, record = np.unique(table["class"].to_numpy(), return_index=True, return_inverse=True)
+            names = table["class"].combine_chunks()
+            first, record = _distinct_ids(names)
+            ids = names.take(pa.array(first))
             sizes = table["size"].to_numpy()[first]
             width = _BITS // 8
             bits = np.frombuffer(b"".join(table["bits"].take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, width)
@@ -267,10 +307,10 @@ class VerticalJoin:
             a, b, n = pairs.result()
             for s in range(0, len(a), 100_000):
                 i, j = a[s : s + 100_000], b[s : s + 100_000]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(ids[i]), "b": pa.array(ids[j]), "shared": pa.array(n[s : s + 100_000]), "a_size": pa.array(sizes[i], pa.int32()), "b_size": pa.array(sizes[j], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "shared": pa.array(n[s : s + 100_000]), "a_size": pa.array(sizes[i], pa.int32()), "b_size": pa.array(sizes[j], pa.int32())})
 
-        segments = self.rows.select("class", "text").mapInArrow(split, "fragment int, class bigint, size int, bits binary, grams array<bigint>, role int")
-        partial = segments.repartitionById(fragments + hot_tasks, F.col("fragment")).mapInArrow(join, "a bigint, b bigint, shared bigint, a_size int, b_size int")
+        segments = self.rows.select("class", "text", "scope").mapInArrow(split, "fragment int, class binary, size int, bits binary, grams array<bigint>, role int")
+        partial = segments.repartitionById(fragments + hot_tasks, F.col("fragment")).mapInArrow(join, "a binary, b binary, shared bigint, a_size int, b_size int")
         summed = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("a_size").alias("a_size"), F.max("b_size").alias("b_size"))
         p, q = t.numerator, t.denominator
         need = F.ceil((F.col("a_size") + F.col("b_size")) * F.lit(p) / F.lit(p + q) - F.lit(1e-9))
@@ -304,7 +344,7 @@ class VerticalJoin:
                 ok = np.flatnonzero((shared * q >= either * p) & (shared > 0))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(shared[ok], pa.int64()), pa.array(either[ok], pa.int64())], ["a", "b", "shared", "either"])
 
-        return both.select("a", "b", "left", "right").mapInArrow(verify, "a bigint, b bigint, shared bigint, either bigint")
+        return both.select("a", "b", "left", "right").mapInArrow(verify, "a binary, b binary, shared bigint, either bigint")
 
     def copies(self) -> DataFrame:
         """(class, size): the classes with several keys whose text has at least one run of words."""
@@ -322,7 +362,7 @@ def _segments(fragment, ids, sizes, bits, record, keys, starts, role) -> pa.Reco
     record = record.astype(np.int64)
     raw = pa.array([b.tobytes() for b in bits], pa.binary()).take(pa.array(record))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(fragment), pa.int32()), pa.array(ids[record], pa.int64()), pa.array(sizes[record], pa.int32()), raw, grams, pa.array(np.asarray(role), pa.int32())],
+        [pa.array(np.asarray(fragment), pa.int32()), ids.take(pa.array(record)), pa.array(sizes[record], pa.int32()), raw, grams, pa.array(np.asarray(role), pa.int32())],
         ["fragment", "class", "size", "bits", "grams", "role"],
     )
 
@@ -332,7 +372,10 @@ def similar_keys(df: DataFrame, key: str, text: str, words: int = 5, threshold:
 
     The number of rows is quadratic in the size of a group of copies; near_duplicate_groups has one row per key instead.
     """
-    join = VerticalJoin(df, key, text, words, threshold)
+    return _key_pairs(VerticalJoin(df, key, text, words, threshold))
+
+
+def _key_pairs(join: VerticalJoin) -> DataFrame:
     members = cut(join.members())
     a, b = (members.select(F.col("class").alias(c), F.col("key").alias(f"key_{c}")) for c in "ab")
     different = join.pairs().select("a", "b").join(a, "a").join(b, "b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
@@ -345,40 +388,18 @@ def similar_keys(df: DataFrame, key: str, text: str, words: int = 5, threshold:
 def similar_elements(df: DataFrame, key: str, texts: str, words: int = 5, threshold: float | Fraction = Fraction(4, 5)) -> DataFrame:
     """(key, i, j): positions i < j (from 0) of similar texts within one row's array.
 
-    The same join with the row as part of every n-gram: an n-gram's list holds one row's texts only, so a batch of
-    rows is joined where it is and nothing is shuffled. Rows that repeat a key give their pairs once.
+    The same join with the row as part of every n-gram and class: a list holds one row's texts only. Rows that repeat a key give
+    their pairs once; null and wordless elements are similar to nothing.
     """
-    t = Fraction(threshold).limit_denominator(10_000)
-    p, q = t.numerator, t.denominator
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                lists = batch.column(1)
-                row = lists.value_parent_indices().to_numpy()
-                grams, owner, _ = run_hashes(*word_hashes(lists.flatten()), words)
-                grams, owner = _distinct(grams, owner)
-                sizes = np.bincount(owner, minlength=len(row))
-                gram_key = mix64(grams ^ mix64(row[owner].astype(np.uint64) + np.uint64(1)))
-                order = np.lexsort((owner, gram_key))
-                gram_key, owner = gram_key[order], owner[order]
-                every = np.zeros((len(row), _BITS // 8), np.uint8)  # no bitmaps: lists are as short as the arrays
-                pairs = _Pairs(sizes, every, t)
-                if len(gram_key) > 1:
-                    pairs.lags(gram_key, owner)
-                a, b, shared = pairs.result()
-                ok = shared * q >= (sizes[a] + sizes[b] - shared) * p
-                a, b = a[ok], b[ok]
-                first = np.searchsorted(row, row)  # the position of each row's first text
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[a])), pa.array(a - first[a], pa.int32()), pa.array(b - first[b], pa.int32())], ["key", "i", "j"])
-
-    rows = df.select(F.col(key).alias("key"), F.col(texts).alias("texts")).where(F.col("key").isNotNull() & (F.size("texts") > 1))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(join, f"key {kind}, i int, j int").distinct()
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    each = df.where(F.col(key).isNotNull() & (F.size(texts) > 1)).select(F.col(key).alias("key"), F.posexplode(texts).alias("at", "text"))
+    each = each.select(F.struct("key", "at").alias("element"), F.col("key").cast("string").alias("row"), "text")
+    join = VerticalJoin(each, "element", "text", words, threshold, within="row")
+    pairs = _key_pairs(join)
+    a, b = F.col("key_a"), F.col("key_b")
+    return pairs.where(a["key"] == b["key"]).select(a["key"].alias("key"), F.least(a["at"], b["at"]).alias("i"), F.greatest(a["at"], b["at"]).alias("j")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of an undirected graph (a, b) is connected with.
 
     Alternating stars: every node's larger neighbours, then its smaller ones, are linked to its least neighbour,
@@ -387,7 +408,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # ends for any graph: every round but the last makes some node's link smaller
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
@@ -398,8 +419,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")), "u", "left_anti")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
 
@@ -414,7 +433,6 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, words: int = 5, th
     pairs = cut(join.pairs().select("a", "b"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
     groups = components(pairs).select(F.col("node").alias("class"), F.col("root").alias("group_id"))
-    every = df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.col(text).isNull().alias("none")).where(F.col("key").isNotNull())
-    every = every.select("key", F.when(~F.col("none"), F.col("h")).alias("class")).distinct()
+    every = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text))).alias("class")).distinct()
     out = every.join(links, "class", "left").join(groups, "class", "left")
-    return out.select("key", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class").alias("group_id"))
+    return out.select("key", F.lower(F.hex("class")).alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.lower(F.hex(F.coalesce("group_id", "class"))).alias("group_id"))

@@ -51,7 +51,7 @@ def p4_word_frequencies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    return frequencies.ngram_frequencies(_table(spark, folder, "metadata_sram"), "chunk_id", "text", max_n=3)
+    return frequencies.mark_ngrams(_table(spark, folder, "metadata_sram"), "chunk_id", "text", max_n=3)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,5 +159,6 @@ WITH r AS (SELECT chunk_id, max(text) AS text FROM metadata_sram GROUP BY chunk_
 w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM r),
 g AS (SELECT chunk_id, n, unnest(list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS ngram
       FROM w, (VALUES (1), (2), (3)) AS v(n))
-SELECT ngram, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT chunk_id) AS records FROM g GROUP BY ngram, n""",
+SELECT ngram, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT chunk_id) AS records,
+CASE WHEN count(DISTINCT chunk_id) <= 2 THEN 'rare' WHEN count(DISTINCT chunk_id) * 3 > (SELECT count(*) FROM r) THEN 'common' END AS mark FROM g GROUP BY ngram, n""",
     }
