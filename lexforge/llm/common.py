@@ -89,9 +89,14 @@ def run_hashes(hashes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one is set only where none is (tests, a laptop)."""
+    """The folder all executors share, as the session names it in spark.checkpoint.dir.
+
+    Where the session runs in one process, as in tests, a folder of this machine will do; on a cluster it wouldn't, so that one has to be named there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "lexforge-checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)

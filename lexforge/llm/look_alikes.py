@@ -22,13 +22,24 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import INVISIBLE, cut
 
-#: Letters of other scripts with the shape of a Latin letter (fixed values): Cyrillic, Greek, Armenian and Latin Extended.
+#: Letters with the shape of a Latin letter (fixed values), script by script.
 _LOOKALIKES = (
-    ("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u04bb\u0501\u051b\u051d\u04cf", "aeopcyxijshdqwl"),
-    ("\u0410\u0412\u0415\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0425\u0405\u0406\u0408\u04ae\u051a\u051c\u04c0", "ABEKMHOPCTXSIJYQWI"),
+    # Cyrillic
+    ("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u04bb\u0501\u051b\u051d\u04cf\u0475\u0461", "aeopcyxijshdqwlvw"),
+    ("\u0410\u0412\u0415\u041a\u041c\u041d\u041e\u0420\u0421\u0422\u0425\u0405\u0406\u0408\u04ae\u051a\u051c\u04c0\u0474", "ABEKMHOPCTXSIJYQWIV"),
+    # Greek
     ("\u03bf\u03bd\u03c1\u03f2\u03f3", "ovpcj"),
     ("\u0391\u0392\u0395\u0396\u0397\u0399\u039a\u039c\u039d\u039f\u03a1\u03a4\u03a5\u03a7\u03f9\u037f", "ABEZHIKMNOPTYXCJ"),
-    ("\u0585\u0555\u0261", "oOg"),
+    # Coptic
+    ("\u2c80\u2c82\u2c88\u2c8e\u2c92\u2c94\u2c98\u2c9a\u2c9e\u2ca2\u2ca4\u2ca6\u2ca8\u2cac\u2c9f\u2ca3\u2ca5", "ABEHIKMNOPCTYXopc"),
+    # Armenian
+    ("\u0585\u0555\u0578\u057d\u0581\u0570\u054f\u054d", "oOnughSU"),
+    # Cherokee
+    ("\u13aa\u13f4\u13df\u13ac\u13bb\u13ab\u13e6\u13de\u13b7\u13e2\u13d2\u13da\u13a2\u13d9\u13b3\u13c3\u13a0\u13a1\u13a9\u13c0\u13d4", "ABCEHJKLMPRSTVWZDRYGW"),
+    # Lisu
+    ("\ua4d0\ua4d1\ua4d3\ua4d4\ua4d6\ua4d7\ua4d9\ua4da\ua4dc\ua4dd\ua4df\ua4e0\ua4e1\ua4e2\ua4e3\ua4e6\ua4e7\ua4ea\ua4eb\ua4ec\ua4ee\ua4f0\ua4f2\ua4f3\ua4f4", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    # Latin letters of phonetics: script a and g, and small capitals that are the small letters
+    ("\u0251\u0261\u1d0f\u1d04\u1d20\u1d21\u1d22\ua731", "agocvwzs"),
 )
 
 #: Kinds of compatibility decomposition that leave a character's look as it is.
@@ -53,7 +64,7 @@ def _rules() -> tuple[dict[str, str], str]:
             becomes[c] = " "
         elif c in "\r\x0b\x0c\x85  ":
             becomes[c] = "\n"
-        elif tag in _SAME_LOOK or tag == "<compat>" and ("LIGATURE" in unicodedata.name(c, "") or c == "µ"):
+        elif tag in _SAME_LOOK or tag == "<compat>" and "ROMAN NUMERAL" in unicodedata.name(c, "") or tag == "<compat>" and ("LIGATURE" in unicodedata.name(c, "") or c == "µ"):
             becomes[c] = unicodedata.normalize("NFKC", c)
         elif c in letters:
             becomes[c] = letters[c]
@@ -76,6 +87,7 @@ def canonical_form(table: dict[int, str] | None = None, unstable: str = _UNSTABL
     """A function from text to its consistent form, for use inside a task."""
     becomes = str.maketrans(_BECOMES) if table is None else table
     segment = re.compile(f"[{unstable}]+")
+    styled = re.compile("[\U0001d400-\U0001d7ff]+")  # letters and digits of mathematics: the same ones in a style
     narrow = bytes(c for c in range(256) if not segment.match(chr(c)))
     normal = unicodedata.normalize
 
@@ -90,8 +102,10 @@ def canonical_form(table: dict[int, str] | None = None, unstable: str = _UNSTABL
         for found in segment.finditer(text):
             start = max(found.start() - 1, done)  # with the character to which a mark may belong
             out.append(text[done:start])
+            part = text[start : found.end()]
+            part = styled.sub(lambda m: normal("NFKC", m.group()), part) if found.group() > "\uffff" or styled.search(part) else part
             # Decomposed first, so that a letter is seen apart from its accents; then the rules; then composed again.
-            out.append(normal("NFC", normal("NFD", text[start : found.end()].translate(becomes)).translate(becomes)))
+            out.append(normal("NFC", normal("NFD", part.translate(becomes)).translate(becomes)))
             done = found.end()
         return "".join((*out, text[done:]))
 
@@ -120,15 +134,8 @@ def canonicalize(df: DataFrame, text: str, into: str) -> DataFrame:
     return df.withColumn(into, form(F.col(text)))
 
 
-def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id_a, id_b): pairs of keys, id_a < id_b, whose texts look the same and are not the same sequence of characters.
-
-    Null and blank texts (nothing but spaces and characters that don't show)
-    and rows without a key take no part; rows that repeat a key and its text
-    count once; copies of one text are no pair with each other. Texts travel as
-    hashes: only the forms with several spellings are paired, spelling by
-    spelling, and each spelling's keys are joined to the pairs last.
-    """
+def _members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form, spelling): hashes of every key's consistent form and of its text as it is; blank ones left out."""
     table, unstable = str.maketrans(_BECOMES), _UNSTABLE
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +152,33 @@ def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(form, pa.binary()), pa.array(spelling, pa.binary())], ["key", "form", "spelling"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    kind = rows.schema["key"].dataType.simpleString()
-    members = cut(rows.mapInArrow(hashes, f"key {kind}, form binary, spelling binary").distinct())
+    return cut(rows.mapInArrow(hashes, f"key {rows.schema['key'].dataType.simpleString()}, form binary, spelling binary").distinct())
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form, spellings, links): every key with the class of texts that look like its own (a hash of their form), how many
+    spellings the class has, and how many keys have another spelling than this one.
+
+    One row per key and text, whatever the number of copies; null and blank texts and rows without a key take no part.
+    """
+    members = _members(df, key, text)
+    spelled = members.groupBy("form", "spelling").agg(F.count("*").alias("own"))
+    forms = spelled.groupBy("form").agg(F.count("*").alias("spellings"), F.sum("own").alias("all"))
+    sizes = spelled.join(forms, "form").select("form", "spelling", "spellings", (F.col("all") - F.col("own")).alias("links"))
+    return members.join(sizes, ["form", "spelling"]).select("key", F.lower(F.hex("form")).alias("form"), "spellings", "links")
+
+
+def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id_a, id_b): pairs of keys, id_a < id_b, whose texts look the same and are not the same sequence of characters.
+
+    Null and blank texts (nothing but spaces and characters that don't show)
+    and rows without a key take no part; rows that repeat a key and its text
+    count once; copies of one text are no pair with each other. Texts travel as
+    hashes: only the forms with several spellings are paired, spelling by
+    spelling, and each spelling's keys are joined to the pairs last. The pairs of a large class are many: look_alike_classes has
+    one row per key instead.
+    """
+    members = _members(df, key, text)
     spellings = members.select("form", "spelling").distinct()
     several = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     spellings = spellings.join(several, "form")

@@ -9,10 +9,13 @@ unused is at most its last containers, a share that shrinks with its size.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +30,21 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER,
     Rows that repeat a key count once; null and empty texts have size 0; rows without a key are left out.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    df.sparkSession.sparkContext.addFile(tokenizer)  # the driver's file goes to every executor
+    name = os.path.basename(tokenizer)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
-        if tokenizer.endswith(".model"):
+        path = SparkFiles.get(name)
+        if name.endswith(".model"):
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
             sizes = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(tokenizer)
+            model = Tokenizer.from_file(path)
             model.encode_special_tokens = True
             sizes = lambda texts: [len(x.ids) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
         for batch in batches:
@@ -77,7 +82,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(sizes: DataFrame, limits: DataFrame, group_containers: int = 2000, group_items: int = 20_000, seed: int = 11, most_limits: int = 1000) -> DataFrame:
+def pack(sizes: DataFrame, limits: DataFrame, group_containers: int = 2000, group_items: int = 20_000, seed: int = 11, limits_at_once: int = 500) -> DataFrame:
     """(limit_id, key, piece, tokens, container): the container of every piece of every item, for each limit.
 
     sizes: key, tokens (see token_counts); limits: limit_id, capacity_tokens. An item up to the capacity is one piece
@@ -86,10 +91,13 @@ def pack(sizes: DataFrame, limits: DataFrame, group_containers: int = 2000, grou
     rows. group_containers and group_items bound what one task packs at a time.
     """
     sizes = cut(sizes)
-    # As many limits as a table of container sizes has: checked, since they go into the plan.
-    rows = limits.select("limit_id", "capacity_tokens").where("limit_id is not null and capacity_tokens >= 1").distinct().limit(most_limits + 1).collect()
-    if len(rows) > most_limits:
-        raise ValueError(f"more than {most_limits} limits")
+    rows = limits.select("limit_id", "capacity_tokens").where("limit_id is not null and capacity_tokens >= 1").distinct()
+    several = -(-rows.count() // limits_at_once)
+    if several > 1:  # limits go into the plan, so that many of them are taken in turn
+        turn = F.pmod(F.xxhash64("limit_id", "capacity_tokens"), F.lit(2 * several))
+        parts = [pack(sizes, limits.where(turn == i), group_containers, group_items, seed, 4 * limits_at_once) for i in range(2 * several)]
+        return reduce(DataFrame.unionByName, parts)
+    rows = rows.collect()
     total, items = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     kind = sizes.schema["key"].dataType.simpleString()
     schema = f"limit_id {limits.schema['limit_id'].dataType.simpleString()}, key {kind}, piece int, tokens bigint, container string"

@@ -41,6 +41,11 @@ def p3_canonical_texts(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.select("doc_id", F.md5("text").alias("text_md5"), F.md5("form").alias("form_md5"), (F.col("text") != F.col("form")).alias("changed"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    classes = look_alikes.look_alike_classes(_table(spark, folder, "cuad_corpus"), "doc_id", "text")
+    return classes.select(F.col("key").alias("doc_id"), "spellings", "links")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     marked = frequencies.mark_words(_table(spark, folder, "metadata_sram"), "chunk_id", "text")
     return marked.where(F.col("mark").isNotNull()).select("word", "mark")
@@ -95,7 +100,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_texts, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_similar_passages, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_texts, p3_classes, p4_found, p4_word_frequencies, p4_ngrams, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_similar_passages, p8_found)}
 
 
 _P4_WORDS = r"""
@@ -125,16 +130,22 @@ g AS (SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(ws)
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s WHERE d.side = 'd' AND i.side = 'i'"""
 
 
+# What looks alike, written down for SQL on its own: letters of other scripts over Latin ones, kinds of space, and what doesn't show.
+_OTHER = "аеорсухіјѕһԁԛԝӏѵѡАВЕКМНОРСТХЅІЈҮԚԜӀѴονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿօՕոսցհՏՍɑɡᴏᴄᴠᴡᴢꜱ"
+_LATIN = "aeopcyxijshdqwlvwABEKMHOPCTXSIJYQWIVovpcjABEZHIKMNOPTYXCJoOnughSUagocvwzs"
+_BLANKS = "\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}\\t"
+_UNSEEN = "\\x{AD}\\x{34F}\\x{61C}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}"
+
+
 def _form_sql() -> str:
-    """The consistent form of `text` by nested translations; good for the characters of these tables."""
-    one = {a: b for a, b in look_alikes._BECOMES.items() if len(b) == 1}
-    many = {a: b for a, b in look_alikes._BECOMES.items() if len(b) > 1 and a >= "\ufb00" and a <= "\ufb06"}
-    gone = "".join(a for a, b in look_alikes._BECOMES.items() if not b)
-    to = "".join(one.values()).replace("'", "''")
-    form = f"translate(text, '{''.join(one)}{gone}', '{to}')"
-    for a, b in many.items():
+    """The consistent form of `text`: full-width signs by their distance from the plain ones, ligatures, letters, spaces, accents last."""
+    wide = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F))
+    plain = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    form = f"regexp_replace(regexp_replace(text, '[{_UNSEEN}]', '', 'g'), '[{_BLANKS}]', ' ', 'g')"
+    form = f"translate({form}, '{wide}', '{plain}')"
+    for a, b in zip("ﬀﬁﬂﬃﬄﬅﬆ", ("ff", "fi", "fl", "ffi", "ffl", "st", "st")):
         form = f"replace({form}, '{a}', '{b}')"
-    return f"nfc_normalize({form})"
+    return f"nfc_normalize(translate(translate({form}, '{_OTHER}', '{_LATIN}'), 'µ', 'μ'))"
 
 
 def _p3_sql() -> str:
@@ -150,6 +161,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _p3_sql(),
         "p3_canonical_texts": f"SELECT doc_id, md5(text) AS text_md5, md5(form) AS form_md5, text <> form AS changed FROM (SELECT DISTINCT doc_id, text, {_form_sql()} AS form FROM cuad_corpus)",
+        "p3_classes": f"""WITH m AS (SELECT DISTINCT doc_id, text, {_form_sql()} AS form FROM cuad_corpus WHERE text IS NOT NULL),
+k AS (SELECT * FROM m WHERE trim(form, ' ' || chr(10)) <> '') SELECT doc_id, (SELECT count(DISTINCT text) FROM k b WHERE b.form = k.form) AS spellings,
+(SELECT count(*) FROM k b WHERE b.form = k.form AND b.text <> k.text) AS links FROM k""",
         "p4_found": _P4_WORDS + "SELECT word, mark FROM m WHERE mark IS NOT NULL",
         "p4_word_frequencies": _P4_WORDS + "SELECT word, occurrences, records, mark FROM m",
         "p5_found": _P5_FOUND,
