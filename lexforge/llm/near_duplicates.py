@@ -165,7 +165,7 @@ class VerticalJoin:
     a key take no part; further columns are ignored.
     """
 
-    def __init__(self, df: DataFrame, key: str, text: str, words: int = 5, threshold: float | Fraction = Fraction(4, 5), within: str | None = None, sketch_bits: int | None = None, postings: int = 1_600_000, hot: int = 16_384):
+    def __init__(self, df: DataFrame, key: str, text: str, words: int = 5, threshold: float | Fraction = Fraction(4, 5), within: str | None = None, sketch_bits: int | None = None, postings: int = 2_400_000, hot: int = 16_384):
         self.spark, self.words, self.hot = df.sparkSession, words, hot
         self.t = Fraction(threshold).limit_denominator(10_000)
         if not 0 < self.t <= 1:
@@ -184,13 +184,13 @@ class VerticalJoin:
     def _levels(self) -> None:
         """The sketch: for each bucket of n-grams, how frequent they are (a logarithm in a byte).
 
-        There are as many buckets as the table has n-grams for every 32 of them, but no more than 2^26: one byte each is broadcast.
+        There is a bucket for about every four n-grams of the table, so that most of those that occur once are known to; but no more than 2^26: one byte each is broadcast.
         Counts stay with Spark; the driver gets levels, the sums by level, and the buckets that are hot.
         """
         words = self.words
         if self.sketch_bits is None:
             chars = self.rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-            self.sketch_bits = int(min(26, max(16, np.ceil(np.log2(max(1, chars / 200))))))
+            self.sketch_bits = int(min(26, max(16, np.ceil(np.log2(max(1, chars / 24))))))
         bits = self.sketch_bits
         size, shift = 1 << bits, np.uint64(64 - bits)
 
@@ -212,8 +212,8 @@ class VerticalJoin:
         self.by_level[by_level["level"].to_numpy()] = by_level["n"].to_numpy()
         # Where buckets are full of ordinary n-grams, what is above the average tells the hot ones.
         self.hot = int(max(self.hot, 4 * self.by_level.sum() / size))
-        rows = counted.select("bucket", level.alias("level")).toArrow()
-        self.level = np.zeros(size, np.uint8)
+        rows = counted.where("n > 1").select("bucket", level.alias("level")).toArrow()
+        self.level = np.full(size, _level(1), np.uint8)
         self.level[rows["bucket"].to_numpy()] = rows["level"].to_numpy()
         heavy = counted.where(F.col("n") > self.hot).orderBy("bucket").toArrow()
         self.heavy, self.heavy_blocks = heavy["bucket"].to_numpy().astype(np.int64), -(-heavy["n"].to_numpy() // self.hot)
