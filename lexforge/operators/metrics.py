@@ -9,15 +9,16 @@ from lexforge.functions import text as T
 from lexforge.functions import vectors as V
 
 
-def list_distances(results: DataFrame, query: str = "query_id", vector: str = "embedding", threshold: float = 0.7) -> DataFrame:
+def list_distances(results: DataFrame, query: str | list[str] = "query_id", vector: str = "embedding", threshold: float = 0.7) -> DataFrame:
     """(query_id, ild, redundancy): mean distance of the pairs of each result list (0 below two rows), and the share of pairs
     whose cosine is above the threshold. Lists hold k rows, so pairs are made within one row's array."""
-    lists = results.groupBy(query).agg(F.sort_array(F.collect_list(F.struct("rank", vector))).alias("l"))
+    query = [query] if isinstance(query, str) else query
+    lists = results.groupBy(*query).agg(F.sort_array(F.collect_list(F.struct("rank", vector))).alias("l"))
     n = F.size("l")
     vec = lambda i: F.element_at("l", i)[vector]
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.filter(F.sequence(F.lit(1), n), lambda j: j > i), lambda j: F.struct(V.distance(vec(i), vec(j)).alias("d"), V.cosine(vec(i), vec(j)).alias("c")))))
-    rows = lists.select(query, F.explode_outer(pairs).alias("p"))
-    return rows.groupBy(query).agg(F.coalesce(F.avg("p.d"), F.lit(0.0)).alias("ild"), F.coalesce(F.avg(F.when(F.col("p.c").isNotNull(), (F.col("p.c") > threshold).cast("double"))), F.lit(0.0)).alias("redundancy"))
+    rows = lists.select(*query, F.explode_outer(pairs).alias("p"))
+    return rows.groupBy(*query).agg(F.coalesce(F.avg("p.d"), F.lit(0.0)).alias("ild"), F.coalesce(F.avg(F.when(F.col("p.c").isNotNull(), (F.col("p.c") > threshold).cast("double"))), F.lit(0.0)).alias("redundancy"))
 
 
 def breadth(results: DataFrame, nprobe: int, query: str = "query_id") -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lexforge.functions import vectors as V
 from lexforge.operators import vector_index as I
@@ -207,7 +208,30 @@ class Entry:
     min_dist: float = math.inf
 
 
-def mmr_fold(query: np.ndarray, offered: list[Entry], k: int, lam: float, tau: float, buffer: list[Entry] | None = None, anchors: list[Entry] | None = None, penalty: float = 1.5) -> tuple[list[Entry], int]:
+class Offers:
+    """Candidates in their order, side by side: vectors as one array, so that an Entry is made only of those that are taken."""
+
+    def __init__(self, chunk_id, vectors: np.ndarray, heading, local, doc_id, centroid_id):
+        self.chunk_id, self.vectors, self.heading, self.local, self.doc_id, self.centroid_id = chunk_id, vectors, heading, local, doc_id, centroid_id
+
+    @classmethod
+    def of(cls, entries: list[Entry]) -> Offers:
+        return cls(*([getattr(e, n) for e in entries] if n != "vector" else np.array([e.vector for e in entries], np.float64).reshape(len(entries), -1 if entries else 1) for n in ("chunk_id", "vector", "heading", "local", "doc_id", "centroid_id")))
+
+    def __len__(self) -> int:
+        return len(self.chunk_id)
+
+    def entry(self, i: int, score: float, min_dist: float) -> Entry:
+        return Entry(self.chunk_id[i], self.vectors[i], self.heading[i], bool(self.local[i]), self.doc_id[i], int(self.centroid_id[i]), score, min_dist)
+
+    def rows(self, at) -> Offers:
+        pick = lambda xs: [xs[i] for i in at]
+        return Offers(pick(self.chunk_id), self.vectors[at], pick(self.heading), pick(self.local), pick(self.doc_id), pick(self.centroid_id))
+
+
+def mmr_fold(
+    query: np.ndarray, offered: list[Entry] | Offers, k: int, lam: float, tau: float, buffer: list[Entry] | None = None, anchors: list[Entry] | None = None, penalty: float = 1.5
+) -> tuple[list[Entry], int]:
     """The buffer after the candidates, best first, and how many were skipped as near-duplicates.
 
     A candidate nearer than tau to the buffer or an anchor is skipped (distances under one heading are divided by
@@ -215,15 +239,17 @@ def mmr_fold(query: np.ndarray, offered: list[Entry], k: int, lam: float, tau: f
     lowest of a full buffer gives way to a higher score. What was skipped fills the places left, nearest first; a
     chunk that is held already isn't taken again.
     """
-    held, anchors, skipped = list(buffer or []), list(anchors or []), []
+    held, anchors = list(buffer or []), list(anchors or [])
+    offered = offered if isinstance(offered, Offers) else Offers.of(offered)
     if k <= 0:
         return [], 0
-    if offered:
-        vectors = np.stack([e.vector for e in offered])
+    skipped: list[tuple[float, int]] = []
+    if len(offered):
+        vectors = offered.vectors
         away = np.sqrt(((vectors - query) ** 2).sum(1))
         away = np.where(np.isfinite(away), away, 0.0)
         names = {"": 0}
-        code = np.array([names.setdefault(e.heading, len(names)) for e in offered])
+        code = np.array([names.setdefault(h, len(names)) for h in offered.heading])
         # Anchors, then the buffer: vectors, headings and scores side by side, changed in place.
         fixed, room = len(anchors), len(anchors) + max(k, len(held))
         around, headings, scores = np.empty((room, vectors.shape[1])), np.zeros(room, np.int64), np.empty(room)
@@ -252,19 +278,19 @@ def mmr_fold(query: np.ndarray, offered: list[Entry], k: int, lam: float, tau: f
                 at = n if len(held) < k else fixed + int(scores[fixed:n].argmin())  # the first of the lowest
                 takes = np.flatnonzero(~close if len(held) < k else ~close & (score > scores[at]))
                 t = int(takes[0]) if len(takes) else stop - i
-                skipped += [(float(dq[j]), offered[i + j]) for j in np.flatnonzero(close[:t])]
+                skipped += [(float(dq[j]), i + int(j)) for j in np.flatnonzero(close[:t])]
                 i += t
                 if i < stop:
-                    entry = replace(offered[i], score=float(score[t]), min_dist=float(near[t]))
+                    entry = offered.entry(i, float(score[t]), float(near[t]))
                     held[at - fixed : at - fixed + 1] = [entry]
                     around[at], headings[at], scores[at] = vectors[i], code[i], entry.score
                     i += 1
                     ds[i - start :, at : at + 1] = apart(slice(i, stop), slice(at, at + 1))
-    for dq, e in sorted(skipped, key=lambda s: s[0]):
+    for dq, i in sorted(skipped, key=lambda s: s[0]) if len(held) < k else []:
         if len(held) >= k:
             break
-        if all(e.chunk_id != h.chunk_id for h in held):
-            held.append(replace(e, score=-lam * dq, min_dist=0.0))
+        if all(offered.chunk_id[i] != h.chunk_id for h in held):
+            held.append(offered.entry(i, -lam * dq, 0.0))
     return sorted(held, key=lambda e: -e.score), len(skipped)
 
 
@@ -273,51 +299,113 @@ def is_covered(held: list[Entry], skipped: int, k: int, nprobe: int) -> bool:
     return len(held) >= k and len({e.doc_id for e in held}) >= min(2, k) and len({e.centroid_id for e in held}) >= min(2, nprobe, k) and skipped <= max(2, int(1.5 * k))
 
 
-def rerank(found: DataFrame, queries: DataFrame, codebook: DataFrame, k: int = 10, lam: float = 0.5, tau: float = 0.5, share: float = 0.7, nprobe: int = 8, mode: str = "proposed", anchor_lam: float = 1.0, anchor_tau: float = 0.0) -> DataFrame:
-    """(query_id, rank, chunk_id, score, min_dist, is_local, rounds, skipped): the re-ranked chunks of every query.
+@dataclass(frozen=True)
+class Fold:
+    """What a re-ranking is run with. mode: b2 ranks by distance alone in every round, proposed by lam and tau from the second on. share: of the places that are local."""
 
-    found: query_id, round, pos, chunk_id, doc_id, is_local, centroid_id, section_heading, pq_code; queries: query_id,
-    round, embedding. Rounds are taken in order until the result is covered. mode "b2" ranks by distance alone;
-    "proposed" takes anchors from the target's own chunks in the first round, if there are any, and re-ranks all against
-    them after. One query's candidates are one group, bounded by the probed lists and the rounds; queries run in parallel.
-    """
-    shared = found.sparkSession.sparkContext.broadcast(I.code_book(codebook))
-    kind = found.schema["query_id"].dataType.simpleString()
+    mode: str = "proposed"
+    k: int = 10
+    lam: float = 0.5
+    tau: float = 0.5
+    share: float = 0.7
+    nprobe: int = 8
+    anchor_lam: float = 1.0
+    anchor_tau: float = 0.0
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        book = shared.value
+    def run(self, rounds: list[tuple[np.ndarray, Offers]]) -> tuple[list[Entry], int, int, list[float]]:
+        """Result, rounds used, near-duplicates skipped, and of all rounds' results the distances to what was held before, of one query's rounds in their order."""
         held: list[Entry] = []
         anchors: list[Entry] = []
+        apart: list[float] = []
         skipped = used = 0
-        hybrid = bool(rows["is_local"].any())
-        quota = round(max(0.0, min(1.0, share)) * k)
-        for number, part in rows.sort_values(["round", "pos"]).groupby("round", sort=True):
-            query = np.asarray(part["embedding"].iloc[0], np.float64)
-            offered = [
-                Entry(r.chunk_id, np.concatenate([book[m][c] for m, c in enumerate(r.pq_code)]), r.section_heading or "", bool(r.is_local), r.doc_id, int(r.centroid_id))
-                for r in part.itertuples()
-            ]
+        hybrid = any(any(offers.local) for _, offers in rounds)
+        quota = round(max(0.0, min(1.0, self.share)) * self.k)
+        pure = self.mode == "b2"
+        first, later = ((1.0, 0.0), (1.0, 0.0)) if pure else ((self.anchor_lam, self.anchor_tau), (self.lam, self.tau))
+        for query, offers in rounds:
             used += 1
-            if mode == "b2":
-                held, n = mmr_fold(query, offered, k, 1.0, 0.0, held)
-            elif used == 1 and hybrid:
-                held, n = mmr_fold(query, [e for e in offered if e.local], quota, anchor_lam, anchor_tau)
+            lam, tau = first if used == 1 else later
+            if used == 1 and hybrid:
+                held, n = mmr_fold(query, offers.rows(np.flatnonzero(offers.local)), quota, lam, tau)
                 anchors = list(held)
-            elif used == 1:
-                held, n = mmr_fold(query, offered, k, anchor_lam, anchor_tau)
+            elif used == 1 or not anchors:
+                held, n = mmr_fold(query, offers, self.k, lam, tau, held)
             else:
                 known = {a.chunk_id for a in anchors}
-                rest, n = mmr_fold(query, [e for e in offered if e.chunk_id not in known], k, lam, tau, [e for e in held if e.chunk_id not in known], anchors)
-                held = (anchors + rest)[:k]
+                free = np.array([i for i, c in enumerate(offers.chunk_id) if c not in known], np.int64)
+                rest, n = mmr_fold(query, offers.rows(free), self.k, lam, tau, [e for e in held if e.chunk_id not in known], anchors)
+                held = (anchors + rest)[: self.k]
             skipped += n
-            if is_covered(held, skipped, k, nprobe * used):
+            apart += [e.min_dist for e in (held if used == 1 or not anchors else held[len(anchors) :])]
+            if is_covered(held, skipped, self.k, self.nprobe * used):
                 break
-        return pd.DataFrame(
-            {
-                "query_id": [rows["query_id"].iloc[0]] * len(held), "rank": range(1, len(held) + 1), "chunk_id": [e.chunk_id for e in held], "score": [e.score for e in held],
-                "min_dist": [e.min_dist for e in held], "is_local": [e.local for e in held], "rounds": used, "skipped": skipped,
-            }
-        )
-
-    rows = found.join(queries.select("query_id", "round", "embedding"), ["query_id", "round"]).select("query_id", "round", "pos", "chunk_id", "doc_id", "is_local", "centroid_id", "section_heading", "pq_code", "embedding")
-    return rows.groupBy("query_id").applyInPandas(fold, f"query_id {kind}, rank int, chunk_id string, score double, min_dist double, is_local boolean, rounds int, skipped int")
+        return held[: self.k], used, skipped, apart
+
+
+def rounds_of(found: pa.Table, asked: pa.Table, book: np.ndarray) -> list[tuple[np.ndarray, Offers]]:
+    """One query's candidates as rounds: the codes of each are decoded once."""
+    found = found.sort_by([("round", "ascending"), ("pos", "ascending")])
+    codes = found["pq_code"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(found), -1)
+    vectors = np.concatenate([book[m][codes[:, m]] for m in range(len(book))], 1)
+    rows = [found[c].to_pylist() for c in ("chunk_id", "section_heading", "is_local", "doc_id", "centroid_id")]
+    every = Offers(rows[0], vectors, [h or "" for h in rows[1]], rows[2], rows[3], rows[4])
+    number = found["round"].to_numpy()
+    queries = dict(zip(asked["round"].to_pylist(), asked["embedding"].to_pylist()))
+    return [(np.asarray(queries[r], np.float64), every.rows(np.flatnonzero(number == r))) for r in sorted(queries) if (number == r).any()]
+
+
+def list_spread(vectors: np.ndarray, threshold: float = 0.7) -> tuple[float, float]:
+    """Mean distance of the pairs of a list, and the share of pairs whose cosine is above the threshold; pairs with a vector of no length have none."""
+    i, j = np.triu_indices(len(vectors), 1)
+    if not len(i):
+        return 0.0, 0.0
+    d = np.sqrt(((vectors[i] - vectors[j]) ** 2).sum(1))
+    length = np.linalg.norm(vectors, axis=1)
+    both = length[i] * length[j]
+    known = (both > 0) & np.isfinite(both)
+    cosine = (vectors[i] * vectors[j]).sum(1)[known] / both[known]
+    d = d[np.isfinite(d)]
+    return (float(d.mean()) if len(d) else 0.0), (float((cosine > threshold).mean()) if known.any() else 0.0)
+
+
+_CANDIDATE = ("query_id", "round", "pos", "chunk_id", "doc_id", "is_local", "centroid_id", "section_heading", "pq_code")
+
+
+def rerank_all(found: DataFrame, queries: DataFrame, codebook: DataFrame, folds: list[Fold]) -> DataFrame:
+    """(fold, query_id, rank, chunk_id, centroid_id, doc_id, score, min_dist, is_local, rounds, skipped, p25, ild, redundancy): the re-ranked chunks of
+    every query for each of several settings, numbered by their place in the list.
+
+    found: query_id, round, pos, chunk_id, doc_id, is_local, centroid_id, section_heading, pq_code; queries: query_id,
+    round, embedding. Candidates don't depend on the settings: they are brought together and decoded once. Rounds are
+    taken in order until the result is covered. p25: first quartile of the finite distances to what was held before, over the results of all rounds. ild, redundancy: see list_spread.
+    One query's candidates are one group, bounded by the probed lists and the rounds; queries run in parallel.
+    """
+    shared = found.sparkSession.sparkContext.broadcast((I.code_book(codebook), [vars(f) for f in folds]))
+    kind = found.schema["query_id"].dataType.simpleString()
+    names = {n: found.schema[n].dataType.simpleString() for n in ("doc_id", "centroid_id")}
+    schema = f"fold int, query_id {kind}, rank int, chunk_id string, centroid_id {names['centroid_id']}, doc_id {names['doc_id']}, score double, min_dist double, is_local boolean, rounds int, skipped int, p25 double, ild double, redundancy double"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        book, settings = shared.value
+        out: dict[str, list] = {part.split(" ")[0]: [] for part in schema.split(", ")}
+        rounds = rounds_of(left, right, book) if len(left) and len(right) else []
+        for number, setting in enumerate(settings if rounds else []):
+            held, used, skipped, apart = Fold(**setting).run(rounds)
+            apart = [d for d in apart if math.isfinite(d)]
+            quartile = float(np.percentile(apart, 25)) if apart else None
+            ild, redundancy = list_spread(np.array([e.vector for e in held])) if held else (0.0, 0.0)
+            name = left["query_id"][0].as_py()
+            for rank, e in enumerate(held, 1):
+                for column, value in zip(out, (number, name, rank, e.chunk_id, e.centroid_id, e.doc_id, e.score, e.min_dist, e.local, used, skipped, quartile, ild, redundancy)):
+                    out[column].append(value)
+        return pa.table({n: pa.array(v, types[n]) for n, v in out.items()})
+
+    types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
+    candidates = found.select(*_CANDIDATE).groupBy("query_id")
+    return candidates.cogroup(queries.select("query_id", "round", "embedding").groupBy("query_id")).applyInArrow(run, schema)
+
+
+def rerank(found: DataFrame, queries: DataFrame, codebook: DataFrame, k: int = 10, lam: float = 0.5, tau: float = 0.5, share: float = 0.7, nprobe: int = 8, mode: str = "proposed", anchor_lam: float = 1.0, anchor_tau: float = 0.0) -> DataFrame:
+    """(query_id, rank, chunk_id, score, min_dist, is_local, rounds, skipped): the re-ranked chunks of every query; see rerank_all."""
+    out = rerank_all(found, queries, codebook, [Fold(mode, k, lam, tau, share, nprobe, anchor_lam, anchor_tau)])
+    return out.select("query_id", "rank", "chunk_id", "score", "min_dist", "is_local", "rounds", "skipped")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,12 +12,11 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 
-#: Formal words of contracts that say nothing about a cluster's subject (fixed values).
-LEGAL_STOPWORDS = (
-    "shall may must will would should could can might hereby hereto herein hereof hereunder hereafter hereinafter hereon herewith thereof therein thereon thereto thereby thereafter "
-    "therefor therefrom therewith whereas whereof whereby wherein witnesseth aforesaid aforementioned abovementioned said undersigned party parties agreement contract article section "
-    "clause exhibit schedule appendix"
-).split()
+#: Formal words of contracts that say nothing about a subject (fixed values): compound adverbs by rule, helping verbs, names of parts.
+LEGAL_STOPWORDS = [a + b for a in ("here", "there", "where") for b in ("after", "at", "by", "for", "from", "in", "inafter", "of", "on", "to", "under", "upon", "with")]
+LEGAL_STOPWORDS += ["can", "could", "may", "might", "must", "ought", "shall", "should", "will", "would"]
+LEGAL_STOPWORDS += ["agreement", "annex", "appendix", "article", "clause", "contract", "exhibit", "paragraph", "recital", "schedule", "section", "subsection"]
+LEGAL_STOPWORDS += ["aforesaid", "foregoing", "notwithstanding", "parties", "party", "provided", "pursuant", "said", "thereof", "undersigned", "whereas", "witness"]
 #: Common English function words (fixed values).
 STOPWORDS = (
     "a an the and or but if of to in on at by for with from as is are was were be been being it its this that these those not no nor so than then there their they them he she his her you "
@@ -28,19 +28,19 @@ SPECIAL = ["cls", "sep", "pad", "unk", "mask", "[cls]", "[sep]", "[pad]", "[unk]
 
 
 def deduplicate(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text, rows): texts that are equal after cleaning, once, with the least key and all keys; blank ones are dropped.
+    """(doc_id, text, copies): texts that are equal after cleaning, once, with the least key and how many rows have it; blank ones are dropped.
 
-    Grouped by the text's hash and the text; a hot text is counted before the shuffle.
+    Rows meet by a hash of 128 bits; a hot text is counted before the shuffle.
     """
     cleaned = docs.select(F.col(key).alias("_k"), T.clean_text(F.col(text)).alias("text")).where("text <> ''")
-    return cleaned.groupBy("text").agg(F.min("_k").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "text", "copies")
+    return cleaned.groupBy(F.md5("text").alias("_h")).agg(F.min("_k").alias("doc_id"), F.any_value("text").alias("text"), F.count("*").alias("copies")).select("doc_id", "text", "copies")
 
 
 def duplicate_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row_id, doc_id): every row with the document that stands for it (for mapping references to rows)."""
-    cleaned = docs.select(F.col(key).alias("row_id"), F.xxhash64(T.clean_text(F.col(text))).alias("h"), T.clean_text(F.col(text)).alias("text")).where("text <> ''")
-    first = cleaned.groupBy("h", "text").agg(F.min("row_id").alias("doc_id"))
-    return cleaned.join(first, ["h", "text"]).select("row_id", "doc_id")
+    """(row_id, doc_id): every row with the document that stands for it (for mapping references to rows). Texts stay where they are: hashes meet."""
+    hashed = docs.select(F.col(key).alias("row_id"), T.clean_text(F.col(text)).alias("_t")).where("_t <> ''").select("row_id", F.md5("_t").alias("h"))
+    first = hashed.groupBy("h").agg(F.min("row_id").alias("doc_id"))
+    return hashed.join(first, "h").select("row_id", "doc_id")
 
 
 def document_frequency(docs: DataFrame, text: str) -> DataFrame:
@@ -77,53 +77,71 @@ def clauses(c):
     return F.filter(F.transform(F.split(lines, _CLAUSE), T.strip), lambda x: x != "")
 
 
+class _Places:
+    """All places of some marks in a text, found by one search; which is the last one in a range is then a look-up."""
+
+    def __init__(self, text: str, *marks: str):
+        self.at = {m: [f.start() for f in re.finditer(f"(?={m})", text)] for m in marks}
+
+    def last(self, mark: str, low: int, high: int) -> int | None:
+        """The last place from low on and before high."""
+        i = bisect_left(self.at[mark], high)
+        return self.at[mark][i - 1] if i and self.at[mark][i - 1] >= low else None
+
+
 def split_oversized(text: str, size: int, overlap: int) -> list[str]:
     """Pieces of at most `size` characters: each ends after the last sentence in its second half, else line, else word; the next begins `overlap` earlier."""
     text = text.strip()
     if len(text) <= size:
         return [text] if text else []
-    half = size // 2
-    back = max(0, min(overlap, half - 1)) if half > 1 else 0
-    out: list[str] = []
-    at, last = 0, -1
-    while at < len(text):
-        if at == last:
-            at = min(at + max(1, size // 4), len(text))
-            if at >= len(text):
-                break
-        last = at
-        if len(text) - at <= size:
-            out.append(text[at:].strip())
-            break
-        end = min(at + size, len(text))
-        low = min(at + max(1, half), end - 1)
-        low = at + 1 if low <= at or (low >= end and end > at + 1) else low
-        stop = end
-        for mark, start in ((". ", low), ("\n", low), (" ", at + 1)):
-            if (found := text.rfind(mark, start, end)) >= 0:
-                stop = found + len(mark)
-                break
-        if piece := text[at:stop].strip():
-            out.append(piece)
-        at = stop - back if stop - back > at else stop
-    return [p for p in out if p]
+    places = _Places(text, r"\. ", r"\n", " ")
+    half = max(1, size // 2)
+    back = min(overlap, half - 1) if overlap > 0 else 0
+
+    def spans() -> Iterator[tuple[int, int]]:
+        start = 0
+        while len(text) - start > size:
+            full = start + size
+            ends = ((places.last(r"\. ", start + half, full - 1), 2), (places.last(r"\n", start + half, full), 1), (places.last(" ", start + 1, full), 1))
+            stop = next((p + width for p, width in ends if p is not None), full)
+            yield start, stop
+            start = max(stop - back, start + 1) if stop - back > start else stop
+        yield start, len(text)
+
+    return [p for a, b in spans() if (p := text[a:b].strip())]
 
 
 def split_sliding(text: str, size: int, overlap: int) -> list[str]:
     """Windows of `size` characters that end at the last mark in their final third, each beginning `overlap` before the end of the one before."""
-    out: list[str] = []
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + size)
-        low = max(at + int(size * 0.7), at + 1)
-        best = max((found for mark in ("\n", ". ", ", ", " ", ";", ":", "?", "!") if (found := text.rfind(mark, low, end)) > at), default=-1)
-        if best != -1 and best > at + 10:
-            end = best + 1
-        if piece := text[at:end].strip():
-            out.append(piece)
-        if end >= len(text):
-            break
-        at = end - overlap if end - overlap > at else at + max(1, int(size * 0.25))
+    places = _Places(text, r"[\n ;:?!]")  # after a full stop or a comma with a blank, the blank is the later mark
+
+    def spans() -> Iterator[tuple[int, int]]:
+        start, stop = 0, 0
+        while stop < len(text):
+            stop = min(len(text), start + size)
+            mark = places.last(r"[\n ;:?!]", start + max(1, int(size * 0.7)), stop)
+            if mark is not None and mark > start + 10:
+                stop = mark + 1
+            yield start, stop
+            start = stop - overlap if stop - overlap > start else start + max(1, int(size * 0.25))
+
+    return [p for a, b in spans() if (p := text[a:b].strip())]
+
+
+def join_overlapping(pieces: list[str], most: int = 2000) -> str:
+    """Pieces as one text: the longest common end and start of neighbours stands once; without one, a space is between. Blank pieces are left out."""
+    out = ""
+    for piece in pieces:
+        if not out.strip() or not piece.strip():
+            out = piece if not out.strip() else out
+            continue
+        tail, key = out[-most:], piece[:12]
+        shared, at = 0, tail.find(key)
+        while at >= 0 and not shared:  # long overlaps hold the piece's beginning whole, the leftmost is the longest
+            shared = len(tail) - at if piece.startswith(tail[at:]) else 0
+            at = tail.find(key, at + 1)
+        shared = shared or next((n for n in range(min(len(key), len(tail)), 0, -1) if tail.endswith(piece[:n])), 0)
+        out += piece[shared:] if shared else f" {piece}"
     return out
 
 
@@ -168,9 +186,10 @@ def stitch(chunks: DataFrame, picked: DataFrame, radius: int = 1, trim: bool = F
     has = lambda i: F.exists("near", lambda n: n["chunk_idx"] == i)
     linked = F.filter("near", lambda n: F.forall(F.sequence(F.least(n["chunk_idx"], own), F.greatest(n["chunk_idx"], own)), has))
     edge = T.trim_edges if trim else (lambda c: c)
-    merged = F.aggregate(F.transform(linked, lambda n: edge(n["text"])), F.lit(""), lambda a, t: T.merge_overlap(a, t))
-    return near.select("chunk_id", merged.alias("stitched"))
 
+    @F.pandas_udf("string")
+    def merged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield lists.map(lambda pieces: join_overlapping([p for p in pieces if p is not None]))
 
-def tokens(text: str) -> list[str]:
-    return re.findall(r"\w+", (text or "").lower())
+    return near.select("chunk_id", merged(F.transform(linked, lambda n: edge(n["text"]))).alias("stitched"))
