@@ -171,6 +171,7 @@ class VerticalJoin:
         if not 0 < self.t <= 1:
             raise ValueError("the threshold must be in (0, 1]")
         self.sketch_bits, self.postings = sketch_bits, postings
+        self.scoped = within is not None
         scope = F.lit(0).cast("bigint") if within is None else F.xxhash64(within)
         rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), scope.alias("scope")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
         # 128 bits, so that different texts have different classes in a collection of any size; without a scope it is the text's own.
@@ -188,8 +189,13 @@ class VerticalJoin:
         Counts stay with Spark; the driver gets levels, the sums by level, and the buckets that are hot.
         """
         words = self.words
+        chars = self.rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] if self.scoped or self.sketch_bits is None else 0
+        if self.scoped:  # a list is no longer than one row's array: there is nothing to tell apart
+            self.sketch_bits, self.level, self.by_level = 16, np.full(1 << 16, _level(2), np.uint8), np.zeros(256)
+            self.by_level[_level(2)] = chars / 6
+            self.heavy, self.heavy_blocks = np.empty(0, np.int64), np.empty(0, np.int64)
+            return
         if self.sketch_bits is None:
-            chars = self.rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
             self.sketch_bits = int(min(26, max(16, np.ceil(np.log2(max(1, chars / 24))))))
         bits = self.sketch_bits
         size, shift = 1 << bits, np.uint64(64 - bits)
