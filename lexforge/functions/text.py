@@ -185,6 +185,23 @@ def file_label(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\w.\-]+", "_")
 
 
+#: What a judge is asked (fixed value); a template of one's own may have the same places.
+JUDGE_PROMPT = (
+    "You compare three answers to a question about a contract.\n\nQuestion: {query}\n\nAnswer A: {a}\n\nAnswer B: {b}\n\nAnswer C: {c}\n\n"
+    "Score each answer from 1 to 5 for comprehensiveness, conciseness and faithfulness, and name the best one, or TIE.\nReply with JSON only: "
+    '{"winner": "A|B|C|TIE", "reason": "...", "scores": {"Answer_A": {"comprehensiveness": 0, "conciseness": 0, "faithfulness": 0}, "Answer_B": {...}, "Answer_C": {...}}}'
+)
+
+
+def judge_prompt(query: Column, a: Column, b: Column, c: Column, template: str = JUDGE_PROMPT) -> Column:
+    """The template with the question and the three answers in their places, each as it is; null counts as empty."""
+    out, rest = [], template
+    for place, value in (("{query}", query), ("{a}", a), ("{b}", b), ("{c}", c)):
+        head, rest = rest.split(place, 1)
+        out += [F.lit(head), F.coalesce(value, F.lit(""))]
+    return F.concat(*out, F.lit(rest))
+
+
 _SCORE = "struct<comprehensiveness: double, conciseness: double, faithfulness: double>"
 
 
@@ -193,3 +210,19 @@ def judge_json(raw: Column) -> Column:
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
     braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
     return F.from_json(F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(braces, F.lit(""))), f"winner string, reason string, scores map<string, {_SCORE}>")
+
+
+def judge_record(raw: Column, provider: Column | None = None) -> Column:
+    """A judge's answer as a record that is never missing: what can't be read is a tie, with the reason and the answer as it came."""
+    parsed = judge_json(raw)
+    good = F.coalesce(parsed["winner"], F.lit("")) != ""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{_SCORE}>"))
+    return F.struct(
+        F.when(good, parsed["winner"]).otherwise("TIE").alias("winner"), F.when(good, parsed["reason"]).when(raw.isNull(), "no answer from the judge").otherwise("not the JSON that was asked for").alias("reason"),
+        F.when(good, F.coalesce(parsed["scores"], empty)).otherwise(empty).alias("scores"), (~good).alias("parse_error"), raw.alias("raw_response"), (F.lit(None).cast("string") if provider is None else provider).alias("provider"),
+    )
+
+
+def model_name(override: Column, *configured: Column, default: str = "") -> Column:
+    """The first name that isn't blank: the override, then those of a configuration, then the default."""
+    return F.coalesce(*(F.nullif(strip(c), F.lit("")) for c in (override, *configured)), F.lit(default))

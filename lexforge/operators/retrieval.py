@@ -19,7 +19,7 @@ from lexforge.operators import vector_index as I
 
 def coarse_probe(queries: DataFrame, centroids: DataFrame, nprobe: int = 8) -> DataFrame:
     """(query_id, rank, centroid_id, d2): the nprobe nearest centroids of every query."""
-    return I.nearest_rows(queries, "query_id", "embedding", *I.matrix(centroids, "centroid_id", "vec"), nprobe, "centroid_id")
+    return I.nearest_of(queries, "query_id", "embedding", centroids, nprobe)
 
 
 def candidates(queries: DataFrame, postings: DataFrame, centroids: DataFrame, nprobe: int = 8, top_r: int | None = None, parts: int = 8) -> DataFrame:

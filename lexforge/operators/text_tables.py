@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,9 +188,8 @@ def stitch(chunks: DataFrame, picked: DataFrame, radius: int = 1, trim: bool = F
     linked = F.filter("near", lambda n: F.forall(F.sequence(F.least(n["chunk_idx"], own), F.greatest(n["chunk_idx"], own)), has))
     edge = T.trim_edges if trim else (lambda c: c)
 
-    @F.pandas_udf("string")
-    def merged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            yield lists.map(lambda pieces: join_overlapping([p for p in pieces if p is not None]))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([join_overlapping([p for p in pieces or [] if p is not None]) for pieces in b.column(1).to_pylist()], pa.string())], ["chunk_id", "stitched"])
 
-    return near.select("chunk_id", merged(F.transform(linked, lambda n: edge(n["text"]))).alias("stitched"))
+    return near.select("chunk_id", F.transform(linked, lambda n: edge(n["text"])).alias("pieces")).mapInArrow(merge, "chunk_id string, stitched string")

@@ -22,9 +22,12 @@ def matrix(table: DataFrame, key: str, vector: str, most: int = 65_536) -> tuple
     return rows[key].to_numpy(), values.reshape(len(rows), -1)
 
 
-def code_book(codebook: DataFrame) -> np.ndarray:
-    """book[m, code]: at most 256 code words in each part, by the type of a code."""
-    rows = codebook.select("m", "code", "vec").where("code between 0 and 255").limit(1 << 16).toArrow()
+def code_book(codebook: DataFrame, most: int = 65_536) -> np.ndarray:
+    """book[m, code]: at most 256 code words in each part, by the type of a code; of a code that is there twice the least vector."""
+    words = codebook.where("code between 0 and 255 and m >= 0").groupBy("m", "code").agg(F.min("vec").alias("vec"))
+    rows = words.limit(most + 1).toArrow()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} code words are no code book")
     m, code, vec = (rows[c].to_pylist() for c in ("m", "code", "vec"))
     book = np.zeros((max(m, default=0) + 1, 256, len(vec[0]) if vec else 1))
     for i, j, v in zip(m, code, vec):
@@ -89,20 +92,40 @@ def nearest_rows(df: DataFrame, key: str, vector: str, ids: np.ndarray, vecs: np
         for b in batches:
             if not b.num_rows or not n:
                 continue
-            v = _values(b.column(1))
-            d = np.maximum(0.0, (v**2).sum(1)[:, None] + square - 2 * v @ centres.T)
-            best = np.lexsort((np.broadcast_to(names, d.shape), np.round(d, 12)), axis=1)[:, :n]
-            d2 = ((v[:, None, :] - centres[best]) ** 2).sum(2)  # exactly, for the few that are kept
-            row = np.repeat(np.arange(len(v)), n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.tile(np.arange(1, n + 1), len(v)), pa.int32()), pa.array(names[best].reshape(-1).astype(np.int32)), pa.array(d2.reshape(-1))], [key, "rank", id_name, "d2"])
+            vectors = _values(b.column(1))
+            step = max(1, 4_000_000 // len(names))  # rows at a time, so that the distances stay small
+            for s in range(0, len(vectors), step):
+                v = vectors[s : s + step]
+                d = np.round(np.maximum(0.0, (v**2).sum(1)[:, None] + square - 2 * v @ centres.T), 12)
+                row, best = np.nonzero(d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n])
+                order = np.lexsort((names[best], d[row, best], row))
+                row, best = row[order], best[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, best, rank = row[rank < n], best[rank < n], rank[rank < n]
+                d2 = ((v[row] - centres[best]) ** 2).sum(1)  # exactly, for the few that are kept
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s + row)), pa.array(rank + 1, pa.int32()), pa.array(names[best].astype(np.int32)), pa.array(d2)], [key, "rank", id_name, "d2"])
 
     rows = df.select(key, vector).where(F.col(vector).isNotNull())
     return rows.mapInArrow(search, f"{key} {kind}, rank int, {id_name} int, d2 double")
 
 
+def nearest_of(df: DataFrame, key: str, vector: str, centroids: DataFrame, count: int, block: int = 65_536) -> DataFrame:
+    """(key, rank, centroid_id, d2): the `count` nearest centroids of every row. Centroids are sent to all tasks, more than `block` of them in parts, whose nearest are merged."""
+    parts = max(1, -(-centroids.count() // block))
+    if parts == 1:
+        return nearest_rows(df, key, vector, *matrix(centroids, "centroid_id", "vec", block), count, "centroid_id")
+    near = None
+    for i in range(2 * parts):
+        own = centroids.where(F.pmod(F.xxhash64("centroid_id"), F.lit(2 * parts)) == i)
+        found = nearest_rows(df, key, vector, *matrix(own, "centroid_id", "vec", block), count, "centroid_id")
+        near = found if near is None else near.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("d2", 12), "centroid_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= count)
+
+
 def assign(df: DataFrame, key: str, vector: str, centroids: DataFrame) -> DataFrame:
     """(key, centroid_id, d2): the nearest centroid, the least id on ties."""
-    return nearest_rows(df, key, vector, *matrix(centroids, "centroid_id", "vec"), 1, "centroid_id").drop("rank")
+    return nearest_of(df, key, vector, centroids, 1).drop("rank")
 
 
 def lloyd_step(df: DataFrame, key: str, vector: str, centroids: DataFrame) -> DataFrame:
@@ -218,5 +241,3 @@ def exact_search(queries: DataFrame, base: DataFrame, key: str, vector: str, k:
         near = found if near is None else near.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "other"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("other").alias(key), "distance")
-
-
