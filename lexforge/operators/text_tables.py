@@ -62,6 +62,22 @@ def group_word_counts(docs: DataFrame, group: str, text: str, stop: DataFrame |
     return counted.withColumn("rank", rank).where(F.col("rank") <= most).select("group", "word", "n", "rank")
 
 
+def requested_groups(counts: DataFrame, docs: DataFrame, group: str, wanted: list[int]) -> tuple[DataFrame, list[int], list[int]]:
+    """The word counts of the groups asked for, which of these are out of the range of the groups there are, and which have no words."""
+    most = docs.agg(F.max(group)).first()[0]
+    outside = sorted(w for w in set(wanted) if w < 0 or most is None or w > most)
+    asked = docs.sparkSession.createDataFrame([(int(w),) for w in sorted(set(wanted))], "group int")
+    kept = counts.join(F.broadcast(asked), "group", "left_semi")
+    empty = asked.join(counts.select("group").distinct(), "group", "left_anti").orderBy("group")
+    return kept, outside, [r.group for r in empty.collect() if r.group not in outside]
+
+
+def chunk_report(chunks: DataFrame, text: str = "text", short: int = 50) -> DataFrame:
+    """(chunks, short_chunks, least, greatest): how many chunks there are, how many have fewer than `short` characters, and the extreme lengths."""
+    size = F.length(T.strip(F.col(text)))
+    return chunks.agg(F.count("*").alias("chunks"), F.count_if(size < short).alias("short_chunks"), F.min(size).alias("least"), F.max(size).alias("greatest"))
+
+
 def stop_words(spark, more: list[str] | None = None) -> DataFrame:
     """All lists as one table, each word once."""
     return spark.createDataFrame([(w,) for w in sorted({*STOPWORDS, *LEGAL_STOPWORDS, *(more or [])})], "word string")

@@ -35,6 +35,16 @@ def code_book(codebook: DataFrame, most: int = 65_536) -> np.ndarray:
     return book
 
 
+def same_width(df: DataFrame, vector: str, parts: int = 1) -> int:
+    """The vectors' number of dimensions; it is an error if they differ in it or the parts don't divide it."""
+    widths = df.where(F.col(vector).isNotNull()).agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if widths.a != widths.b:
+        raise ValueError(f"vectors of {widths.a} to {widths.b} dimensions")
+    if widths.a and widths.a % parts:
+        raise ValueError(f"{parts} parts don't divide {widths.a} dimensions")
+    return widths.a or 0
+
+
 def random_rotation(width: int, seed: int = 42) -> np.ndarray:
     """A random orthogonal matrix, to be kept with the index and applied to documents and queries alike."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, width)))

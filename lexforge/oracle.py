@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lexforge import oracle_jobs as jobs
+
 # White space and control characters as the text functions know them.
 _WS = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _STRIP = rf"'^{_WS}+|{_WS}+$'"
@@ -215,6 +217,16 @@ sm AS (SELECT *, row_number() OVER (PARTITION BY sweep_idx, query_id ORDER BY ti
 SELECT CAST(sweep_idx AS INTEGER) AS sweep_idx, tier, count(*) AS "rows", count(DISTINCT query_id) AS queries FROM sm GROUP BY ALL""",
         "param_grid": f"""WITH {_RESULTS}, g AS (SELECT row_number() OVER (ORDER BY a, b, c, k) - 1 AS sweep_idx, a AS mmr_lambda, b AS tau_dup, c AS gamma, k AS top_k FROM (VALUES (0.3::DOUBLE), (0.5), (0.7)) AS x(a), (VALUES (0.2::DOUBLE), (0.5), (0.8)) AS y(b), (VALUES (0.3::DOUBLE), (0.5), (0.7)) AS z(c), (VALUES (5), (10)) AS w(k)),
 n AS (SELECT mmr_lambda, tau_dup, gamma, top_k, count(*) AS runs FROM r GROUP BY ALL) SELECT CAST(sweep_idx AS INTEGER) AS sweep_idx, mmr_lambda, tau_dup, gamma, top_k, coalesce(runs, 0) AS runs FROM g LEFT JOIN n USING (mmr_lambda, tau_dup, gamma, top_k)""",
+        "chunk_sliding": jobs.sliding(_strip, _heading),
+        "chunk_documents": jobs.clauses_cut(_strip, _heading, marked),
+        "requery_candidates": f"WITH {_CHUNKS},{_POSTS}" + jobs.REQUERY,
+        "aspect_rounds": jobs.aspect_rounds(_strip, _category, _WS, _RESULTS),
+        "judge_prompts": jobs.judge_prompts(_DETAILS),
+        "retrieval_averages": jobs.averages(_WS, _RESULTS),
+        "rotated_topk": _top("list_distance(a.v, b.v)"),
+        "df_stats_anew": f"WITH {_CHUNKS} SELECT word, count(*) AS df, (SELECT count(*) FROM c) AS total_docs FROM (SELECT unnest(list_distinct({_words('text')})) AS word FROM c) GROUP BY word",
+        "corpus_counts": jobs.corpus_counts(_strip, _clean, _category, _CHUNKS),
+        "point_report": f"WITH {_DETAILS}, r AS (SELECT sweep_idx, count(*) AS queries, {avgs.replace(', 10) AS', ', 6) AS')} FROM d WHERE sweep_idx >= 0 AND sweep_idx < 100 GROUP BY sweep_idx) SELECT CAST(i AS INTEGER) AS sweep_idx, coalesce(queries, 0) AS queries, r.* EXCLUDE (sweep_idx, queries) FROM range(0, 100) AS g(i) LEFT JOIN r ON r.sweep_idx = i",
         "json_coalesce": "SELECT event_id, coalesce(CAST(props::JSON->>'key' AS BIGINT), CAST(props::JSON->>'id' AS BIGINT), CAST(props::JSON->>'k' AS BIGINT)) AS k FROM events",
         "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
         "event_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),

@@ -15,6 +15,7 @@ from lexforge.operators import sweep as S
 from lexforge.operators import text_tables as X
 from lexforge.operators import vector_index as I
 from lexforge.plans import adapters, pipeline
+from lexforge.plans import evaluation as E
 from lexforge.streaming import windows as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,7 +402,7 @@ def hybrid_quota_merge_whole(spark, folder):
 
 @_query
 def result_breadth_whole(spark, folder):
-    near = _whole_local_near(spark, folder, TOP_K)
+    near = pipeline.cut(_whole_local_near(spark, folder, TOP_K))
     top = R.hybrid_merge(near, TOP_K, 0.7).join(near.select("query_id", "chunk_id", "centroid_id", "doc_id", "dist_q"), ["query_id", "chunk_id"])
     return M.breadth(top, NPROBE)
 
@@ -411,10 +412,15 @@ def first_quartile_whole(spark, folder):
     return M.quartile_distance(_whole_near(spark, folder)).select("query_id", F.round("p25", 6).alias("p25"))
 
 
+def _with_vectors(spark, folder, near) -> DataFrame:
+    """The rows of a result with their vectors: the short codes are joined, and only those of the result decoded."""
+    top = near.select("query_id", "rank", "chunk_id").join(_codes(spark, folder, "chunk_id"), "chunk_id").select(F.struct("query_id", "rank").alias("place"), "pq_code")
+    return I.decode(top, "place", "pq_code", _t(spark, folder, "codebook")).select("place.query_id", "place.rank", "embedding")
+
+
 @_query
 def list_distances_whole(spark, folder):
-    vecs = I.decode(_codes(spark, folder, "chunk_id"), "chunk_id", "pq_code", _t(spark, folder, "codebook"))
-    out = M.list_distances(_whole_near(spark, folder).join(vecs, "chunk_id"))
+    out = M.list_distances(_with_vectors(spark, folder, _whole_near(spark, folder)))
     return out.select("query_id", F.round("ild", 6).alias("ild"), F.round("redundancy", 6).alias("redundancy"))
 
 
@@ -433,7 +439,7 @@ def hybrid_quota_merge(spark, folder):
 
 @_query
 def result_breadth(spark, folder):
-    near = _local_near(spark, folder)
+    near = pipeline.cut(_local_near(spark, folder))
     top = R.hybrid_merge(near, TOP_K, 0.7).join(near.select("query_id", "chunk_id", "centroid_id", "doc_id", "dist_q"), ["query_id", "chunk_id"])
     return M.breadth(top, NPROBE)
 
@@ -447,8 +453,7 @@ def first_quartile(spark, folder):
 @_query
 def list_distances(spark, folder):
     near = R.nearest(_near(spark, folder), TOP_K)
-    vecs = I.decode(_codes(spark, folder, "chunk_id"), "chunk_id", "pq_code", _t(spark, folder, "codebook"))
-    out = M.list_distances(near.join(vecs, "chunk_id"))
+    out = M.list_distances(_with_vectors(spark, folder, near))
     return out.select("query_id", F.round("ild", 6).alias("ild"), F.round("redundancy", 6).alias("redundancy"))
 
 
@@ -469,17 +474,20 @@ def param_grid(spark, folder):
 
 
 def _rounds(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Two rounds per query: its own vector, then the vector between it and its contract's mean. Each round probes for itself, whole lists."""
+    """Two rounds per query: its own vector, then the vector between it and its contract's mean. Each round probes for itself, whole lists;
+    `cut` marks what lists cut to TOP_R have too."""
     q = _probes(spark, folder)
     book = _t(spark, folder, "codebook")
     inside = _inside(spark, folder)[2].select("query_id", F.concat_ws("|", F.col("query_id").cast("string"), "chunk_id").alias("key"), "pq_code")
     vec = I.decode(inside, "key", "pq_code", book).select(F.split("key", r"\|")[0].cast("bigint").alias("query_id"), F.posexplode("embedding").alias("dim", "x"))
     mean = vec.groupBy("query_id", "dim").agg(F.avg("x").alias("x")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
     second = q.join(mean, "query_id").select("query_id", F.zip_with("embedding", "mean", lambda a, b: (a + b) / 2).alias("embedding"))
-    rounds = [(1, q), (2, second)]
+    rounds = [(1, q), (2, pipeline.cut(second))]
     queries = [v.select("query_id", F.lit(n).alias("round"), "embedding") for n, v in rounds]
+    first = I.posting_lists(_t(spark, folder, "postings"), TOP_R).select("centroid_id", "chunk_id", F.lit(True).alias("cut"))
     found = [_local(spark, folder, v, None).withColumn("round", F.lit(n)) for n, v in rounds]
-    return found[0].unionByName(found[1]), queries[0].unionByName(queries[1])
+    both = found[0].unionByName(found[1]).join(first, ["centroid_id", "chunk_id"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    return pipeline.cut(both), queries[0].unionByName(queries[1])
 
 
 def _reranked(spark, folder, mode) -> DataFrame:
@@ -498,6 +506,158 @@ def b2_multi_round(spark, folder):
     return _reranked(spark, folder, "b2")
 
 
+# --- Evaluation -------------------------------------------------------------------------------------------------
+
+
+@_query
+def requery_candidates(spark, folder):
+    """What each round of each query offers: every round probes with its own vector and loads its own whole lists."""
+    found, _ = _rounds(spark, folder)
+    return found.groupBy("query_id", "round").agg(F.count("*").alias("candidates"), F.count_if("is_local").alias("local"), F.count_distinct(F.when(~F.col("is_local"), F.col("centroid_id"))).alias("lists"))
+
+
+def _judged(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Candidates and queries of two rounds; the queries' truth (the text of their own chunk) and target; the chunks with their texts."""
+    found, queries = _rounds(spark, folder)
+    chunks = _chunks(spark, folder)
+    own = I.posting_lists(_t(spark, folder, "postings")).where("vector_id % 20 = 0").select(F.col("vector_id").alias("query_id"), "chunk_id")
+    truth = own.join(chunks, "chunk_id").groupBy("query_id").agg(F.min(F.struct("doc_id", "chunk_id", "text")).alias("c"))
+    truth = truth.select("query_id", F.col("c.doc_id").alias("target"), F.col("c.text").alias("truth"), F.col("c.chunk_id").alias("query"))
+    return found, queries, truth, chunks
+
+
+def _mode_results(spark, folder):
+    found, queries, truth, chunks = _judged(spark, folder)
+    results = pipeline.cut(E.mode_results(found, queries, _t(spark, folder, "codebook"), TOP_K, 0.7, NPROBE))
+    return results, truth, chunks
+
+
+@_query
+def evaluate_modes(spark, folder):
+    """b1, b2 and mmr over the same queries: one summary for each query and mode."""
+    results, truth, chunks = _mode_results(spark, folder)
+    contexts = E.stitched_contexts(results, chunks)
+    return E.result_summary(results, truth, contexts, _codes(spark, folder, "chunk_id"), _t(spark, folder, "codebook"), NPROBE)
+
+
+@_query
+def mode_averages(spark, folder):
+    return E.mode_averages(evaluate_modes(spark, folder))
+
+
+@_query
+def retrieval_export(spark, folder):
+    """The contexts that each mode gives a generator, in their order."""
+    results, truth, chunks = _mode_results(spark, folder)
+    out = E.retrieval_export(results, truth, E.stitched_contexts(results, chunks), chunks)
+    return out.select("query_id", F.md5("ground_truth").alias("truth_md5"), *(F.md5(F.array_join(f"{m}_contexts", "\x01")).alias(f"{m}_md5") for m in ("b1", "b2", "mmr")))
+
+
+@_query
+def compare_modes(spark, folder):
+    """The nearest chunks beside the re-ranked ones of the first round alone."""
+    found, queries, truth, _ = _judged(spark, folder)
+    results = E.mode_results(found.where("round = 1"), queries.where("round = 1"), _t(spark, folder, "codebook"), TOP_K, 0.7, NPROBE)
+    return E.side_by_side(pipeline.cut(results))
+
+
+@_query
+def sweep_fold(spark, folder):
+    """b1, b2 and mmr at all 81 points of the grid, over candidates that are found once; lists are cut as the reference cuts them."""
+    found, queries, truth, chunks = _judged(spark, folder)
+    found = pipeline.cut(found.where("is_local or cut"))
+    contexts = pipeline.cut(E.stitched_contexts(found, chunks))
+    return E.sweep(found, queries, truth, _t(spark, folder, "codebook"), contexts, S.grid(spark), NPROBE)
+
+
+@_query
+def aspect_rounds(spark, folder):
+    """The texts with which a query is searched for, round after round: its own and its aspects."""
+    rows = _results(spark, folder).where("query is not null").select("retrieval_id", F.posexplode(F.concat(F.array("query"), T.aspects(F.col("query")))).alias("at", "text"))
+    return rows.select("retrieval_id", (F.col("at") + 1).alias("round"), F.md5("text").alias("text_md5"))
+
+
+@_query
+def judge_prompts(spark, folder):
+    answers = [F.col(f"generation.answer_{m}") for m in ("b1", "b2", "mmr")]
+    return _details(spark, folder).select("detail_id", F.md5(T.judge_prompt(F.col("query"), *answers)).alias("prompt_md5"))
+
+
+@_query
+def semantic_scores(spark, folder):
+    """Cosine of each answer with the nearest part of the truth, by hashed words."""
+    answers = {m: f"generation.answer_{m}" for m in ("b1", "b2", "mmr")}
+    out = E.semantic_scores(_details(spark, folder), "detail_id", "ground_truth", answers, adapters.HashEmbedder(64))
+    return out.select("detail_id", *(F.round(m, 6).alias(m) for m in answers))
+
+
+@_query
+def point_report(spark, folder):
+    """The means of every grid point's generations, and the grid points of 0 to 99 that have none."""
+    rows, missing = E.requested_points(_details(spark, folder).select("sweep_idx", "metrics.*"), list(range(100)))
+    values = [c for c in rows.columns if c != "sweep_idx"]
+    report = E.point_report(rows, values)
+    none = spark.createDataFrame([(i, 0) for i in missing], "sweep_idx int, queries bigint")
+    return report.unionByName(none, allowMissingColumns=True)
+
+
+@_query
+def retrieval_averages(spark, folder):
+    """Recall and reciprocal rank at 5 over each list of contexts, averaged over the retrievals."""
+    rows = _results(spark, folder)
+    out = None
+    for m in ("b1", "b2", "mmr"):
+        contexts = F.transform(F.coalesce(f"{m}_contexts", F.array().cast("array<string>")), T.untag_context)
+        one = M.recall_mrr(rows, "retrieval_id", contexts, F.col("ground_truth"), 5).agg(F.count("*").alias("queries"), F.round(F.coalesce(F.avg("recall"), F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(F.avg("mrr"), F.lit(0.0)), 6).alias("mrr"))
+        out = one.withColumn("mode", F.lit(m)) if out is None else out.unionByName(one.withColumn("mode", F.lit(m)))
+    return out
+
+
+@_query
+def corpus_counts(spark, folder):
+    """Contracts, copies, skipped ones, chunks, short chunks, categories."""
+    docs = _t(spark, folder, "cuad_corpus").dropDuplicates(["doc_id"])
+    blank = T.strip(F.coalesce("text", F.lit(""))) == ""
+    a = docs.agg(F.count("*").alias("documents"), F.count_if(blank).alias("skipped"), F.count_distinct(F.when(~blank, T.clean_text(F.col("text")))).alias("distinct_texts"))
+    b = X.chunk_report(_chunks(spark, folder))
+    c = _t(spark, folder, "cuad_category_map").agg(F.count_distinct(T.category(F.col("description"))).alias("categories"))
+    one = lambda d: d.withColumn("_", F.lit(1))
+    return one(a).join(one(b), "_").join(one(c), "_").drop("_")
+
+
+@_query
+def df_stats_anew(spark, folder):
+    """Document frequencies of the chunks' words with the number of chunks, as they are stored with an index."""
+    chunks = _chunks(spark, folder)
+    return X.document_frequency(chunks, "text").withColumn("total_docs", F.lit(chunks.count()))
+
+
+@_query
+def rotated_topk(spark, folder):
+    """Nearest vectors after a rotation of all: the same as without."""
+    e = _t(spark, folder, "embeddings")
+    width = I.same_width(e, "embedding")
+    turned = I.rotate(e, "vec_id", "embedding", I.random_rotation(width))
+    return I.exact_search(_queries(turned), turned, "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 6))
+
+
+@_query
+def index_search(spark, folder):
+    """An index built over the corpus with its production sizes, rotated, and searched for every twentieth chunk: how many of the ten nearest by exact search it finds."""
+    corpus = _t(spark, folder, "cuad_corpus").select("doc_id", "text").distinct()
+    embedder = adapters.HashEmbedder(64)
+    index = pipeline.build_index(corpus, "doc_id", "text", embedder, rotated=True)
+    meta = pipeline.cut(index["metadata"].select("chunk_id", "vector_id", "text"))
+    vectors = pipeline.cut(embedder.embed(meta, "text", "embedding").select("vector_id", "embedding"))
+    asked = meta.where("vector_id % 20 = 0")
+    exact = I.exact_search(vectors.where("vector_id % 20 = 0"), vectors, "vector_id", "embedding", 10).select("query_id", "vector_id")
+    q = I.rotate(vectors.join(asked.select("vector_id"), "vector_id").withColumnRenamed("vector_id", "query_id"), "query_id", "embedding", I.matrix(index["rotation"], "dim", "vec")[1])
+    near = R.nearest_probed(q, index["postings"], index["centroids"], index["codebook"], 100, 32).join(meta.select("chunk_id", "vector_id"), "chunk_id")
+    hits = exact.join(near.select("query_id", "vector_id"), ["query_id", "vector_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("found"))
+    every = exact.groupBy("query_id").agg(F.count("*").alias("nearest")).join(hits, "query_id", "left")
+    return every.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce("found", F.lit(0)) / F.col("nearest")), 4).alias("recall"))
+
+
 # --- Events -----------------------------------------------------------------------------------------------------
 
 
