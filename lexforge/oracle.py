@@ -154,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
     keyword = _strip("regexp_extract(description, '\"([^\"]*)\"', 1)")
     det = rf"CASE WHEN regexp_matches(description, '(?is)Details:') THEN {_strip(r'''regexp_extract(description, '(?is)Details:[\s\x0b]*(.*)$', 1)''')} ELSE {_strip('description')} END"
     avgs = ", ".join(f"round(avg((metrics).{m}) FILTER (WHERE CAST((metrics).{m} AS VARCHAR) NOT ILIKE '%nan%'), 10) AS avg_{m}" for m in _METRICS)
-    return {
+    found = {
         "clean_text": f"SELECT doc_id, md5({_clean('''coalesce(text, '')''')}) AS text_md5 FROM documents",
         "minimal_clean": f"SELECT doc_id, md5({_minimal('text')}) AS text_md5 FROM documents",
         "exact_dedup": f"SELECT min(doc_id) AS doc_id, md5(t) AS text_md5, count(*) AS copies FROM (SELECT doc_id, {_clean('text')} AS t FROM documents) WHERE t <> '' GROUP BY t",
@@ -219,6 +219,8 @@ SELECT CAST(sweep_idx AS INTEGER) AS sweep_idx, tier, count(*) AS "rows", count(
 n AS (SELECT mmr_lambda, tau_dup, gamma, top_k, count(*) AS runs FROM r GROUP BY ALL) SELECT CAST(sweep_idx AS INTEGER) AS sweep_idx, mmr_lambda, tau_dup, gamma, top_k, coalesce(runs, 0) AS runs FROM g LEFT JOIN n USING (mmr_lambda, tau_dup, gamma, top_k)""",
         "chunk_sliding": jobs.sliding(_strip, _heading),
         "chunk_documents": jobs.clauses_cut(_strip, _heading, marked),
+        "window_stitch": jobs.stitched(_strip, _CHUNKS),
+        "answer_and_judge": jobs.answers(_words, _ALL_PIECES, _RESULTS),
         "requery_candidates": f"WITH {_CHUNKS},{_POSTS}" + jobs.REQUERY,
         "aspect_rounds": jobs.aspect_rounds(_strip, _category, _WS, _RESULTS),
         "judge_prompts": jobs.judge_prompts(_DETAILS),
@@ -232,3 +234,7 @@ n AS (SELECT mmr_lambda, tau_dup, gamma, top_k, count(*) AS runs FROM r GROUP BY
         "event_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM b GROUP BY user_id, s""",
     }
+    # The same over whole lists.
+    for name in ("ivf_candidates", "ivf_l2_topk", "first_quartile", "list_distances", "hybrid_quota_merge", "result_breadth", "sweep_hybrid"):
+        found[f"{name}_whole"] = found[name].replace(" WHERE l.place <= 128", "")
+    return found

@@ -84,3 +84,34 @@ def corpus_counts(strip, clean, category, chunks: str) -> str:
     return f"""WITH {chunks}, d AS (SELECT DISTINCT ON (doc_id) * FROM cuad_corpus), t AS (SELECT {blank} AS t, {clean('text')} AS cleaned FROM d), n AS (SELECT length({strip('text')}) AS n FROM c)
 SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM t WHERE t = '') AS skipped, (SELECT count(DISTINCT cleaned) FROM t WHERE t <> '') AS distinct_texts, (SELECT count(*) FROM n) AS chunks,
 (SELECT count(*) FROM n WHERE n < 50) AS short_chunks, (SELECT CAST(min(n) AS INTEGER) FROM n) AS least, (SELECT CAST(max(n) AS INTEGER) FROM n) AS greatest, (SELECT count(DISTINCT {category('description')}) FROM cuad_category_map) AS categories"""
+
+
+def stitched(strip, chunks: str) -> str:
+    """Each chunk between its neighbours, as far as these are there, the longest common end and start once."""
+    size = lambda a, b: f"coalesce(list_max(list_filter(range(1, least(length({a}), length({b}), 2000) + 1), lambda n: right({a}, n) = left({b}, n))), 0)"
+    join = lambda a, b: f"CASE WHEN {strip(a)} = '' THEN {b} WHEN {strip(b)} = '' THEN {a} WHEN n > 0 THEN {a} || substr({b}, n + 1) ELSE {a} || ' ' || {b} END"
+    return f"""WITH {chunks}, t AS (SELECT a.chunk_id, coalesce(p.text, '') AS p, a.text AS t, coalesce(x.text, '') AS x FROM c a
+  LEFT JOIN c p ON p.doc_id = a.doc_id AND p.chunk_idx = a.chunk_idx - 1 LEFT JOIN c x ON x.doc_id = a.doc_id AND x.chunk_idx = a.chunk_idx + 1),
+u AS (SELECT chunk_id, x, {join('p', 't')} AS pt FROM (SELECT *, {size('p', 't')} AS n FROM t))
+SELECT chunk_id, {join('pt', 'x')} AS stitched FROM (SELECT *, {size('pt', 'x')} AS n FROM u)"""
+
+
+def answers(words, pieces: str, results: str) -> str:
+    """The sentence of each list of contexts that has most of the question's words, its scores, and the best one."""
+    sentence = r"regexp_replace(regexp_replace(x, '^--- \[Source: .*\] ---\n', ''), '([.!?])[\s\x0b]+', '\1' || chr(1), 'g')"
+    both = lambda s: f"len(list_intersect(asked, list_distinct({words(s)})))"
+    names = ("b1", "b2", "mmr")
+    answer = ", ".join(
+        f"coalesce((SELECT s FROM (SELECT s, {both('s')} AS n FROM (SELECT unnest(flatten(list_transform(coalesce({m}_contexts, []), lambda x: string_split({sentence}, chr(1))))) AS s)) ORDER BY n DESC, s DESC LIMIT 1), '') AS answer_{m}"
+        for m in names
+    )
+    cover = ", ".join(
+        f"(SELECT max(CASE WHEN len(ws) = 0 THEN 0.0 ELSE len(list_filter(ws, lambda w: list_contains(have, w))) / len(ws) END) FROM (SELECT {words('p')} AS ws, {words(f'answer_{m}')} AS have FROM (SELECT unnest({pieces}) AS p))) AS {m}_coverage"
+        for m in names
+    )
+    ratio = ", ".join(f"CASE WHEN len({words(f'answer_{m}')}) = 0 THEN 0.0 ELSE len(list_distinct({words(f'answer_{m}')})) / len({words(f'answer_{m}')}) END AS {m}_unique_ratio" for m in names)
+    best = "greatest(b1_coverage, b2_coverage, mmr_coverage)"
+    hits = " + ".join(f"CAST({m}_coverage = {best} AS INTEGER)" for m in names)
+    winner = f"CASE WHEN {hits} > 1 THEN 'TIE' WHEN b1_coverage = {best} THEN 'A' WHEN b2_coverage = {best} THEN 'B' ELSE 'C' END"
+    return f"""WITH {results}, q AS (SELECT *, list_distinct({words('r."query"')}) AS asked FROM r), a AS (SELECT retrieval_id, ground_truth, {answer} FROM q),
+s AS (SELECT retrieval_id, answer_b1, answer_b2, answer_mmr, {cover}, {ratio} FROM a) SELECT *, {winner} AS winner FROM s"""

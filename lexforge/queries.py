@@ -324,6 +324,12 @@ def ivf_candidates(spark, folder):
     return _candidates(spark, folder)[1].groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_distinct("centroid_id").alias("lists"))
 
 
+@_query
+def ivf_candidates_whole(spark, folder):
+    found = R.candidates(_probes(spark, folder), _t(spark, folder, "postings"), _t(spark, folder, "centroids"), NPROBE).where("vector_id <> query_id")
+    return found.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_distinct("centroid_id").alias("lists"))
+
+
 def _near(spark, folder) -> DataFrame:
     q, found = _candidates(spark, folder)
     return R.with_distance(found, q, _t(spark, folder, "codebook"))
