@@ -401,8 +401,10 @@ def rerank_all(found: DataFrame, queries: DataFrame, codebook: DataFrame, folds:
         return pa.table({n: pa.array(v, types[n]) for n, v in out.items()})
 
     types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
-    candidates = found.select(*_CANDIDATE).groupBy("query_id")
-    return candidates.cogroup(queries.select("query_id", "round", "embedding").groupBy("query_id")).applyInArrow(run, schema)
+    # Few bytes are much work here, so that the number of tasks is stated and not left to their size.
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates, asked = found.select(*_CANDIDATE).repartition(tasks, "query_id"), queries.select("query_id", "round", "embedding").repartition(tasks, "query_id")
+    return candidates.groupBy("query_id").cogroup(asked.groupBy("query_id")).applyInArrow(run, schema)
 
 
 def rerank(found: DataFrame, queries: DataFrame, codebook: DataFrame, k: int = 10, lam: float = 0.5, tau: float = 0.5, share: float = 0.7, nprobe: int = 8, mode: str = "proposed", anchor_lam: float = 1.0, anchor_tau: float = 0.0) -> DataFrame:

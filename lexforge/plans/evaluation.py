@@ -10,6 +10,7 @@ from lexforge.functions import vectors as V
 from lexforge.operators import retrieval as R
 from lexforge.operators import text_tables as X
 from lexforge.plans.adapters import Embedder
+from lexforge.sources.readers import cut
 
 #: The columns of a sweep's table, in their order (fixed values).
 SWEEP_COLUMNS = [
@@ -163,15 +164,18 @@ def sweep(found: DataFrame, queries: DataFrame, truths: DataFrame, codebook: Dat
         book = shared.value
         return pd.DataFrame([R.list_spread(np.stack([np.concatenate([book[m][v] for m, v in enumerate(x)]) for x in c])) for c in codes], columns=["ild", "redundancy"])
 
+    folded = cut(R.rerank_all(found, queries, codebook, folds))
+    b1 = cut(b1)
     hits = truths.select("query_id", "truth")
+    # Whether a chunk covers a query's truth doesn't depend on the point at which it is found.
+    pairs = b1.select("query_id", "chunk_id").unionByName(folded.select("query_id", "chunk_id")).distinct()
+    covers = cut(pairs.join(contexts, "chunk_id").join(hits, "query_id").select("query_id", "chunk_id", T.covered(F.col("truth"), F.col("raw")).alias("hit")))
 
     def measured(rows: DataFrame, by: str, spread_of: list[Column]) -> DataFrame:
-        hit = rows.join(contexts, "chunk_id", "left").join(hits, "query_id")
-        lists = hit.groupBy(by, "query_id").agg(F.max(T.covered(F.col("truth"), F.col("raw"))).alias("recall"), F.count_distinct("centroid_id").alias("breadth"), *spread_of)
-        return lists
+        hit = rows.join(covers, ["query_id", "chunk_id"], "left")
+        return hit.groupBy(by, "query_id").agg(F.coalesce(F.max("hit"), F.lit(0)).alias("recall"), F.count_distinct("centroid_id").alias("breadth"), *spread_of)
 
     b1_lists = measured(b1, "quota", [F.collect_list("pq_code").alias("codes")]).withColumn("s", spread("codes")).select("quota", "query_id", "recall", "breadth", F.col("s.ild").alias("ild"), F.col("s.redundancy").alias("redundancy"))
-    folded = R.rerank_all(found, queries, codebook, folds)
     lists = measured(folded, "fold", [F.max("ild").alias("ild"), F.max("redundancy").alias("redundancy")])
     total = hits.select("query_id").distinct().count()  # a query without results counts with zeros
     mean = lambda v: F.round(F.sum(F.coalesce(v, F.lit(0))) / F.lit(max(1, total)), 6)
