@@ -1,13 +1,17 @@
 """Problem 7: documents that hold passages of evaluation texts.
 
-For equal passages, every window of a document as long as the shortest passage
-that counts gets a SimHash over its word shingles, weighted by how rare they are among the items.
-The items' windows have theirs too. To find all fingerprints within a radius of
-r bits, a fingerprint is cut into r + 1 blocks, one of which must be equal; the
-windows this leaves are compared. For similar passages, two windows are
-compared shingle by shingle, with weights, if they share one of those rare
-shingles without which they can't be similar enough. Items come
-in blocks of bounded size, each sent to all tasks, and documents never move.
+Passages are compared by windows as long as the shortest one that counts, given
+by their word shingles, which weigh more the fewer items have them. Documents
+are read once, however many items there are: a filter of fixed size with all
+shingles of the items leaves those windows that can be similar enough to any.
+What is left is made distinct and meets the items' windows by joins.
+
+For equal passages, every window gets a SimHash over its weighted shingles. To
+find all fingerprints within a radius of r bits, a fingerprint is cut into
+r + 1 blocks, one of which must be equal; the windows this leaves are compared.
+For similar passages, two windows are compared if they share one of those rare
+shingles without which they can't be similar enough. The exact weighted
+similarity of shingles decides.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import ALNUM_GAP, INVISIBLE, mix64, word_hashes
+from lexforge.llm.common import ALNUM_GAP, INVISIBLE, cut, mix64, word_hashes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,119 +44,122 @@ def _runs(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _fingerprints(shingles: np.ndarray, weights: np.ndarray, per_window: int) -> np.ndarray:
-    """SimHash of each run of per_window shingles; in integers, so that equal windows have equal fingerprints wherever they are."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
-    signed = (bits.astype(np.int32) * 2 - 1) * weights[:, None]
-    total = np.zeros((len(shingles) + 1, 64), np.int32)
-    np.cumsum(signed, axis=0, out=total[1:], dtype=np.int32)
-    return np.packbits(total[per_window:] - total[:-per_window] > 0, axis=1).view(np.uint64).reshape(-1)
-
-
-class _Items:
-    """The windows of a block of items, indexed by the blocks of their fingerprints."""
-
-    def __init__(self, ids: list, texts: pa.Array, window: int, shingle: int, radius: int):
-        self.window, self.shingle, self.per = window, shingle, window - shingle + 1
-        words, lengths = _words(texts)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        shingles = _runs(words, shingle)
-        inside = owner[: len(shingles)] == owner[shingle - 1 :][: len(shingles)]
-        # Rarity among the items: a shingle of few items weighs more; one of no item weighs most.
-        own = np.unique(np.stack([shingles[inside], owner[: len(shingles)][inside].astype(np.uint64)], 1), axis=0)[:, 0]
-        self.known, count = np.unique(own, return_counts=True)
-        total = max(1, len(lengths))
-        self.known_weight = np.rint(8 * np.log1p(total / count)).astype(np.int32)
-        self.other_weight = np.int32(round(8 * np.log1p(total)))
-        whole = max(0, len(words) - window + 1)
-        keep = np.flatnonzero(owner[:whole] == owner[window - 1 :][:whole])
-        self.ids = np.array(ids, dtype=object)
-        self.item, self.shingles, self.sequence = owner[keep], shingles, _runs(words, window)[keep]
-        self.at = keep
-        self.prints = _fingerprints(shingles, self.weight(shingles), self.per)[keep] if len(keep) else np.empty(0, np.uint64)
-        self.radius = radius
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:])]
-
-    def weight(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(shingles), self.other_weight)
-        place = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[place] == shingles, self.known_weight[place], self.other_weight)
-
-    def index(self) -> None:
-        """Per block: which values occur (a bit table by the value's low bits), and the windows in order of the value."""
-        self.tables = []
-        for shift, mask in self.blocks:
-            value = (self.prints >> shift) & mask
-            order = np.argsort(value, kind="stable")
-            table = np.zeros(1 << 22, bool)
-            table[(value & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.tables.append((table, value[order], order))
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (of the prints, of the items' windows) within the radius."""
-        left, right = [], []
-        for (shift, mask), (table, values, order) in zip(self.blocks, self.tables):
-            own = (prints >> shift) & mask
-            at = np.flatnonzero(table[(own & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            s, e = (np.searchsorted(values, own[at], side) for side in ("left", "right"))
-            size = e - s
-            a = np.repeat(at, size)
-            b = order[np.repeat(s - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())] if size.sum() else np.empty(0, np.int64)
-            ok = np.bitwise_count(prints[a] ^ self.prints[b]) <= self.radius
-            left.append(a[ok])
-            right.append(b[ok])
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-    def _prefix(self, windows: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
-        """Which shingles of each window, rarest first, are needed: the others together weigh too little for the similarity."""
-        order = np.lexsort((windows, -weights), axis=1)
-        rest = np.cumsum(np.take_along_axis(weights, order, 1)[:, ::-1], 1)[:, ::-1]
-        out = np.zeros(windows.shape, bool)
-        np.put_along_axis(out, order, rest >= similarity * weights.sum(1, keepdims=True) - 1e-6, 1)
+def fingerprints(windows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """SimHash of each window, given by its shingles and their weights; in integers, so that equal windows have equal fingerprints wherever they are."""
+    bits = np.unpackbits(windows.reshape(-1).view(np.uint8).reshape(-1, 8), axis=1).reshape(*windows.shape, 64)
+    signed = (bits.astype(np.int32) * 2 - 1) * weights[:, :, None].astype(np.int32)
+    return np.packbits(signed.sum(1) > 0, axis=1).view(np.uint64).reshape(-1)
+
+
+def hamming_blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
+    """The radius + 1 blocks of each fingerprint: two fingerprints within the radius have one of them in common."""
+    edges = np.linspace(0, 64, radius + 2).astype(int)
+    return [(prints >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def needed_shingles(windows: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
+    """Which shingles of each window, rarest first, are needed: the others together weigh too little for the similarity."""
+    order = np.lexsort((windows, -weights), axis=1)
+    rest = np.cumsum(np.take_along_axis(weights, order, 1)[:, ::-1], 1)[:, ::-1]
+    out = np.zeros(windows.shape, bool)
+    np.put_along_axis(out, order, rest >= similarity * weights.sum(1, keepdims=True) - 1e-6, 1)
+    return out
+
+
+def window_similarity(mine: np.ndarray, weights: np.ndarray, theirs: np.ndarray, their_weights: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of windows, given by their shingles and weights."""
+    equal = mine[:, :, None] == theirs[:, None, :]
+    # The k-th occurrence of a shingle is matched with the k-th: count those before it in its own window.
+    nth = [np.tril(x[:, :, None] == x[:, None, :], -1).sum(2) for x in (mine, theirs)]
+    both = (equal & (nth[0][:, :, None] == nth[1][:, None, :])).any(2)
+    shared = (both * weights).sum(1)
+    return shared / np.maximum(1, weights.sum(1) + their_weights.sum(1) - shared)
+
+
+class Filter:
+    """Which shingles the items have: two bits for each in an array of fixed size, so that a few others pass too and none is missed."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+
+    def has(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.ones(len(shingles), bool)
+        for shift in (np.uint64(0), np.uint64(32)):
+            at = (shingles >> shift) & self.mask
+            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
         return out
 
-    def index_shingles(self, similarity: float) -> None:
-        """The windows by the shingles of their prefixes."""
-        own = self.shingles[self.at[:, None] + np.arange(self.per)]
-        row, place = np.nonzero(self._prefix(own, self.weight(own.reshape(-1)).reshape(own.shape), similarity))
-        order = np.argsort(own[row, place], kind="stable")
-        self.prefix_shingles, self.prefix_windows = own[row, place][order], row[order]
-
-    def alike(self, windows: np.ndarray, weights: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (of the windows, given by their shingles and weights, and the items' windows) that can have the similarity:
-        two windows that do share a shingle of both prefixes."""
-        place = np.minimum(np.searchsorted(self.known, windows), max(0, len(self.known) - 1))
-        known = self.known[place] == windows
-        some = np.flatnonzero((known * weights).sum(1) >= similarity * weights.sum(1) - 1e-6)
-        row, column = np.nonzero(self._prefix(windows[some], weights[some], similarity) & known[some])
-        mine = windows[some][row, column]
-        s, e = (np.searchsorted(self.prefix_shingles, mine, side) for side in ("left", "right"))
-        size = e - s
-        if not size.sum():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a = np.repeat(some[row], size)
-        b = self.prefix_windows[np.repeat(s - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
-        pairs = np.unique(a * np.int64(len(self.at)) + b)
-        return pairs // len(self.at), pairs % len(self.at)
-
-    def similarity(self, mine: np.ndarray, weights: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """Weighted Jaccard similarity of windows, given by their shingles and weights, with the items' windows."""
-        theirs = self.shingles[self.at[other][:, None] + np.arange(self.per)]
-        their_weights = self.weight(theirs.reshape(-1)).reshape(theirs.shape)
-        equal = mine[:, :, None] == theirs[:, None, :]
-        # The k-th occurrence of a shingle is matched with the k-th: count those before it in its own window.
-        nth = [np.tril(x[:, :, None] == x[:, None, :], -1).sum(2) for x in (mine, theirs)]
-        both = (equal & (nth[0][:, :, None] == nth[1][:, None, :])).any(2)
-        shared = (both * weights).sum(1)
-        return shared / np.maximum(1, weights.sum(1) + their_weights.sum(1) - shared)
+    @staticmethod
+    def of(shingles: DataFrame, count: int, most_bits: int = 1 << 30) -> np.ndarray:
+        """The array for a table of distinct shingles: 16 bits for each, no more than most_bits in all (128 MB); it is filled by Spark, eight bytes to a row."""
+        size = 1 << int(np.clip(np.ceil(np.log2(max(1, 16 * count))), 12, np.log2(most_bits)))
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = b.column(0).to_numpy().view(np.uint64)
+                at = np.concatenate([own & np.uint64(size - 1), (own >> np.uint64(32)) & np.uint64(size - 1)])
+                yield pa.RecordBatch.from_pydict({"place": (at >> np.uint64(6)).astype(np.int32), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
+
+        rows = shingles.mapInArrow(places, "place int, bit bigint").groupBy("place").agg(F.bit_or("bit").alias("bit")).toArrow()
+        words = np.zeros(size // 64, np.int64)
+        words[rows["place"].to_numpy()] = rows["bit"].to_numpy()
+        return words.view(np.uint8)
+
+
+_WINDOW = "at int, sequence bigint, shingles array<bigint>"
+
+
+def _lists(windows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, windows.size + 1, windows.shape[1], dtype=np.int32)), pa.array(windows.reshape(-1).view(np.int64)))
+
+
+def _windows(rows: DataFrame, name: str, window: int, shingle: int, known=None, needed: int = 0) -> DataFrame:
+    """(name, at, sequence, shingles): the windows of every text, those of which at least `needed` shingles are in the filter."""
+    per = window - shingle + 1
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = Filter(known.value) if known is not None else None
+        for batch in batches:
+            words, lengths = _words(batch.column(1))
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+            for s in range(0, max(0, len(words) - window + 1), 1 << 18):
+                part = words[s : s + (1 << 18) + window - 1]
+                shingles = _runs(part, shingle)
+                at = np.arange(len(part) - window + 1)
+                ok = owner[s + at] == owner[s + at + window - 1]
+                if keep is not None:
+                    count = np.r_[0, np.cumsum(keep.has(shingles))]
+                    ok &= count[at + per] - count[at] >= needed
+                at = at[ok]
+                if len(at):
+                    own = owner[s + at]
+                    words_of = part[at[:, None] + np.arange(window)]
+                    sequence = words_of[:, 0].copy()
+                    for i in range(1, window):
+                        sequence = mix64(sequence * _STEP + words_of[:, i])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array((s + at - first[own]).astype(np.int32)), pa.array(sequence.view(np.int64)), _lists(shingles[at[:, None] + np.arange(per)])], [name, "at", "sequence", "shingles"])
+
+    return rows.mapInArrow(cut_up, f"{name} {rows.schema[name].dataType.simpleString()}, {_WINDOW}")
+
+
+def _weighed(windows: DataFrame, weights: DataFrame, other: int) -> DataFrame:
+    """(sequence, shingles, weights): distinct windows with the weight of each shingle, which is `other` for those that no item has."""
+    once = windows.groupBy("sequence").agg(F.any_value("shingles").alias("shingles"))
+    each = once.select("sequence", F.posexplode("shingles").alias("i", "shingle")).join(weights, "shingle", "left")
+    lists = each.groupBy("sequence").agg(F.array_sort(F.collect_list(F.struct("i", "shingle", F.coalesce("weight", F.lit(other)).alias("weight")))).alias("l"))
+    return lists.select("sequence", F.transform("l", lambda x: x["shingle"]).alias("shingles"), F.transform("l", lambda x: x["weight"]).alias("weights"))
+
+
+def _arrays(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = [batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (first, first + 1)]
+    n = batch.num_rows
+    return np.ascontiguousarray(flat[0]).view(np.uint64).reshape(n, -1), flat[1].reshape(n, -1).astype(np.int64)
 
 
 def leaked_items(
     documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str,
-    window: int = 13, shingle: int = 3, radius: int = 2, similarity: float = 0.8, exact: bool = False, block_items: int = 2000,
+    window: int = 13, shingle: int = 3, radius: int = 2, similarity: float = 0.8, exact: bool = False, broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """(doc, item, windows, similarity): each document and item with similar windows, how many windows of the document
     and the greatest similarity.
@@ -162,72 +169,64 @@ def leaked_items(
     weighted shingles of two windows; radius: of the fingerprints, for exact. exact: only windows with the same words in the
     same order; without it, all windows with the similarity are found. Texts shorter than a window, null and empty texts have no
     windows; rows without a key take no part; rows that repeat a key are
-    reported once (their windows together); further columns are ignored.
+    reported once (their windows together); further columns are ignored. broadcast_rows: up to as many rows of the items' side
+    of a join are sent to all tasks; more are shuffled.
     """
     docs = documents.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
     tests = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
-    spark = documents.sparkSession
-    kinds = docs.schema["doc"].dataType.simpleString(), tests.schema["item"].dataType.simpleString()
-    schema = f"doc {kinds[0]}, item {kinds[1]}, windows bigint, similarity double"
-    blocks = max(1, -(-tests.count() // block_items))
+    context = documents.sparkSession.sparkContext
     per = window - shingle + 1
-
-    def scan(shared):
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = object.__new__(_Items)
-            vars(index).update(shared.value)
-            index.index() if exact else index.index_shingles(similarity)
-            item_type = pa.array(index.ids.tolist()).type if len(index.ids) else None
-            for batch in batches:
-                if not len(index.prints):
-                    continue
-                words, lengths = _words(batch.column(1))
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                doc, item, like = [], [], []
-                for s in range(0, max(0, len(words) - window + 1), 1 << 15):
-                    part = words[s : s + (1 << 15) + window - 1]
-                    shingles = _runs(part, shingle)
-                    weights = index.weight(shingles)
-                    first = np.arange(s, s + len(shingles) - per + 1)
-                    inside = np.flatnonzero(owner[first] == owner[first + window - 1])
-                    if exact:
-                        a, b = index.near(_fingerprints(shingles, weights, per)[inside])
-                    else:
-                        own = inside[:, None] + np.arange(per)
-                        a, b = index.alike(shingles[own], weights[own], similarity)
-                    a = inside[a]
-                    if exact and len(a):  # what differs in a word can be left out before the shingles are compared
-                        same = _runs(part, window)[a] == index.sequence[b]
-                        a, b = a[same], b[same]
-                    for p in range(0, len(a), 20_000):
-                        i, j = a[p : p + 20_000], b[p : p + 20_000]
-                        own = i[:, None] + np.arange(per)
-                        sim = index.similarity(shingles[own], weights[own], j)
-                        ok = sim >= (1.0 if exact else similarity)
-                        doc.append(owner[s + i[ok]])
-                        item.append(index.item[j[ok]])
-                        like.append(np.stack([s + i[ok], sim[ok]], 1))
-                if not doc:
-                    continue
-                doc, item, like = np.concatenate(doc), np.concatenate(item), np.concatenate(like)
-                order = np.lexsort((like[:, 0], item, doc))
-                doc, item, like = doc[order], item[order], like[order]
-                edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else np.empty(0, np.int64)
-                fresh = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (like[1:, 0] != like[:-1, 0])] if len(doc) else np.empty(0, bool)
-                if len(edge):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(doc[edge])), pa.array(index.ids[item[edge]].tolist(), item_type), pa.array(np.add.reduceat(fresh, edge, dtype=np.int64)), pa.array(np.maximum.reduceat(like[:, 1], edge))],
-                        ["doc", "item", "windows", "similarity"],
-                    )
-
-        return docs.mapInArrow(found, schema)
-
-    parts = []
-    for i in range(blocks):
-        block = (tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i)).toArrow()
-        index = _Items(block["item"].to_pylist(), block["text"].combine_chunks(), window, shingle, radius)
-        parts.append(scan(spark.sparkContext.broadcast(vars(index))))  # plain values, so that executors need no copy of the library
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("doc", "item").agg(F.sum("windows").alias("windows"), F.max("similarity").alias("similarity"))
+    theirs = cut(_windows(tests, "item", window, shingle))
+    # Rarity among all items: a shingle of few of them weighs more; one of no item weighs most.
+    total = max(1, tests.select("item").distinct().count())
+    rarity = theirs.select("item", F.explode("shingles").alias("shingle")).distinct().groupBy("shingle").agg(F.count("*").alias("n"))
+    weights = cut(rarity.select("shingle", F.rint(8 * F.log1p(F.lit(total) / F.col("n"))).cast("int").alias("weight")))
+    known = weights.count()
+    other = int(round(8 * float(np.log1p(total))))
+    shared = context.broadcast(Filter.of(weights.select("shingle"), known))
+    # A shingle that no item has weighs at least as much as any, so that too many of them rule the similarity out.
+    needed = per if exact else int(np.ceil(similarity * per - 1e-9))
+    mine = cut(_windows(docs, "doc", window, shingle, shared, needed))
+    few = (lambda d: F.broadcast(d)) if known <= broadcast_rows else (lambda d: d)
+    ours, own_items = (_weighed(d, few(weights), other) for d in (mine, theirs))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            windows, weight = _arrays(b, 1)
+            if exact:
+                blocks = hamming_blocks(fingerprints(windows, weight), radius)
+                row = np.tile(np.arange(len(windows)), len(blocks))
+                part, key = np.repeat(np.arange(len(blocks)), len(windows)), np.concatenate(blocks)
+            else:
+                row, place = np.nonzero(needed_shingles(windows, weight, similarity))
+                part, key = np.zeros(len(row), np.int64), windows[row, place]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key.view(np.int64)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], ["part", "key", "sequence", "shingles", "weights"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 20_000):
+                part = b.slice(s, 20_000)
+                (x, wx), (y, wy) = _arrays(part, 2), _arrays(part, 4)
+                ok = np.ones(len(x), bool)
+                if exact:
+                    ok &= np.bitwise_count(fingerprints(x, wx) ^ fingerprints(y, wy)) <= radius
+                like = np.zeros(len(x))
+                like[ok] = window_similarity(x[ok], wx[ok], y[ok], wy[ok])
+                ok &= like >= (1.0 if exact else similarity)
+                if exact:
+                    ok &= part.column(0).to_numpy() == part.column(1).to_numpy()
+                at = pa.array(np.flatnonzero(ok))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(like[ok])], ["own", "other", "similarity"])
+
+    keyed = "part int, key bigint, sequence bigint, shingles array<bigint>, weights array<int>"
+    left, right = (d.mapInArrow(keys, keyed) for d in (ours, own_items))
+    right = right.select("part", "key", F.col("sequence").alias("other"), F.col("shingles").alias("other_shingles"), F.col("weights").alias("other_weights"))
+    met = left.withColumnRenamed("sequence", "own").join(few(right), ["part", "key"]).groupBy("own", "other").agg(*(F.any_value(c).alias(c) for c in ("shingles", "weights", "other_shingles", "other_weights")))
+    similar = met.select("own", "other", "shingles", "weights", "other_shingles", "other_weights").mapInArrow(verify, "own bigint, other bigint, similarity double")
+    # From distinct windows back to items and documents: an item once for each window of a document, whatever the number of its own that are alike.
+    by_item = similar.join(theirs.select(F.col("sequence").alias("other"), "item").distinct(), "other").groupBy("own", "item").agg(F.max("similarity").alias("similarity"))
+    found = mine.select("doc", "at", F.col("sequence").alias("own")).join(by_item, "own")
+    return found.groupBy("doc", "item").agg(F.count_distinct("at").alias("windows"), F.max("similarity").alias("similarity"))

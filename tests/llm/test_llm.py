@@ -225,8 +225,8 @@ def test_leaks_against_brute_force(spark):
     clean = lambda x: x.lower().replace("​", "").replace("\xad", "").replace(",", " ").split()
     runs = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
     want = {(a, b) for a, x in docs.items() for b, y in items.items() if runs(clean(x)) & runs(clean(y))}
-    for block in (2000, 6):
-        found = leaks.leaked_items(d, "doc_id", "text", t, "item_id", "text", exact=True, block_items=block)
+    for rows in (500_000, 0):  # with the items' side sent to all tasks, and shuffled
+        found = leaks.leaked_items(d, "doc_id", "text", t, "item_id", "text", exact=True, broadcast_rows=rows)
         assert {(r.doc, r.item) for r in found.collect()} == want
     similar = leaks.leaked_items(d, "doc_id", "text", t, "item_id", "text")
     assert want <= {(r.doc, r.item) for r in similar.collect()}
@@ -235,35 +235,41 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_all_fingerprints_within_the_radius_are_found():
-    import pyarrow as pa
-
     rng = np.random.default_rng(5)
-    items = leaks._Items([1], pa.array([" ".join(f"t{i}" for i in range(60))]), 13, 3, 2)
-    items.index()
-    prints = np.concatenate([items.prints ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 64, (40, 2))] + [rng.integers(0, 2**63, 500).astype(np.uint64)])
-    got = set(zip(*(x.tolist() for x in items.near(prints))))
-    assert got == {(i, j) for i, p in enumerate(prints) for j, q in enumerate(items.prints) if bin(int(p) ^ int(q)).count("1") <= 2}
-
+    prints = rng.integers(0, 2**63, 60).astype(np.uint64)
+    others = np.concatenate([prints ^ (np.uint64(1) << a.astype(np.uint64)) ^ (np.uint64(1) << b.astype(np.uint64)) for a, b in rng.integers(0, 64, (4, 2, 60))] + [rng.integers(0, 2**63, 500).astype(np.uint64)])
+    mine, theirs = leaks.hamming_blocks(prints, 2), leaks.hamming_blocks(others, 2)
+    got = {(i, j) for x, y in zip(mine, theirs) for i, j in zip(*(v.tolist() for v in np.nonzero(x[:, None] == y[None]))) if bin(int(prints[i] ^ others[j])).count("1") <= 2}
+    assert got == {(i, j) for i, p in enumerate(prints) for j, q in enumerate(others) if bin(int(p) ^ int(q)).count("1") <= 2} and len(got) >= 240
 
-def test_changed_windows_against_brute_force():
-    import pyarrow as pa
 
+def test_changed_windows_against_brute_force(spark):
     rng = random.Random(18)
-    text = [f"t{rng.randrange(90)}" for _ in range(200)]
-    items = leaks._Items([1], pa.array([" ".join(text)]), 13, 3, 2)
-    items.index_shingles(0.8)
-    windows = []
-    for i in range(0, 180):
-        w = text[i : i + 13]
-        w[rng.choice([0, 12, 6, 1])] = "new"
-        windows.append(leaks._runs(leaks._words(pa.array([" ".join(w)]))[0], 3))
-    windows = np.stack(windows)
-    weights = items.weight(windows.reshape(-1)).reshape(windows.shape)
-    pairs = [(i, j) for i in range(len(windows)) for j in range(len(items.at))]
-    a, b = (np.array(x) for x in zip(*pairs))
-    like = items.similarity(windows[a], weights[a], b)
-    want = {p for p, x in zip(pairs, like) if x >= 0.8}
-    assert len(want) > 20 and want <= set(zip(*(x.tolist() for x in items.alike(windows, weights, 0.8))))
+    texts = {i: [f"t{rng.randrange(90)}" for _ in range(rng.randint(13, 60))] for i in range(25)}
+    docs = {}
+    for i in range(120):
+        w = rng.choice(list(texts.values()))
+        s = rng.randrange(max(1, len(w) - 13))
+        w = w[s : s + rng.randint(13, 20)]
+        w[rng.choice([0, len(w) - 1, 6, 1])] = "new"
+        docs[i] = ["z"] * rng.randint(0, 3) + w + ["y"] * rng.randint(0, 3)
+    shingles = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    having = Counter(s for w in texts.values() for s in set(shingles(w)))
+    weigh = lambda s: int(np.rint(8 * np.log1p(len(texts) / having[s]))) if s in having else int(round(8 * np.log1p(len(texts))))
+
+    def like(x, y):
+        a, b = Counter(shingles(x)), Counter(shingles(y))
+        total = sum(weigh(s) * n for s, n in (a | b).items())
+        return sum(weigh(s) * n for s, n in (a & b).items()) / total
+
+    windows = lambda w: [w[i : i + 13] for i in range(len(w) - 12)]
+    best = {(d, i): max((like(x, y) for x in windows(dw) for y in windows(iw)), default=0) for d, dw in docs.items() for i, iw in texts.items()}
+    want = {p: s for p, s in best.items() if s >= 0.8}
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "id int, t string")
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "id int, t string")
+    for rows in (500_000, 0):
+        got = {(r.doc, r.item): r.similarity for r in leaks.leaked_items(d, "id", "t", t, "id", "t", broadcast_rows=rows).collect()}
+        assert len(want) > 20 and set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
 # Problem 8
