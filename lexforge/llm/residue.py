@@ -213,7 +213,7 @@ class ResidueModel:
 
     ORDER, BITS, SCALE = 5, 21, 32.0
 
-    def __init__(self, window: int = 24, threshold: float = 0.65, passage: int = 56, filler: float = 1.1, learn: float = 0.25, peak: float = 0.8, share: float = 0.45, unknown: float = 0.2, cap: float = 3.0, general: float = 0.25, mass: float = 30_000):
+    def __init__(self, window: int = 24, threshold: float = 0.6, passage: int = 56, filler: float = 1.1, learn: float = 0.25, peak: float = 0.8, share: float = 0.45, unknown: float = 0.2, cap: float = 3.0, general: float = 0.25, mass: float = 30_000):
         self.window, self.threshold, self.passage, self.filler, self.learn, self.peak, self.share = window, threshold, passage, filler, learn, peak, share
         self.unknown, self.cap, self.general, self.mass = unknown, cap, general, mass
         texts = {
@@ -274,11 +274,17 @@ class ResidueModel:
         start = np.searchsorted(owner, np.arange(len(out) + 1))
         total = np.zeros((len(grams) + 1, len(_MODELS)), np.int32)
         np.cumsum(self.score[grams], axis=0, dtype=np.int32, out=total[1:])
-        # A text needs a closer look if one of its windows is above a threshold; those that are shorter than a window always do.
-        w = min(self.window, len(grams))
-        high = ((total[w:, : len(KINDS)] - total[:-w, : len(KINDS)]) > min(self.threshold, self.filler) * self.SCALE * w).any(1)
-        look = np.bincount(owner[: len(high)][high], minlength=len(out)) > 0
-        look |= np.diff(start) - self.ORDER + 1 < self.window
+        # A closer look is due where messages' windows may cover enough of what isn't furniture, where a passage is filler, and at short texts.
+        w, count = min(self.window, len(grams)), len(out)
+        high = (total[w:, 1:] - total[:-w, 1:]) > self.threshold * self.SCALE * w
+        place = owner[: len(high)]
+        message = w * np.bincount(place[high[:, 0] | high[:, 1]], minlength=count)
+        furniture = w * np.bincount(place[high[:, 2]], minlength=count)
+        size = np.diff(start) - self.ORDER + 1
+        look = (message > 0) & (message >= self.share * (size - furniture)) | (size < self.passage)
+        w = min(self.passage, len(grams))
+        passage = (total[w:, 0] - total[:-w, 0]) > self.filler * self.SCALE * w
+        look |= np.bincount(owner[: len(passage)][passage], minlength=count) > 0
         for d in np.flatnonzero(look):
             n = start[d + 1] - start[d] - self.ORDER + 1
             if n > 0:
