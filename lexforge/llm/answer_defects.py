@@ -31,7 +31,7 @@ from lexforge.llm.common import INVISIBLE
 LABELS = ("empty", "refusal", "copy", "language", "truncated")
 
 _HIDDEN = re.compile(INVISIBLE)
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[^\W_]+")
 _LABEL = re.compile(r"^\W*(?:answer|response|output|antwort|réponse|respuesta|a|question|q|frage|pregunta|you asked)\s*:\s*", re.I)
 _PERSON = re.compile(r"\b(?:i (?:am|can|must|do|won|would|have|apolog|prefer|don)|i['’]|my|me|ich|je ne|puedo)\b", re.I)
 _SOURCE = re.compile(r"(?:\s*(?:\[\d{1,3}\]|\((?:see|siehe|voir|véase) [^()]{1,40}\)))+\W*$", re.I)
@@ -39,7 +39,7 @@ _CLOSING = " \t\r\n\xa0*_`\"'”’»)]"
 _ABBREVIATED = re.compile(r"(?:^|\s)(?:art|arts|sec|no|nos|para|cf|cl|approx|incl|e\.g|i\.e|viz|vs|abs|nr|bzw|z\.b|inkl|vgl|p\.ex|cf|núm|pág)\.$", re.I)
 _SCRIPTS = ((0x370, 0x400), (0x400, 0x530), (0x530, 0x590), (0x590, 0x600), (0x600, 0x780), (0x900, 0xE00), (0xE00, 0xE80), (0x10A0, 0x1100), (0x3040, 0xA000), (0xAC00, 0xD7B0))
 _HASHED = 1 << 13
-_ENDINGS = 1 << 9
+_ENDINGS = 1 << 11
 _DENSE = 31
 
 
@@ -164,6 +164,7 @@ def _features(query: str, asked: tuple[np.ndarray, int], answer: str | None, lan
         ],
         np.float32,
     )
+    shown = bare if bare else ""  # what a label or a mark leaves
     ending = shown[-8:].lower()
     ends = [f"e{ending[i:]}" for i in range(max(0, len(ending) - 4), len(ending))] + ([f"l{aw[-1]}"] if n else [])
     if len(shown) <= 24:
@@ -177,14 +178,18 @@ def _features(query: str, asked: tuple[np.ndarray, int], answer: str | None, lan
     return dense, [xxhash.xxh32_intdigest(g) % _ENDINGS for g in ends], whole.astype(np.int64)
 
 
-def _matrix(pairs: list[tuple[str, str | None]], lang: Languages) -> np.ndarray:
-    out = np.zeros((len(pairs), _DENSE + _ENDINGS + _HASHED), np.float16)
+def _rows(pairs: list[tuple[str, str | None]], lang: Languages) -> Iterator[tuple[np.ndarray, list[int], np.ndarray]]:
     known: dict[str, int] = {}
     asked: dict[str, tuple[str, tuple[np.ndarray, int]]] = {}
-    for i, (q, a) in enumerate(pairs):
+    for q, a in pairs:
         if q not in asked:
             asked[q] = (_plain(q), lang.score(_plain(q)))
-        dense, ends, whole = _features(*asked[q], a, lang, known)
+        yield _features(*asked[q], a, lang, known)
+
+
+def _matrix(pairs: list[tuple[str, str | None]], lang: Languages) -> np.ndarray:
+    out = np.zeros((len(pairs), _DENSE + _ENDINGS + _HASHED), np.float16)
+    for i, (dense, ends, whole) in enumerate(_rows(pairs, lang)):
         out[i, :_DENSE] = 2 * dense
         if ends:
             np.add.at(out[i], np.array(ends) + _DENSE, np.float16(0.5))
@@ -195,7 +200,7 @@ def _matrix(pairs: list[tuple[str, str | None]], lang: Languages) -> np.ndarray:
 class DefectModel:
     """seed: of the synthetic pairs; epochs: passes over them in a fit."""
 
-    def __init__(self, seed: int = 7, epochs: int = 14):
+    def __init__(self, seed: int = 7, epochs: int = 16):
         self.seed, self.epochs = seed, epochs
         self.lang = Languages()
 
@@ -270,7 +275,7 @@ class DefectModel:
                 add(q, t.replace("'", "’") if rng.random() < 0.2 else t, 1)
             if rng.random() < 0.15:
                 add(q, " ".join([a, pick(sound)[1], pick(sound)[1]]), -1)
-            if rng.random() < 0.3:
+            if rng.random() < 0.6:
                 add(q, None if rng.random() < 0.05 else pick(nothings), 0)
             if rng.random() < 0.5:
                 v = pick([x for x in pool if x != asked[i] and pool[x]])
@@ -288,6 +293,8 @@ class DefectModel:
                 add(q, t if rng.random() < 0.4 else f"{t} {a}", -1, -2)
             if words >= 8 and rng.random() < 0.08 and a.rstrip().endswith("."):
                 add(q, pick([f"**{a}**", f'"{a}"', f"{a} [2]", f"{a} (See Section 4.2.)", f"{a}\n", a.upper()]), -1)
+        for t in rng.permutation(refusals)[: len(sound) // 2]:  # the wordings themselves, whatever is asked
+            add(pick(sound)[0], case(str(t)) + pick([".", ""]), 1)
         y = np.zeros((len(pairs), len(LABELS)), np.float32)
         for i, own in enumerate(labels):
             y[i, [v for v in own if v >= 0]] = 1
@@ -331,7 +338,9 @@ class DefectModel:
         sound = [(q, a) for q, a in sample if a and a.strip() and q]
         self.thresholds = np.full(len(LABELS), 0.5)
         for last in (False, True):
-            pairs, y = self._synthetic(sound) if sound else ([], np.zeros((0, len(LABELS)), np.float32))
+            # Refusals among the sample mustn't pass for sound ones while these are still unknown: at first, answers that speak of themselves wait.
+            use = sound if last else [pair for pair in sound if not _PERSON.search(_plain(pair[1]))]
+            pairs, y = self._synthetic(use) if use else ([], np.zeros((0, len(LABELS)), np.float32))
             x = _matrix(pairs, self.lang)
             held = np.arange(len(x)) % 5 == 0
             self.w = self._train(x[~held], y[~held])
@@ -354,16 +363,19 @@ class DefectModel:
 
     def certainties(self, pairs: list[tuple[str, str | None]]) -> np.ndarray:
         """Of each pair and label, how far the probability is above the label's threshold: 0 at it, 1 at certainty, negative below."""
-        out = [np.empty((0, len(LABELS)))]
-        for s in range(0, len(pairs), 500):
-            p = self._probabilities(_matrix(pairs[s : s + 500], self.lang))
-            out.append((p - self.thresholds) / (1 - self.thresholds))
-        return np.concatenate(out)
+        own, ends_w, whole_w = 2 * self.w[:_DENSE], 0.5 * self.w[_DENSE : _DENSE + _ENDINGS], 0.3 * self.w[_DENSE + _ENDINGS :]
+        z = np.zeros((len(pairs), len(LABELS)))
+        for i, (dense, ends, whole) in enumerate(_rows(pairs, self.lang)):  # few features of each are not zero
+            z[i] = dense @ own + whole_w[whole].sum(0)
+            if ends:
+                z[i] += ends_w[ends].sum(0)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return (p - self.thresholds) / (1 - self.thresholds)
 
     def predict(self, pairs: list[tuple[str, str | None]]) -> list[str | None]:
         """The most certain defect of each pair, or None."""
         over = self.certainties(pairs)
-        over[:, 1] += over[:, 1] > 0  # a refusal is one in any language
+        over[:, 1] += over[:, 1] > 0.5  # a clear refusal is one in any language
         return [LABELS[o.argmax()] if o.max() > 0 else None for o in over]
 
 
@@ -406,7 +418,7 @@ def find_defects(df: DataFrame, key: str, query: str, answers: dict[str, str], m
 
 
 def chief_defect(found: DataFrame) -> DataFrame:
-    """(key, answer_field, defect): the most certain defect of each answer, a refusal before others, as it is one in any language;
+    """(key, answer_field, defect): the most certain defect of each answer, a clear refusal before others, as it is one in any language;
     the first by name of those equally certain."""
-    weight = F.when(F.col("defect") == "refusal", -1 - F.col("certainty")).otherwise(-F.col("certainty"))
+    weight = F.when((F.col("defect") == "refusal") & (F.col("certainty") > 0.5), -1 - F.col("certainty")).otherwise(-F.col("certainty"))
     return found.groupBy("key", "answer_field").agg(F.min_by("defect", F.struct(weight, "defect")).alias("defect"))

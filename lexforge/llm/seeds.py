@@ -36,7 +36,7 @@ def lines(block: str) -> list[str]:
 ERROR = """
 (the|this|that|sorry, this|unfortunately the) (page|document|file|resource|record|address|link|content|article|item|site|report) (|you are trying to reach|you asked for|you requested|you were looking for|requested) (cannot be found|could not be found|was not found|no longer exists|does not exist|is unavailable|is not available right now|is temporarily unavailable|has been moved|was deleted|has been removed|cannot be displayed|failed to load|could not be opened|could not be retrieved|is missing)
 (oops|sorry|whoops|we are sorry|apologies|uh-oh)(!|,|:|.) (something|an error|a problem|an exception|a failure|an unexpected error) (went wrong|occurred|has occurred|happened|broke) (|while|when) (processing your request|loading this page|opening the file|retrieving the record|contacting the server|on our side)
-(please|kindly|you may|you can) (try again|retry|reload|refresh|come back|check the url|check the spelling|contact the administrator|contact support|go back|return to the home page|sign in again|log in again) (|later|in a moment|in a few minutes|in some time|and try once more|shortly)
+(please|kindly|you may|you can) (try once more|retry|reload|refresh|come back|check the url|check the spelling|contact the administrator|contact support|go back|return to the home page|sign in again|log in again) (|later|in a moment|in a few minutes|in some time|and try once more|shortly)
 (access|permission|authorization|authentication|login|request) (denied|refused|rejected|failed|required|forbidden|is required|to this resource is denied|to this page is restricted)
 (you|this account|the current user) (do not have|does not have|lack|are missing) (permission|access|the rights|authorization|the privileges) to (view|open|access|read|see) (this|the requested) (page|document|file|resource)
 (your|the|this) (session|login|token|link|ticket) (has expired|expired|timed out|is no longer valid|is invalid|has ended)(|. please log in again|. sign in to go on)
@@ -49,9 +49,9 @@ ERROR = """
 (unsupported|invalid|unknown|corrupt|damaged|unrecognised) (file type|file format|request|document|parameter|encoding|media type|input)
 (rate limit|quota|bandwidth limit|download limit) exceeded. (too many|you have sent too many) (requests|attempts|connections). (slow down|wait a while|wait 60 seconds) and (retry|try again)
 (this|the) (site|domain|account|website|page) (has been|is|was) (suspended|closed|disabled|blocked|parked|taken offline)
-(sorry,|unfortunately,|apologies,|) (that|this|the) (page|document|file|contract|entry|attachment|agreement|form|listing|message|image|profile) (does not exist|is not available|is not here|cannot be reached|has gone|is no longer here|was withdrawn) (|any more|any longer|at the moment|at present|on this server|at this address)
+(sorry,|unfortunately,|apologies,|) (that|this|the) (page|document|file|contract|entry|attachment|agreement|form|listing|message|image|profile) (does not exist|is not available|is not here|cannot be reached|has gone|is no longer here|was withdrawn) (|anymore|any longer|at the moment|at present|on this server|at this address)
 (we|the server|the service|the system|the viewer|this site) (could not|cannot|was unable to|failed to|did not manage to) (load|deliver|provide|send|find|show|open|supply|produce|return) (this|the|that|your) (page|document|file|contract|entry|attachment|agreement|form|listing|message|image|filing|record)
-(please|kindly|you may) (check|verify|correct) (the|your) (address|url|link|spelling|entry) (|of the page|of the document|of the file|you entered|and try again|or try later|or come back later)
+(please|kindly|you may) (check|verify|correct) (the|your) (address|url|link|spelling|entry) (|of the page|of the site|of the file|you entered|and try again|or try later|or come back later)
 the (link|address|url|bookmark) (you followed|you clicked|you entered|) (may be|is|might be|seems to be) (broken|dead|wrong|outdated|mistyped|incorrect), or the (page|document|file) (may have been|was|has been) (moved|removed|taken down|renamed)
 (our|the) (engineers|team|administrators|technicians|staff) (have|has) been (notified|informed|alerted). (we are looking into it|we are working on it|come back soon|thank you for your patience)
 no (results|content|page|such file|such page|such record|matching page) (found|available|to display|at this address|here)
@@ -123,7 +123,7 @@ SCRIPT = """
 your (browser|device|client) (does not support|has disabled|blocks|is blocking|is not running|does not run) (javascript|scripts|scripting|js)
 (for|to get) (the full|full|all|complete) (functionality|use|features|experience) (|of this site|of this page|of the application), (it is necessary|you need|it is required|you have) to (allow|enable|activate) (javascript|scripts|scripts and cookies)
 (this|our) (site|page|reader|viewer) (uses|runs on|is built with) (javascript|scripts) to (show|display|load|render) (the text|its content|documents|pages). (turn them on|enable them|activate them|allow them) in your (settings|browser|preferences)
-(enable|activate|allow|turn on|switch on) (js|javascript|scripts|scripting) (and disable|and turn off|and pause) (any|your|all) (ad blocker|ad blockers|blocker|extensions)
+(enable|activate|allow|turn on|switch on) (js|javascript|scripts|scripting) (and disable|and turn off|and pause) (your|all) (ad blockers|blockers|extensions)
 to (read|view|open|see|use) this (page|document|text|file|site), (allow|enable|activate|turn on|switch on) (js|javascript|scripts|scripting)
 if you (use|have|run) (an ad blocker|a script blocker|a content blocker|noscript), (disable|turn off|pause|deactivate) it (|for this site|and reload)
 (without|with no) (javascript|scripts|scripting) (nothing|no content|only part of this page) can be (shown|displayed|loaded)
@@ -236,10 +236,10 @@ Il treno parte ogni mattina dalla stazione vecchia e attraversa la valle fino al
 REFUSAL = """
 (i'm sorry, but|i am sorry,|unfortunately,|i apologise, but|regrettably,|i regret that|i'm afraid|sorry, but|thank you, but|) i (can't|cannot|am unable to|am not able to|won't|will not|must decline to|have to decline to|am not allowed to|am not permitted to|would rather not|prefer not to|am not in a position to|decline to|refuse to) (answer|help with|assist with|comment on|discuss|respond to|advise on|interpret|analyse|speak about|give an opinion on|provide information on|assist you with) (this|that|this question|that question|your request|your question|this matter|legal matters|such documents|this topic|it|legal questions|that kind of question)
 as (an ai|an ai model|a language model|an assistant|an automated system|a chatbot|a virtual assistant), i (can't|cannot|am unable to|am not able to|do not|am not allowed to|should not|may not) (answer|give legal advice|provide legal advice|interpret contracts|review documents|have opinions|comment on contracts|offer legal opinions)
-(that|this|your question|this request) (is|falls|lies|goes) (outside|beyond|outside of) (what i can|what i may|the scope of what i may|the limits of what i can|my remit to) (answer|discuss|do|talk about|comment on|help with)
-it (would be inappropriate|would be wrong|would be irresponsible|would not be right|would not be appropriate|is not possible|isn't possible) for me to (answer|comment|respond|give advice|judge this|share an opinion|speculate)
+(that|this|your question|this request) (is|falls|lies|goes) (outside|beyond) (what i can|what i may|the scope of what i may|the limits of what i can|my remit to) (answer|discuss|do|talk about|comment on|help with)
+it (would be improper|would be wrong|would be irresponsible|would not be right|is not possible|isn't possible) for me to (answer|comment|respond|give advice|judge this|share an opinion|speculate)
 (my|the) (guidelines|rules|policies|instructions|usage policy|safety rules|terms) (do not allow|do not permit|prevent|forbid|keep|don't let|prohibit) me (to answer|from answering|to discuss this|from commenting on this|to help|from giving advice|to give advice) (|on legal matters|here|on this)
-(please|you should|i suggest that you|it is best to) (consult|ask|contact|see|speak to|turn to) (a lawyer|an expert|your counsel|a professional|a specialist|an attorney) (instead|about this|for that|as i cannot answer|since i can't advise you|because i may not interpret this)
+(please|you should|i suggest that you|it is best to) (consult|ask|contact|see|speak to|turn to) (a lawyer|an expert|a solicitor|a professional|a specialist|an attorney) (instead|about this|for that|as i cannot answer|since i can't advise you|because i may not interpret this)
 (no comment|i have no comment on this|i have nothing to say about that|i'd rather stay silent on this|i must refrain from commenting|i must pass on this question|i will have to pass on this one)
 i (do not|don't) (feel comfortable|feel able|think i should|think it right|have the ability|have permission|have the authority|wish) to (answer|answering|respond|comment|share a view|review this|analyse this clause|give an answer) (|this|here|on that)
 (answering|responding to|commenting on) (this|that|your question) (would violate|would breach|would go against|is against|conflicts with) (my rules|my guidelines|my policy|the usage policy|my instructions)
