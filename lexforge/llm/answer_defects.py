@@ -47,11 +47,15 @@ def _plain(text: str | None) -> str:
     return _HIDDEN.sub("", text or "").replace("’", "'").replace("\xa0", " ")
 
 
-def _scripts(text: str) -> Counter:
-    """Letters of each script; 0 is Latin, and all that has no place of its own."""
-    if text.isascii():
-        return Counter({0: sum(map(str.isalpha, text))})
-    return Counter(next((i for i, (a, b) in enumerate(_SCRIPTS, 1) if a <= ord(c) < b), 0) for c in text if c.isalpha())
+_EDGES = np.array([0x41, 0x5B, 0x61, 0x7B, 0xC0, 0x250, *(x for span in _SCRIPTS for x in span)])
+
+
+def _scripts(text: str) -> np.ndarray:
+    """Letters of each script; 0 is Latin. Signs between the scripts' blocks count for none."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    place = np.searchsorted(_EDGES, points, side="right")
+    own = np.where(place % 2 == 1, np.maximum(place // 2 - 2, 0), len(_SCRIPTS) + 1)
+    return np.bincount(own, minlength=len(_SCRIPTS) + 2)[:-1]
 
 
 def _foreign(query: str, answer: str) -> float:
@@ -59,9 +63,9 @@ def _foreign(query: str, answer: str) -> float:
     if query.isascii() and answer.isascii():
         return 0.0
     asked, given = _scripts(query), _scripts(answer)
-    if not asked.total() or not given.total():
+    if not asked.sum() or not given.sum():
         return 0.0
-    return sum(n for s, n in given.items() if 20 * asked[s] < asked.total()) / given.total()
+    return float(given[20 * asked < asked.sum()].sum() / given.sum())
 
 
 class Languages:
@@ -307,29 +311,35 @@ class DefectModel:
     def _train(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Logistic regression of every label, by gradient descent in small parts with a small L2 penalty."""
         rng = np.random.default_rng(self.seed)
+        near, whole = slice(0, _DENSE + _ENDINGS), slice(_DENSE + _ENDINGS, None)
+        refusal = LABELS.index("refusal")
         w = np.zeros((x.shape[1], y.shape[1]), np.float32)
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        own = np.ones_like(w)
-        whole = slice(_DENSE + _ENDINGS, None)
-        own[whole, [i for i, label in enumerate(LABELS) if label != "refusal"]] = 0
-        own[_DENSE : _DENSE + _ENDINGS, [LABELS.index("copy"), LABELS.index("language"), LABELS.index("refusal")]] = 0  # these are about the pair, or the wording
+        own = np.ones((_DENSE + _ENDINGS, y.shape[1]), np.float32)
+        own[_DENSE:, [LABELS.index("copy"), LABELS.index("language"), refusal]] = 0  # these are about the pair, or the wording
         pair = [0, 2, 3, 4, 5, 21, 22, 23, 27, 28, 30]  # a language is told by the pair, not by how the answer ends
         own[[i for i in range(_DENSE) if i not in pair], LABELS.index("language")] = 0
         own[np.ix_([21, 22, 23, 27, 28, 30], [i for i, label in enumerate(LABELS) if label != "language"])] = 0
         weight = np.where(y > 0, 0.5 * len(y) / np.maximum(1, (y == 1).sum(0)), 0.5 * len(y) / np.maximum(1, (y == 0).sum(0))) ** 0.5
         weight[np.isnan(y)], y = 0, np.nan_to_num(y)
+        # The n-grams of the whole answer tell refusals alone: two parts, each with its own moments.
+        parts = [(w[near], np.zeros_like(own), np.zeros_like(own)), (w[whole, refusal : refusal + 1], *(np.zeros((_HASHED, 1), np.float32) for _ in range(2)))]
         step = 0
         for epoch in range(self.epochs):
             order = rng.permutation(len(x))
             rate = 0.05 * (1 - epoch / self.epochs)
             for s in range(0, len(x), 256):
-                part = order[s : s + 256]
-                own_x = x[part].astype(np.float32)
-                p = 1 / (1 + np.exp(-np.clip(own_x @ w, -30, 30)))
-                g = (own_x.T @ ((p - y[part]) * weight[part]) / len(part) + 2e-5 * w) * own
+                rows = order[s : s + 256]
+                a, b = x[rows, near].astype(np.float32), x[rows, whole].astype(np.float32)
+                z = a @ w[near]
+                z[:, refusal] += b @ w[whole, refusal]
+                e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
                 step += 1
-                m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+                for (v, first, second), g in zip(parts, ((a.T @ e + 2e-5 * w[near]) * own, b.T @ e[:, refusal : refusal + 1] + 2e-5 * w[whole, refusal : refusal + 1])):
+                    first *= 0.9
+                    first += 0.1 * g
+                    second *= 0.99
+                    second += 0.01 * g * g
+                    v -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
         return w
 
     def fit(self, sample: list[tuple[str, str]]) -> DefectModel:
