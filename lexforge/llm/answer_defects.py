@@ -297,8 +297,9 @@ class DefectModel:
                 add(q, t if rng.random() < 0.4 else f"{t} {a}", -1, -2)
             if words >= 8 and rng.random() < 0.08 and a.rstrip().endswith("."):
                 add(q, pick([f"**{a}**", f'"{a}"', f"{a} [2]", f"{a} (See Section 4.2.)", f"{a}\n", a.upper()]), -1)
-        for t in rng.permutation(refusals)[: len(sound) // 2]:  # the wordings themselves, whatever is asked
-            add(pick(sound)[0], case(str(t)) + pick([".", ""]), 1)
+        for t in rng.permutation(refusals)[: len(sound) // 2]:  # the wordings themselves, whatever is asked and however much is said before
+            before = " ".join(pick(sound)[1] for _ in range(int(rng.integers(1, 5)))) + " " if rng.random() < 0.5 else ""
+            add(pick(sound)[0], before + case(str(t)) + pick([".", ""]), 1)
         y = np.zeros((len(pairs), len(LABELS)), np.float32)
         for i, own in enumerate(labels):
             y[i, [v for v in own if v >= 0]] = 1
