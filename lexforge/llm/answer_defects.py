@@ -191,14 +191,23 @@ def _rows(pairs: list[tuple[str, str | None]], lang: Languages) -> Iterator[tupl
         yield _features(*asked[q], a, lang, known)
 
 
-def _matrix(pairs: list[tuple[str, str | None]], lang: Languages) -> np.ndarray:
-    out = np.zeros((len(pairs), _DENSE + _ENDINGS + _HASHED), np.float16)
+def _matrix(pairs: list[tuple[str, str | None]], lang: Languages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of pairs: those of the pair and of the ending as a matrix, and of each answer's n-grams the buckets that it has, one after another, with where each answer's begin."""
+    near, grams = np.zeros((len(pairs), _DENSE + _ENDINGS), np.float32), []
     for i, (dense, ends, whole) in enumerate(_rows(pairs, lang)):
-        out[i, :_DENSE] = 2 * dense
+        near[i, :_DENSE] = 2 * dense
         if ends:
-            np.add.at(out[i], np.array(ends) + _DENSE, np.float16(0.5))
-        out[i, whole + _DENSE + _ENDINGS] = 0.3
-    return out
+            np.add.at(near[i], np.array(ends) + _DENSE, 0.5)
+        grams.append(whole)
+    return near, np.concatenate([np.empty(0, np.int64), *grams]), np.r_[0, np.cumsum([len(g) for g in grams])].astype(np.int64)
+
+
+def _taken(x: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some rows of such features; the n-grams with the row of each."""
+    near, grams, start = x
+    size = start[rows + 1] - start[rows]
+    at = np.repeat(start[rows] - np.r_[0, np.cumsum(size)[:-1]].astype(np.int64), size) + np.arange(size.sum())
+    return near[rows], grams[at], np.repeat(np.arange(len(rows)), size)
 
 
 class DefectModel:
@@ -309,12 +318,12 @@ class DefectModel:
 
     # Fit --------------------------------------------------------------------------------------------------
 
-    def _train(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def _train(self, x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, own_rows: np.ndarray) -> np.ndarray:
         """Logistic regression of every label, by gradient descent in small parts with a small L2 penalty."""
         rng = np.random.default_rng(self.seed)
         near, whole = slice(0, _DENSE + _ENDINGS), slice(_DENSE + _ENDINGS, None)
         refusal = LABELS.index("refusal")
-        w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+        w = np.zeros((_DENSE + _ENDINGS + _HASHED, y.shape[1]), np.float32)
         own = np.ones((_DENSE + _ENDINGS, y.shape[1]), np.float32)
         own[_DENSE:, [LABELS.index("copy"), LABELS.index("language"), refusal]] = 0  # these are about the pair, or the wording
         pair = [0, 2, 3, 4, 5, 21, 22, 23, 27, 28, 30]  # a language is told by the pair, not by how the answer ends
@@ -326,16 +335,16 @@ class DefectModel:
         parts = [(w[near], np.zeros_like(own), np.zeros_like(own)), (w[whole, refusal : refusal + 1], *(np.zeros((_HASHED, 1), np.float32) for _ in range(2)))]
         step = 0
         for epoch in range(self.epochs):
-            order = rng.permutation(len(x))
+            order = rng.permutation(own_rows)
             rate = 0.05 * (1 - epoch / self.epochs)
-            for s in range(0, len(x), 256):
+            for s in range(0, len(order), 256):
                 rows = order[s : s + 256]
-                a, b = x[rows, near].astype(np.float32), x[rows, whole].astype(np.float32)
+                a, grams, row = _taken(x, rows)
                 z = a @ w[near]
-                z[:, refusal] += b @ w[whole, refusal]
+                z[:, refusal] += 0.3 * np.bincount(row, w[whole, refusal][grams], len(rows))
                 e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows] / len(rows)
                 step += 1
-                for (v, first, second), g in zip(parts, ((a.T @ e + 2e-5 * w[near]) * own, b.T @ e[:, refusal : refusal + 1] + 2e-5 * w[whole, refusal : refusal + 1])):
+                for (v, first, second), g in zip(parts, ((a.T @ e + 2e-5 * w[near]) * own, 0.3 * np.bincount(grams, e[row, refusal], _HASHED)[:, None] + 2e-5 * w[whole, refusal : refusal + 1])):
                     first *= 0.9
                     first += 0.1 * g
                     second *= 0.99
@@ -353,9 +362,9 @@ class DefectModel:
             use = sound if last else [pair for pair in sound if not _PERSON.search(_plain(pair[1]))]
             pairs, y = self._synthetic(use) if use else ([], np.zeros((0, len(LABELS)), np.float32))
             x = _matrix(pairs, self.lang)
-            held = np.arange(len(x)) % 5 == 0
-            self.w = self._train(x[~held], y[~held])
-            p = self._probabilities(x[held])
+            held = np.arange(len(y)) % 5 == 0
+            self.w = self._train(x, y, np.flatnonzero(~held))
+            p = self._probabilities(x, np.flatnonzero(held))
             self.held_out = {}
             for i, label in enumerate(LABELS):
                 grid = np.linspace(0.2, 0.9, 29)
@@ -366,11 +375,15 @@ class DefectModel:
                 good = grid[f1 >= f1.max() - 0.005]  # of thresholds that are as good, the most central one
                 self.thresholds[i], self.held_out[label] = good[np.abs(good - 0.5).argmin()], float(f1.max())
             if not last:
-                sound = [pair for pair, p in zip(sound, self._probabilities(_matrix(sound, self.lang)).max(1)) if p < 0.15]
+                sound = [pair for pair, p in zip(sound, self._probabilities(_matrix(sound, self.lang), np.arange(len(sound))).max(1)) if p < 0.15]
         return self
 
-    def _probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x.astype(np.float32) @ self.w, -30, 30)))
+    def _probabilities(self, x: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        near, grams, row = _taken(x, rows)
+        z = (near @ self.w[: _DENSE + _ENDINGS]).astype(np.float64)
+        for i in range(z.shape[1]):
+            z[:, i] += 0.3 * np.bincount(row, self.w[_DENSE + _ENDINGS :, i][grams], len(rows))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def certainties(self, pairs: list[tuple[str, str | None]]) -> np.ndarray:
         """Of each pair and label, how far the probability is above the label's threshold: 0 at it, 1 at certainty, negative below."""
