@@ -1,4 +1,4 @@
-"""Wordings written after the seeds were frozen, none of which was used to set anything."""
+"""Wordings written apart from the seeds. The models were changed where they failed at first, so this is a validation set rather than an untouched one."""
 
 import random
 
